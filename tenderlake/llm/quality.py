@@ -33,7 +33,7 @@ RULES: dict[str, str] = {
     "short_words": "word_chars < 2.5 * n_words",
     "long_words": "word_chars > 14 * n_words",
     "symbols": "n_symbols > 0.1 * n_words",
-    "repeated_lines": "n_dup_lines > 0.3 * n_lines",
+    "repeated_lines": "n_dup_lines > 0.7 * n_lines",
     "shouting": "n_upper > 0.5 * n_letters",
     "no_letters": "n_letters < 0.5 * word_chars",
 }

@@ -157,7 +157,7 @@ judged as (
   select *,
     (case when n_words < 50 then 1 else 0 end) + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
     + (case when word_chars < 2.5 * n_words then 4 else 0 end) + (case when word_chars > 14 * n_words then 8 else 0 end)
-    + (case when n_symbols > 0.1 * n_words then 16 else 0 end) + (case when n_dup_lines > 0.3 * n_lines then 32 else 0 end)
+    + (case when n_symbols > 0.1 * n_words then 16 else 0 end) + (case when n_dup_lines > 0.7 * n_lines then 32 else 0 end)
     + (case when n_upper > 0.5 * n_letters then 64 else 0 end) + (case when n_letters < 0.5 * word_chars then 128 else 0 end) as fail_bits
   from measured
 )
