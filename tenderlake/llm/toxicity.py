@@ -28,7 +28,7 @@ ORDERS = (4, 5)
 BINS = 1 << 19
 POSITIVE, NEGATIVE = 6_000, 12_000
 MIN_DOCS = 4
-LEAST_RATIO = 1.5
+LEAST_RATIO = 1.0
 
 
 @dataclass
@@ -70,7 +70,7 @@ def _collect(sent):
     return run
 
 
-def _fit(features: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, weight: np.ndarray, steps: int = 200, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def _fit(features: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, weight: np.ndarray, steps: int = 1000, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by accelerated gradient descent; features are bins, scale their values."""
     used, flat = np.unique(np.concatenate([*features, np.zeros(0, np.int32)]), return_inverse=True)
     row = np.repeat(np.arange(len(features)), [len(f) for f in features])
