@@ -14,9 +14,10 @@ from ..functions.variant import first_or
 from ..operators import aggregates as agg
 from ..operators import folds, joins, lines, rows, windows
 from ..schemas import PAYING_COLUMNS
+from ..session import scratch_dir
 from ..sources import documents as docs
-from ..sources import pages
-from ..streaming.ingest import rate_by_window
+from ..sources import pages, sinks
+from ..streaming.ingest import LAST_WINS, rate_by_window, read_state, stream_upsert
 from . import cleaning, extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,6 +469,38 @@ def s13(spark, sf):
     return cleaning.audit_text(fx.table(spark, sf, "documents"))
 
 
+@query("s5_read_keys", f"with {F1} select distinct page_num as key from f1 where page_num % 4 <> 0")
+def s5(spark, sf):
+    """A ledger of pages written line by line, with blanks and notes between, and read back."""
+    path = scratch_dir(spark, "ledger")
+    ledger = fx.observations(spark, sf).where("page_num % 4 <> 0").select(F.concat(F.lit(" "), F.col("page_num").cast("string"), F.lit(" ")).alias("value"))
+    ledger.union(ledger.select(F.concat(F.lit("page "), "value"))).union(ledger.select(F.lit(""))).write.text(path)
+    return docs.read_keys(spark, path, numeric=True)
+
+
+@query("s8_export_tables", f"with {F2C} select contract_number as \"ContractNo\", buyer_designation as \"Buyer_Designation\", '' as \"Buyer_GSTIN\", cast(total_value as varchar) as \"TotalOrderValueINR\" from f2c")
+def s8(spark, sf):
+    path = scratch_dir(spark, "export")
+    contracts = fx.contracts(spark, sf).select(F.col("contract_number").alias("ContractNo"), F.col("buyer_designation").alias("Buyer_Designation"), F.col("total_value").alias("TotalOrderValueINR"))
+    items = fx.items(spark, sf).select(F.col("contract_number").alias("ContractNo"), F.col("item_no").alias("ItemNo"))
+    sinks.export_tables(contracts, items, path, "parquet")
+    return spark.read.parquet(f"{path}/contracts").select("ContractNo", "Buyer_Designation", "Buyer_GSTIN", "TotalOrderValueINR")
+
+
+@query("s10_open_table", "select o_orderkey, o_orderstatus from orders")
+def s10(spark, sf):
+    path = scratch_dir(spark, "table")
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    orders.write.parquet(path)
+    return sinks.open_table(spark, path, orders.schema, obsolete=("old_column",))
+
+
+@query("s11_snapshot", "select c_custkey, c_name from customer")
+def s11(spark, sf):
+    made = sinks.snapshot(fx.table(spark, sf, "customer").select("c_custkey", "c_name"), scratch_dir(spark, "snapshots"))
+    return spark.read.parquet(made)
+
+
 # ---- cleaning jobs
 
 
@@ -625,3 +658,21 @@ def r3(spark, sf):
 @query("r4_rate_by_window", "select to_timestamp(s)::timestamp as start, count(*) as n from (select unnest(range(cast(floor(epoch(ts)) as bigint) - 9, cast(floor(epoch(ts)) as bigint) + 1)) as s from events) group by 1")
 def r4(spark, sf):
     return rate_by_window(fx.table(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "r1_stream_upsert",
+    f"""with {F1}, g as (select * from f1 where page_num % 50 <> 0), r as (select *, row_number() over (partition by b_id order by seq) as f, row_number() over (partition by b_id order by seq desc) as l from g)
+    select a.b_id, a.b_bid_number, a.b_category_name, z.b_status, z.final_end_date_sort, a.department_name, a.b_total_quantity
+    from r a join r z on a.b_id = z.b_id and a.f = 1 and z.l = 1""",
+)
+def r1(spark, sf):
+    """Pages land as files in page order, a batch at a time, and are folded as a stream."""
+    landed, state, marks = (scratch_dir(spark, n) for n in ("landed", "state", "marks"))
+    landed_pages = fx.pages_json(spark, sf)
+    half = (landed_pages.agg(F.max("page_num")).first()[0] or 0) // 2
+    for part in (F.col("page_num") <= half, F.col("page_num") > half):
+        named = landed_pages.where(part).select(F.to_json(F.struct("page_num", "body")).alias("value"))
+        named.write.mode("append").text(landed)
+        stream_upsert(spark, landed, state, marks).awaitTermination()
+    return read_state(spark, state).select("b_id", "b_bid_number", "b_category_name", "b_status", "final_end_date_sort", "department_name", "b_total_quantity")

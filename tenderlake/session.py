@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +14,9 @@ def build_session(app: str = "tenderlake", **conf: str) -> SparkSession:
     for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that spark.checkpoint.dir names; a temporary one only where the session names none (local tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tenderlake-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+def read_documents(spark: SparkSession, path: str, glob: str = "*.[tT][xX][tT]") -> DataFrame:
     """(doc_id, text): every file below path; the key is the file's stem, whatever the case of its suffix."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("doc_id"), F.col("value").alias("text"))
 
 

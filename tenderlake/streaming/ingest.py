@@ -29,9 +29,9 @@ def read_state(spark: SparkSession, state_dir: str, below: int | None = None) ->
 
 
 def stream_upsert(spark: SparkSession, in_dir: str, state_dir: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
-    """Fold landed page files (page_<n>.json) into the state, a version a batch. A batch that is replayed starts from the version before its own and writes that again, so nothing counts twice."""
-    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).load(in_dir)
-    pages = files.select(F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("long").alias("page_num"), F.col("value").alias("body"))
+    """Fold landed pages into the state, a version a batch. Files hold a JSON object (page_num, body) a line, body being the page as it came. A batch that is replayed starts from the version before its own and writes that again, so nothing counts twice."""
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(in_dir)
+    pages = lines.select(F.from_json("value", "page_num long, body string").alias("p")).select("p.*")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession

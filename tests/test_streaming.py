@@ -1,7 +1,8 @@
 """The stream's state against the batch fold, restarts, and replays."""
 
+import json
+
 from oracle import rows_of
-from pyspark.sql import functions as F
 
 from tenderlake import fixtures as fx
 from tenderlake.operators.folds import upsert, upsert_batch
@@ -16,7 +17,7 @@ def test_stream_equals_batch_and_restarts(spark, sf, tmp_path):
 
     def land(part):
         for r in part:
-            (landed / f"page_{r['page_num']}.json").write_text(r["body"])
+            (landed / f"page_{r['page_num']}.json").write_text(json.dumps({"page_num": r["page_num"], "body": r["body"]}) + "\n")
 
     def run():
         q = stream_upsert(spark, str(landed), str(state), str(marks), max_files=40)
