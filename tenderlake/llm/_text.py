@@ -75,6 +75,7 @@ class Words:
     end: np.ndarray
     counts: np.ndarray  # words of each document
     edge: np.ndarray  # first word of each document, and the number of words at the end
+    at: np.ndarray  # first byte of each document in buf, and the number of bytes at the end
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
@@ -104,7 +105,7 @@ def words_of(column: pa.Array, table: np.ndarray = NOT_BLANK, lower: bool = Fals
         end[cut - 1] |= inside[cut - 1]
         start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
         edge = np.searchsorted(start, edges)
-        yield Words(at, buf, start, end, np.diff(edge), edge)
+        yield Words(at, buf, start, end, np.diff(edge), edge, edges)
         at = to
 
 

@@ -1,11 +1,12 @@
 """Encoding of whole texts with a public tokenizer file, one small piece at a time.
 
 Byte-pair merges never cross the borders that a tokenizer's splitting pattern sets, so a text's ids
-are those of its pieces, one after the other. A single space between two words is always such a
-border. Most words and pieces repeat, and each Python worker keeps the ids of the first CACHED of
-each that it meets. Texts with characters beyond SAFE, whose classes or case might differ between
-Unicode versions, and tokenizers of another build go through the tokenizers library as a whole.
-Both ways give the library's ids.
+are those of its pieces, one after the other. A single blank between two words is always such a
+border. So the distinct words of some documents at a time, each with the blank before it, are
+encoded once, and numpy puts the documents together. Each Python worker keeps the ids of the first
+KEPT_WORDS words and KEPT_PIECES pieces that it meets. Texts with other blanks are split as a whole; texts with
+characters beyond SAFE, whose classes or case might differ between Unicode versions, and tokenizers
+of another build go through the tokenizers library as a whole. All ways give the library's ids.
 """
 
 from __future__ import annotations
@@ -13,10 +14,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
-CACHED = 400_000
+from ._text import Words, mix, words_of
+
+KEPT_WORDS, KEPT_PIECES = 250_000, 500_000
+SLICES = 6
 
 # The splitting patterns of the two public tokenizers over SAFE characters.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -34,14 +42,14 @@ def _byte_letters() -> list[str]:
 
 
 class _Kept(dict):
-    """key -> made(key), kept for the first CACHED keys; keys that skip() picks aren't kept."""
+    """key -> made(key), kept for the first `most` keys."""
 
-    def __init__(self, made, skip=lambda key: False):
-        self.made, self.skip = made, skip
+    def __init__(self, made, most: int):
+        self.made, self.most = made, most
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key):
         value = self.made(key)
-        if len(self) < CACHED and not self.skip(key):
+        if len(self) < self.most:
             self[key] = value
         return value
 
@@ -57,6 +65,7 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.vocabulary = self.whole.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.model, self.letters = self.whole.model, _byte_letters()
@@ -67,30 +76,94 @@ class Encoder:
                 self.pattern = BYTE_PIECE
             elif "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in before and '"Lowercase"' in before and '"use_regex": false' in before:
                 self.pattern, self.lower = WORD_PIECE, True
-        self.pieces = _Kept(self._piece)
-        space = "" if self.lower else " "
-        self.words = _Kept(lambda word: self._split(space + word), lambda word: "\n" in word)
+        self.pieces = _Kept(self._piece, KEPT_PIECES)
+        self.words = _Kept(self._word, KEPT_WORDS)
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))], self.dtype).tobytes()
+        if piece.isascii():
+            for blank in " \n\t":
+                piece = piece.replace(blank, self.letters[ord(blank)])
+        else:
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _split(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def _word(self, word: bytes) -> bytes | None:
+        """Of a word and the blank before it; None if it isn't safe."""
+        text = word.decode("utf-8", "replace")
+        if word[word[:1] == b" " :].isalpha():  # ASCII letters after a space, if any: one piece
+            return self.pieces[text.strip().lower() if self.lower else text]
+        if not SAFE.fullmatch(text):
+            return None
+        return self._split(text.lower() if self.lower else text)
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
         if self.pattern is None or not SAFE.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
-        if self.lower:  # white space is never part of a piece
-            out = b"".join(map(self.words.__getitem__, text.lower().split()))
-        elif "  " in text or " \n" in text or "\n " in text or "\t" in text or text[-1] == " ":
-            out = self._split(text)
-        else:
-            first, *words = text.split(" ")
-            out = self._split(first) + b"".join(map(self.words.__getitem__, words))
-        return np.frombuffer(out, self.dtype)
+        return np.frombuffer(self._split(text.lower() if self.lower else text), self.dtype)
+
+    def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column."""
+        if self.pattern is None:
+            yield from map(self.encode, column.to_pylist())
+            return
+        slices = words_of(column)
+        while group := [*islice(slices, SLICES)]:
+            yield from self._encode_slices(column, group)
+
+    def _encode_slices(self, column: pa.Array, group: list[Words]) -> Iterator[np.ndarray]:
+        keys, plain = [], []
+        for w in group:
+            blank = np.full(len(w.start), 0, np.uint8)  # the byte before each word of its document
+            leads = np.zeros(len(w.start), bool)
+            leads[w.edge[:-1][w.counts > 0]] = True
+            blank[~leads] = w.buf[w.start[~leads] - 1]
+            keys.append(w.hashes() ^ mix(blank.astype(np.uint64)))
+            if self.lower:  # blanks are never part of a piece
+                plain.append(np.ones(len(w.counts), bool))
+                continue
+            gap = np.ones(len(w.start), np.int64)
+            gap[1:] = w.start[1:] - w.end[:-1]
+            odd = np.where(leads, w.start != np.repeat(w.at[:-1], w.counts), (gap != 1) | (blank != 0x20) & (blank != 0x0A))
+            bad = np.add.reduceat(np.append(odd, False), np.minimum(w.edge[:-1], len(odd))) > 0 if len(w.counts) else np.zeros(0, bool)
+            last = np.where(w.counts > 0, w.end[np.maximum(w.edge[1:] - 1, 0)] if len(w.end) else 0, w.at[:-1])
+            plain.append(~((w.counts > 0) & bad) & (last == w.at[1:]))
+        _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        base = np.cumsum([0, *(len(k) for k in keys)])
+        of = np.searchsorted(base, first, "right") - 1
+        found: list[bytes | None] = []
+        for s, w in enumerate(group):
+            i = first[of == s] - base[s]
+            lead = np.zeros(len(w.start), bool)
+            lead[w.edge[:-1][w.counts > 0]] = True
+            raw = w.buf.tobytes()
+            spans = zip((w.start[i] - ~lead[i]).tolist(), w.end[i].tolist())
+            found += map(self.words.__getitem__, [raw[x:y] for x, y in spans])
+        turn = np.argsort(of, kind="stable")
+        safe = np.ones(len(first), bool)
+        safe[turn] = [x is not None for x in found]
+        ordered: list[bytes] = [b""] * len(first)
+        for k, x in zip(turn.tolist(), found):
+            ordered[k] = x or b""
+        found = ordered
+        size = self.dtype.itemsize
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        length = np.array([len(x) // size for x in found], np.int64)
+        begin = np.cumsum(length) - length
+        for w, low, ok in zip(group, base.tolist(), plain):
+            own = inverse[low : low + len(w.start)]
+            n = length[own]
+            to = np.cumsum(n)
+            ids = flat[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(begin[own] - (to - n), n)]
+            ends = np.concatenate([[0], to])[w.edge]
+            unsafe = np.concatenate([[0], np.cumsum(~safe[own])])[w.edge]
+            ok &= unsafe[1:] == unsafe[:-1]
+            for d in range(len(w.counts)):
+                yield ids[ends[d] : ends[d + 1]] if ok[d] else self.encode(column[w.first + d].as_py())
 
 
 _encoders: dict[str, Encoder] = {}

@@ -30,7 +30,7 @@ def _encode(path: str, end_id: int):
         end = np.array([end_id], code.dtype).tobytes()
         size = code.dtype.itemsize
         for batch in batches:
-            ids = [code.encode(t.as_py()).tobytes() + end for t in batch.column(1)]
+            ids = [x.tobytes() + end for x in code.encode_column(batch.column(1))]
             n = np.array([len(x) // size for x in ids], np.int64)
             start = at + np.cumsum(n) - n
             at += int(n.sum())

@@ -64,8 +64,8 @@ def _encode(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["shard", "block", "first", "width", "doc_ids", "ends", "payload"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([code.encode(text.as_py()), end])
+            for name, ids in zip(batch.column(0).to_pylist(), code.encode_column(batch.column(1))):
+                ids = np.concatenate([ids, end])
                 if held and held + len(ids) > BLOCK_IDS:
                     yield flush()
                     block, first, names, parts, held = block + 1, first + held, [], [], 0
