@@ -10,7 +10,8 @@ its turn, as a stated query set in blocks, and the hits of all are put together
 
 A window is `window` consecutive words of an item; an item with fewer words, but not none, is one
 window. Null or empty texts and items have no words. Items that repeat count once for each item_id.
-Rows of documents that repeat are judged alike. Other columns pass through, whatever their names.
+Rows of documents that repeat are judged alike. Other columns pass through; from find_overlaps, one
+that is named as a result gives way to it.
 """
 
 from __future__ import annotations
@@ -185,6 +186,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with a column text, items (item_id, text) -> docs, n_words, spans of hit word numbers, items with occurring windows."""
     spark = docs.sparkSession
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "spans", "items")])
     named = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
     size = F.length("text") / 2 + 1  # words at most
     total = named.agg(F.sum(size)).first()[0] or 0
@@ -262,13 +264,13 @@ def _cutter(text_at: int, spans_at: int):
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 0, max_coverage: float = 0.5) -> DataFrame:
     """docs without benchmark passages: spans of more than max_span words are cut out of text, and documents of which hits cover more than max_coverage of the words go."""
-    found = find_overlaps(docs, items, window)
+    whole = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns) if c != "text"]).alias("row"), "text")
+    found = find_overlaps(whole, items, window)
     covered = hit_words() / F.greatest(F.col("n_words"), F.lit(1))
     kept = found.where(covered <= max_coverage).withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] > max_span))
-    text_at = docs.columns.index("text")
-    plain = kept.select(*[F.col(f"`{c}`").cast("binary").alias("_text") if c == "text" else F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns)], F.col("spans").alias("_spans"))
-    cut = plain.mapInArrow(_cutter(text_at, len(docs.columns)), plain.drop("_spans").schema)
-    return cut.select(*[F.col("_text").cast("string").alias(c) if k == text_at else F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    plain = kept.select("row", F.col("text").cast("binary").alias("text"), "spans")
+    cut = plain.mapInArrow(_cutter(1, 2), plain.drop("spans").schema)
+    return cut.select(*[(F.col("text").cast("string") if c == "text" else F.col(f"row._c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

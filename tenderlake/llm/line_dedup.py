@@ -12,7 +12,8 @@
 A line that isn't a key is refused by its fingerprint, but for a chance of 2**-64 each.
 
 Null or empty text is one empty line, kept. A line whose key is empty stays. Copies of a row
-count as documents of their own. Other columns pass through unread, whatever their names.
+count as documents of their own. Other columns pass through unread; one that is named as a result
+gives way to it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from ._text import BLANK
 
 SHARD_KEYS = 20_000
 BROADCAST_BYTES = 64 << 20
+RESULTS = ("kept_text", "n_lines", "n_dropped", "kept_sha256")
 _M64 = (1 << 64) - 1
 
 
@@ -252,7 +254,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
         value = spark.sparkContext.broadcast(_load(index.where(F.col("shard").isin(group)).collect() if group else []))
         return lambda: value.value
 
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", *RESULTS)]
     source = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)], F.col("text").cast("binary").alias("_text"))
     shape = T.StructType([*source.drop("_text").schema.fields, T.StructField("_text", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     arrow = to_arrow_schema(shape)

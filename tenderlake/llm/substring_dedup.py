@@ -19,7 +19,7 @@ also start anywhere else, in the same document or another.
 
 Words are compared by 64-bit hashes. Null or empty texts have no words, and texts of fewer words than
 a window lose none. Rows that repeat are copies of each other, so all their windows repeat. Other
-columns pass through, whatever their names.
+columns pass through; one that is named as a result gives way to it.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ GRAM = 8
 HOT = 10_000
 DEPTHS = (8, 8, 8, 8)
 GROUP_ROWS = 50_000
+RESULTS = ("kept_text", "n_words", "n_removed", "kept_sha256")
 _Q = 0xD6E8FEB86659FD93
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -277,7 +278,7 @@ def _remove(window: int, text_at: int, found_at: int, schema: pa.Schema):
 
 def dedup_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
     """docs (doc_id, text, ...) -> its other columns, kept_text (kept words joined by a space), n_words, n_removed, kept_sha256."""
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", *RESULTS)]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)], F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("sig"), F.xxhash64("doc_id").alias("did"))
     found = repeats(plain, window).groupBy("sig", "did").agg(F.collect_list(F.struct("low", "n")).alias("_found"))
     joined = plain.join(found, ["sig", "did"], "left").select(*[f"_c{k}" for k in range(len(others))], "text", "_found")
