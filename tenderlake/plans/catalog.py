@@ -41,7 +41,7 @@ F1 = """f1 as (
   from events)"""
 F2I = """f2i as (
   select 'C-' || l_orderkey as contract_number,
-         row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as item_no,
+         cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as integer) as item_no,
          p_name as product_name, p_brand as brand, p_type as model, cast(l_quantity as integer) as quantity, cast(l_extendedprice as decimal(18,2)) as price, l_suppkey
   from lineitem join part on l_partkey = p_partkey)"""
 F2C = (
@@ -138,12 +138,12 @@ def a1(spark, sf):
     return agg.table_stats({**_star(spark, sf), "products": fx.items(spark, sf)})
 
 
-@query("a2_occurrences", f"with {F1} select b_id, to_json(list(page_num order by page_num)) as pages from f1 group by b_id")
+@query("a2_occurrences", f"with {F1} select b_id, cast(to_json(list(page_num order by page_num)) as varchar) as pages from f1 group by b_id")
 def a2(spark, sf):
     return agg.occurrences(fx.observations(spark, sf), "b_id").withColumn("pages", F.to_json("pages"))
 
 
-@query("a3_duplicates", f"with {F1} select b_id, to_json(list(page_num order by page_num)) as pages from f1 group by b_id having count(*) > 1")
+@query("a3_duplicates", f"with {F1} select b_id, cast(to_json(list(page_num order by page_num)) as varchar) as pages from f1 group by b_id having count(*) > 1")
 def a3(spark, sf):
     return agg.duplicates(fx.observations(spark, sf), "b_id").withColumn("pages", F.to_json("pages"))
 
@@ -153,7 +153,7 @@ def a4(spark, sf):
     return agg.duplicate_ratio(fx.observations(spark, sf), "b_id")
 
 
-@query("a5_contract_quantity", f"with {F2I} select contract_number, sum(coalesce(quantity, 0)) as total_quantity from f2i group by contract_number")
+@query("a5_contract_quantity", f"with {F2I} select contract_number, cast(sum(coalesce(quantity, 0)) as bigint) as total_quantity from f2i group by contract_number")
 def a5(spark, sf):
     return agg.contract_quantity(fx.items(spark, sf))
 
@@ -278,7 +278,7 @@ def w3(spark, sf):
     return first.select("doc_id", F.regexp_extract("line", "^(.*? pieces)", 1).alias("model_line"))
 
 
-@query("w4_segment_blocks", f"with {F2I} select contract_number as doc_id, item_no as block, product_name from f2i")
+@query("w4_segment_blocks", f"with {F2I} select contract_number as doc_id, cast(item_no as bigint) as block, product_name from f2i")
 def w4(spark, sf):
     blocks = lines.segment_blocks(lines.lines_of(fx.contract_texts(spark, sf)))
     return blocks.where(F.col("line").startswith("Product Name")).select("doc_id", "block", F.substring_index("line", " : ", -1).alias("product_name"))
@@ -286,7 +286,7 @@ def w4(spark, sf):
 
 @query(
     "w5_rate_eta",
-    """with s as (select user_id as run_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) as pages, epoch_us(ts) as t from events),
+    """with s as (select user_id as run_id, ts, event_id, cast(row_number() over (partition by user_id order by ts, event_id) as integer) as pages, epoch_us(ts) as t from events),
     w as (select *, max(t) over r - min(t) over r as span, max(pages) over r - min(pages) over r as moved, t - min(t) over (partition by run_id) as age from s
           window r as (partition by run_id order by t range between 10000000 preceding and current row)),
     v as (select *, round(case when span > 0 then moved / (span / 1e6) when age > 0 then pages / (age / 1e6) else 0.0 end, 6) as pages_per_s from w),
@@ -437,13 +437,13 @@ def s3_bad(spark, sf):
     return pages.bad_pages(fx.pages_json(spark, sf))
 
 
-@query("s4_completeness", f"with {F1} select 10 as expected, count(distinct b_id) as landed, greatest(10 - count(distinct b_id), 0) as missing from f1 where page_num % 50 <> 0")
+@query("s4_completeness", f"with {F1} select cast(10 as bigint) as expected, count(distinct b_id) as landed, greatest(10 - count(distinct b_id), 0) as missing from f1 where page_num % 50 <> 0")
 def s4(spark, sf):
     landed = fx.pages_json(spark, sf)
     return pages.completeness(landed, pages.flatten_bids(pages.explode_pages(landed)))
 
 
-@query("s6_listing_ids", "select page_id, i as pos, u as id from (select page_id, unnest(l) as u, unnest(range(len(l))) as i from (select page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) as l from pages))")
+@query("s6_listing_ids", "select page_id, cast(i as integer) as pos, u as id from (select page_id, unnest(l) as u, unnest(range(len(l))) as i from (select page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) as l from pages))")
 def s6(spark, sf):
     return docs.all_matches(fx.table(spark, sf, "pages"), 'href="([^"]+)"')
 
@@ -454,7 +454,7 @@ def s7(spark, sf):
     return docs.extract_links(p).select("page_id", "url", "outcome")
 
 
-@query("s9_star_contracts", f"with {F2C} select contract_number, year(contract_date) as year, total_value from f2c")
+@query("s9_star_contracts", f"with {F2C} select contract_number, cast(year(contract_date) as integer) as year, total_value from f2c")
 def s9(spark, sf):
     return _star(spark, sf)["contracts"].select("contract_number", F.year("contract_date").alias("year"), "total_value")
 
