@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._worker import release
+
 CHUNK = 1 << 19
 BLOCK = 1 << 13
 _PLAIN = np.arange(128, dtype=np.uint32)
@@ -52,6 +54,7 @@ def dense_counts(rows: DataFrame, names: list[str], count: Callable[[pa.RecordBa
     """Arrays of `bins` counts by name, added up over all batches: each task sends its arrays in blocks, Spark adds those of a block. What reaches the driver is len(names) * bins numbers, whatever the input."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         totals = {n: np.zeros(bins, np.int64) for n in names}
         for batch in batches:
             count(batch, totals)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _P = 0x9E3779B97F4A7C15
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -44,7 +44,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i below n at least."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK + 1)
         for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1

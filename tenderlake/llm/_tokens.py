@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 
 from ._text import Words, mix, words_of
+from ._worker import keep
 
-KEPT_WORDS, KEPT_PIECES = 250_000, 500_000
-SLICES = 6
+KEPT_WORDS, KEPT_PIECES = 100_000, 300_000
+SLICES = 12
 
 # The splitting patterns of the two public tokenizers over SAFE characters.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -166,12 +167,6 @@ class Encoder:
                 yield ids[ends[d] : ends[d + 1]] if ok[d] else self.encode(column[w.first + d].as_py())
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """This worker's encoder; only one tokenizer's pieces are kept at a time."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """This worker's encoder of a tokenizer file."""
+    return keep(("encoder", path), lambda: Encoder(path))

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._text import ALNUM
+from ._worker import keep
 
 SHARD_WORDS = 200_000
 
@@ -148,22 +149,6 @@ class Automaton:
         return [(a, b) for a, b in spans], found
 
 
-_built: dict[int, Automaton] = {}
-
-
-class _Sent:
-    """Words that were broadcast; each Python worker builds their automaton once and keeps the last one."""
-
-    def __init__(self, value):
-        self.value, self.number = value, value._jbroadcast.id()
-
-    def __call__(self) -> Automaton:
-        if self.number not in _built:
-            _built.clear()
-            _built[self.number] = Automaton(*self.value.value)
-        return _built[self.number]
-
-
 def _scanner(automaton_of, text_at: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_of()
@@ -201,7 +186,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, shard_wor
         return sorted((r.item_id, words(bytes(r.text))) for r in own.toLocalIterator())
 
     def sent(k: int):
-        return _Sent(spark.sparkContext.broadcast((part(k), window)))
+        value = spark.sparkContext.broadcast((part(k), window))
+        number = value._jbroadcast.id()  # each worker builds an automaton once
+        return lambda: keep(("automaton", number), lambda: Automaton(*value.value))
 
     names = [F.col("_text").cast("string").alias(c) if k == text_at else F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)]
     if shards == 1:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._ngrams import chunks, codes, dense_counts
+from ._worker import keep
 
 ORDERS = (1, 2, 3)
 BINS = 1 << 16
@@ -89,12 +90,14 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
     return names.tolist(), best
 
 
-def _scorer(sent, text_at: int):
+def _scorer(sent, text_at: int, given: int):
+    number = sent._jbroadcast.id()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = keep(("languages", number), lambda: sent.value)
         for batch in batches:
-            lang, probability = score(sent.value, batch.column(text_at).to_pylist())
-            keep = [k for k in range(batch.num_columns) if k != text_at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(probability)], [*(batch.schema.names[k] for k in keep), "lang_pred", "score"])
+            lang, probability = score(model, batch.column(text_at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:given], pa.array(lang, pa.string()), pa.array(probability)], [*batch.schema.names[:given], "lang_pred", "score"])
 
     return run
 
@@ -103,6 +106,8 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """docs with a column text -> the columns `keep`, lang_pred, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     shape = ", ".join(f"_c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(keep)], F.col("text").alias("_text"))
-    scored = rows.mapInArrow(_scorer(sent, len(keep)), f"{shape}, lang_pred string, score double")
+    beside = [] if "text" in keep else [F.col("text").alias("_text")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(keep)], *beside)
+    text_at = keep.index("text") if "text" in keep else len(keep)
+    scored = rows.mapInArrow(_scorer(sent, text_at, len(keep)), f"{shape}, lang_pred string, score double")
     return scored.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score")

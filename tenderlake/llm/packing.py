@@ -23,13 +23,22 @@ from pyspark.sql import functions as F
 from ._stage import staged
 from ._tokens import encoder
 
+#: Rows that a task works on and hands on at once.
+ROWS = 2_000
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, at = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], code.dtype).tobytes()
         size = code.dtype.itemsize
-        for batch in batches:
+        for batch in _parts(batches):
             ids = [x.tobytes() + end for x in code.encode_column(batch.column(1))]
             n = np.array([len(x) // size for x in ids], np.int64)
             start = at + np.cumsum(n) - n
@@ -54,8 +63,8 @@ def partition_starts(encoded: DataFrame) -> DataFrame:
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, begin, n, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "begin", "n", "size"))
+        for batch in _parts(batches):
+            begin, n, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("begin", "n", "size"))
             first, last = begin // window, (begin + n - 1) // window
             many = last - first + 1
             row = np.repeat(np.arange(len(n)), many)

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ._tokens import encoder
 
 BLOCK_IDS = 1 << 16
+#: Rows that a task encodes at once.
+ROWS = 2_000
 BLOCKS = "shard int, block int, first long, width int, doc_ids array<long>, ends array<long>, payload binary"
 
 
@@ -63,7 +65,7 @@ def _encode(path: str, end_id: int):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["shard", "block", "first", "width", "doc_ids", "ends", "payload"])
 
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             for name, ids in zip(batch.column(0).to_pylist(), code.encode_column(batch.column(1))):
                 ids = np.concatenate([ids, end])
                 if held and held + len(ids) > BLOCK_IDS:
