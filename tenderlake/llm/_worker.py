@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _kept: dict[Any, Any] = {}
 
 
 def keep(key: Any, make: Callable[[], Any]) -> Any:
     """The value made for key. One value is kept: what an operator leaves goes when a task of another begins, so workers that Spark uses again don't grow."""
     if key not in _kept:
-        _kept.clear()
+        release()
         _kept[key] = make()
     return _kept[key]
 
 
 def release() -> None:
-    """Keep nothing: for tasks that need the memory and have nothing to keep."""
+    """Keep nothing, and give back what Arrow holds for batches to come."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
