@@ -53,3 +53,11 @@ def test_cut_keeps_columns(spark, odd):
     assert out.columns == odd.columns and out.count() == odd.count()
     assert out.where("text = 'one  five six' and spans = 'mine'").count() == 6
     assert jaccard_join.keep_one(odd).columns == odd.columns
+
+
+def test_keep_one_by_text(spark):
+    """Ids that are null or used again don't cost a text that no other row has."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (5, c + " more"), (5, d), (None, d), (None, ""), (None, ""), (None, None), (7, ""), (7, None), (7, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (1, c), (5, d), (None, ""), (None, ""), (None, None), (7, ""), (7, None)]))
