@@ -9,7 +9,8 @@ bounded. A larger benchmark is dealt to several automata by item; each goes over
 its turn, as a stated query set in blocks, and the hits of all are put together by document.
 
 A window is `window` consecutive words of an item; an item with fewer words, but not none, is one
-window. Null or empty texts and items have no words. Items that repeat count once for each item_id.
+window. Null or empty texts and items have no words. Items that repeat count once for each item_id;
+those without an item_id make words hit as others do, and add no name.
 Rows of documents that repeat are judged alike. Other columns pass through; from find_overlaps, one
 that is named as a result gives way to it.
 """
@@ -42,7 +43,7 @@ def words(text: bytes | None) -> list[bytes]:
 class Automaton:
     """Suffix automaton of several items; states are numbers, 0 the root."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -50,8 +51,8 @@ class Automaton:
             last = 0
             for word in item:
                 last = self._add(last, word)
-        self.items: list[set[str]] = [set() for _ in self.next]  # of states of `window` words: the items they occur in
-        self.short: dict[int, list[tuple[int, str]]] = {}  # state -> (words, item) of items shorter than a window
+        self.items: list[set[str | None]] = [set() for _ in self.next]  # of states of `window` words: the items they occur in
+        self.short: dict[int, list[tuple[int, str | None]]] = {}  # state -> (words, item) of items shorter than a window
         for name, item in items:
             if 0 < len(item) < window:
                 state = 0
@@ -65,7 +66,7 @@ class Automaton:
                 while at > 0 and self.length[at] >= window and name not in self.items[at]:
                     self.items[at].add(name)
                     at = self.link[at]
-        self._ends_short: dict[int, list[tuple[int, str]]] = {}
+        self._ends_short: dict[int, list[tuple[int, str | None]]] = {}
         if self.short:
             for state in range(len(self.next)):
                 found, at = [], state
@@ -111,7 +112,7 @@ class Automaton:
         """Spans of hit words, in order and apart, and the items whose windows occur."""
         nxt, link, length, window, ends_short = self.next, self.link, self.length, self.window, self._ends_short
         spans: list[list[int]] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         state = matched = 0
         for i, word in enumerate(text):
             to = nxt[state].get(word)
@@ -146,7 +147,7 @@ class Automaton:
                     spans[-1][1] = i + 1
                 else:
                     spans.append([begin, i + 1])
-        return [(a, b) for a, b in spans], found
+        return [(a, b) for a, b in spans], found - {None}
 
 
 def _scanner(automaton_of, text_at: int, schema: pa.Schema):
@@ -172,7 +173,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, shard_wor
     """docs with a column text, items (item_id, text) -> docs, n_words, spans of hit word numbers, items with occurring windows."""
     spark = docs.sparkSession
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "spans", "items")])
-    named = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    named = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
     size = F.length("text") / 2 + 1  # words at most
     total = named.agg(F.sum(size)).first()[0] or 0
     shards = max(1, int(-(-total // shard_words)))
@@ -181,9 +182,10 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, shard_wor
     shape = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
     arrow = to_arrow_schema(shape)
 
-    def part(k: int) -> list[tuple[str, list[bytes]]]:
-        own = named.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k) if shards > 1 else named
-        return sorted((r.item_id, words(bytes(r.text))) for r in own.toLocalIterator())
+    def part(k: int) -> list[tuple[str | None, list[bytes]]]:
+        # items without a name are dealt by their texts
+        own = named.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("binary"), F.col("text"))), F.lit(shards)) == k) if shards > 1 else named
+        return sorted(((r.item_id, words(bytes(r.text))) for r in own.toLocalIterator()), key=lambda item: (item[0] is None, item[0] or "", item[1]))
 
     def sent(k: int):
         value = spark.sparkContext.broadcast((part(k), window))

@@ -1,9 +1,10 @@
 """Null keys, extra columns and clashing names."""
 
 import pytest
+from oracle import same
 from pyspark.sql import functions as F
 
-from tenderlake.llm import decontaminate, jaccard_join, langid, line_dedup, packing, quality, secrets, substring_dedup, token_file, toxicity
+from tenderlake.llm import decontaminate, jaccard_join, langid, line_dedup, packing, quality, queries, secrets, substring_dedup, token_file, toxicity
 
 TEXTS = ["one two three four five six", None, "", "one two three four five six", " ".join(f"w{i}" for i in range(80))]
 
@@ -61,3 +62,18 @@ def test_keep_one_by_text(spark):
     rows = [(None, a), (None, b), (None, b), (1, c), (5, c + " more"), (5, d), (None, d), (None, ""), (None, ""), (None, None), (7, ""), (7, None), (7, None)]
     kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (1, c), (5, d), (None, ""), (None, ""), (None, None), (7, ""), (7, None)]))
+
+
+def test_items_without_a_name(spark, tmp_path):
+    """Their windows hit as the SQL's do, in one automaton and in several."""
+    long, short, mine = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("l", 14), ("s", 3), ("m", 12)))
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, f"{short} z"), (3, f"{mine} {long}"), (4, "clean"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, long), (None, short), (None, None), ("a", mine), ("b", f"{short} {mine}")], "item_id string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.op1_decontaminate(spark, str(tmp_path))
+    same(found, queries.OP1_SQL, str(tmp_path))
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in found.collect()} == {1: (14, 0), 2: (3, 0), 3: (26, 2), 4: (0, 0), 5: (0, 0)}
+    apart = decontaminate.find_overlaps(docs, items, 10, shard_words=20)
+    assert {r["doc_id"]: (r["n"], r["items"]) for r in apart.select("doc_id", decontaminate.hit_words().alias("n"), "items").collect()} == {1: (14, []), 2: (3, []), 3: (26, ["a", "b"]), 4: (0, []), 5: (0, [])}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {4, 5}
