@@ -6,8 +6,9 @@ its letter pairs in the corpus's dictionary), dictionary coverage, path marks, q
 words before and after say. The dictionary is the DICTIONARY most frequent words of four letters or
 more over all documents.
 
-The forest is Spark's, fitted on at most FINDINGS labelled findings, the first by hash. The tables
-bring no labelled findings, so `weak_labels` labels what needs no model: a quoted value assigned to
+The forest is Spark's, fitted on at most FINDINGS labelled findings that differ in label or features:
+of each label half of them, or more where the other has fewer, the first by hash. The tables bring
+no labelled findings, so `weak_labels` labels what needs no model: a quoted value assigned to
 a name like token or password is a secret; digits alone, and runs made of dictionary words, are not.
 All other findings have no label and are judged by the forest alone. With labels of one class only,
 no forest can be fitted and each finding keeps its label, unlabelled ones counting as secrets.
@@ -108,15 +109,25 @@ def weak_labels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(F.col("finding").rlike("^[0-9]+$") | (F.col("dictionary") > 0.6), F.lit(0.0)).when(assigned, F.lit(1.0)))
 
 
+def sample(labelled: DataFrame, findings: int = FINDINGS) -> DataFrame | None:
+    """(label, FEATURES), each once: findings of them at most, of both labels; None if all are of one."""
+    known = labelled.where(F.col("label").isNotNull()).select("label", *FEATURES).distinct()
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return None
+    room = {0.0: max(findings // 2, findings - counts[1.0]), 1.0: max(findings // 2, findings - counts[0.0])}
+    no, yes = (known.where(F.col("label") == y).orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(n) for y, n in room.items())
+    return no.union(yes)
+
+
 def train(labelled: DataFrame, trees: int = 20, depth: int = 6, findings: int = FINDINGS) -> PipelineModel | None:
     """A forest on labelled findings (label, FEATURES); None if they are of one class."""
-    known = labelled.where(F.col("label").isNotNull())
-    sample = known.orderBy(F.xxhash64("finding", "before"), "finding_id").limit(findings)
-    if sample.select("label").distinct().count() < 2:
+    known = sample(labelled, findings)
+    if known is None:
         return None
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    return PipelineModel([assembler, forest.fit(assembler.transform(sample))])
+    return PipelineModel([assembler, forest.fit(assembler.transform(known))])
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

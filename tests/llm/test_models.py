@@ -56,6 +56,16 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secret_sample_has_both_labels(spark):
+    made = [(float(y), *[float(y * i + k) for k in range(len(secrets.FEATURES))]) for y, n in ((1, 300), (0, 1)) for i in range(n)]
+    rows = [(i, str(i % 301), "", *r) for i, r in enumerate(made * 2)]
+    labelled = spark.createDataFrame(rows, ["finding_id", "finding", "before", "label", *secrets.FEATURES])
+    assert secrets.train(labelled, findings=6) is not None
+    count = lambda n: {r["label"]: r["count"] for r in secrets.sample(labelled, n).groupBy("label").count().collect()}
+    assert count(6) == {0.0: 1, 1.0: 5} and count(1000) == {0.0: 1, 1.0: 300}
+    assert secrets.train(labelled.where("label = 1"), findings=6) is None
+
+
 @pytest.mark.parametrize("name", ["op2_secrets"])
 def test_planted_tokens(spark, name):
     found = queries.QUERIES[name](spark, SF)
