@@ -1,15 +1,19 @@
-"""Secret scan: candidates by their shape, false positives removed by a random forest.
+"""Secret scan: candidates by their shape or name, false positives removed by a random forest.
 
-A candidate is a run of 16 or more of [A-Za-z0-9+/_=-] with a digit in it, inside a word. Features:
-length, shares of character classes, entropy, transitions (switches of class, and the likelihood of
-its letter pairs in the corpus's dictionary), dictionary coverage, path marks, quotes, and what the
-words before and after say. The dictionary is the DICTIONARY most frequent words of four letters or
-more over all documents.
+A candidate is a run of 16 or more of [A-Za-z0-9+/_=-] inside a word, or a value of 6 or more characters
+that = or : assigns to a name like token or password: up to its closing quote, or else to the end of the
+word without closing punctuation. Of a quoted value with blanks the first word counts.
+
+Features: length, shares of character classes, entropy, transitions (switches of class, and the
+likelihood of its letter pairs in the corpus's dictionary), dictionary coverage, path marks, quotes,
+and what the words before and after say. The dictionary is the DICTIONARY most frequent words of four
+letters or more over all documents, of those found more than once.
 
 The forest is Spark's, fitted on at most FINDINGS labelled findings that differ in label or features:
 of each label half of them, or more where the other has fewer, the first by hash. The tables bring
 no labelled findings, so `weak_labels` labels what needs no model: a quoted value assigned to
-a name like token or password is a secret; digits alone, and runs made of dictionary words, are not.
+a name like token or password is a secret if it is a run or has letters and digits; runs without a
+letter, and findings made of dictionary words, are not.
 All other findings have no label and are judged by the forest alone. With labels of one class only,
 no forest can be fitted and each finding keeps its label, unlabelled ones counting as secrets.
 
@@ -34,28 +38,39 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 DICTIONARY = 5_000
 FINDINGS = 20_000
 NAMES = "token|secret|password|passwd|pwd|api|key|auth|bearer|credential|private"
+#: A name, what closes it, and what assigns to it.
+NAME = rf"(?i)(?:{NAMES})\w*[\\\"'`\])]*"
+ASSIGNS = rf"{NAME}\s*[=:]+>?\s*"
+QUOTED = rf"{ASSIGNS}\\?([\"'`])(\S{{6,}}?)(?:\\?\1|$)"
+BARE = rf"{ASSIGNS}([^\s\"'`\\]\S{{4,}}[^\s.,;:)\]}}>\"'`\\])"
 
 FEATURES = ["n", "digits", "lowers", "uppers", "hex", "entropy", "switches", "pairs", "dictionary", "slashes", "dashes", "quoted", "path", "named", "assigned", "prose_before", "prose_after"]
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> finding_id, doc_id, word_no (from 0), word, finding, before, after; written in the shared folder."""
-    worded = docs.where(F.col("text").rlike(RUN)).select("doc_id", F.split("text", BLANKS).alias("words"))
-    hits = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(RUN))
+    """docs (doc_id, text) -> finding_id, doc_id, word_no (from 0), word, finding, told (a quoted value assigned to a name), before, after; written in the shared folder."""
+    told = F.col("text").rlike(rf"{ASSIGNS}\S{{6}}")
+    worded = docs.where(F.col("text").rlike(RUN) | told).select("doc_id", F.split("text", BLANKS).alias("words"), told.alias("told"))
     around = lambda i, d: F.coalesce(F.get("words", i + d), F.lit(""))
+    near = lambda i: F.concat_ws(" ", around(i, -2), around(i, -1), around(i, 0)).rlike(rf"{ASSIGNS}\S{{6}}")
+    hits = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(RUN) | (F.col("told") & near(i)))
     shape = F.transform(
         hits,
         lambda i: F.struct(i.alias("word_no"), F.get("words", i).alias("word"), F.concat_ws(" ", around(i, -3), around(i, -2), around(i, -1)).alias("before"), around(i, 1).alias("after")),
     )
     rows = worded.select("doc_id", F.explode(shape).alias("hit")).select("doc_id", "hit.*")
-    runs = rows.withColumn("finding", F.explode(F.regexp_extract_all("word", F.lit(f"({RUN})"), 1))).where(F.col("finding").rlike("[0-9]"))
-    return staged(runs.select(F.monotonically_increasing_id().alias("finding_id"), "doc_id", "word_no", "word", "finding", "before", "after"), "findings")
+    # the word after a name that ends before it, if one does: values are those that begin in the word
+    named = F.concat(F.regexp_extract("before", rf"{NAME}(?:\s*[=:]+>?)?$", 0), F.lit(" "), "word")
+    parts = rows.withColumns({"runs": F.regexp_extract_all("word", F.lit(f"({RUN})"), 1), "quoted": F.regexp_extract_all(named, F.lit(QUOTED), 2), "bare": F.regexp_extract_all(named, F.lit(BARE), 1)})
+    values = F.filter(F.concat("quoted", "bare"), lambda v: ~F.array_contains("runs", v))
+    found = parts.withColumn("finding", F.explode(F.concat("runs", values))).withColumn("told", F.array_contains("quoted", F.col("finding")))
+    return staged(found.select(F.monotonically_increasing_id().alias("finding_id"), "doc_id", "word_no", "word", "finding", "told", "before", "after"), "findings")
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """(entry, n): the most frequent words of ASCII letters, lower case, four or more, over all documents."""
+    """(entry, n): the most frequent words of ASCII letters, lower case, four or more, over all documents; a word found once could be the secret."""
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("entry")).where(F.length("entry") >= 4)
-    return staged(words.groupBy("entry").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entry").limit(size), "dictionary")
+    return staged(words.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "entry").limit(size), "dictionary")
 
 
 def _share(pattern: str) -> Column:
@@ -106,7 +121,9 @@ def features(findings: DataFrame, entries: DataFrame) -> DataFrame:
 def weak_labels(rows: DataFrame) -> DataFrame:
     """Features with `label`: 1.0, 0.0, or null where only a model can tell."""
     assigned = F.concat_ws(" ", "before", "word").rlike(rf"(?i)(?:{NAMES})\w*[\"']?\s*[=:]+\s*[\"'][A-Za-z0-9+/_=-]{{16,}}[\"']")
-    return rows.withColumn("label", F.when(F.col("finding").rlike("^[0-9]+$") | (F.col("dictionary") > 0.6), F.lit(0.0)).when(assigned, F.lit(1.0)))
+    mixed = F.col("told") & F.col("finding").rlike("[0-9]") & F.col("finding").rlike(r"\p{L}")
+    plain = F.col("finding").rlike("^[0-9+/_=-]+$") & ~F.col("told")
+    return rows.withColumn("label", F.when(mixed, F.lit(1.0)).when(plain | (F.col("dictionary") > 0.6), F.lit(0.0)).when(assigned, F.lit(1.0)))
 
 
 def sample(labelled: DataFrame, findings: int = FINDINGS) -> DataFrame | None:

@@ -56,6 +56,28 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_of_other_shapes(spark):
+    """Without a digit, short, or broken by punctuation; long words stay candidates that the forest turns down."""
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    made = [(i, f'text before token = "{key[i % 7 :]}{i:06d}" and after') for i in range(40)] + [(100 + i, f"call 12345678901234{i:02d} for internationalization, thank you") for i in range(40)]
+    secret = {
+        500: ('set password = "P@ss.w0rd!2024" there', "P@ss.w0rd!2024"),
+        501: ('the token = "qZxWvKjPqRtYbNmLkHgF" is', "qZxWvKjPqRtYbNmLkHgF"),
+        502: ('{"user":"x","password":"hunter22","n":1}', "hunter22"),
+        503: ("api_key: 'ab12-cd34.ef' end", "ab12-cd34.ef"),
+        504: ("password= `k7#mQ2!x` end", "k7#mQ2!x"),
+    }
+    bare = {600: ("login with pwd: hunter2, then go", "hunter2"), 601: ("PASSWORD=s3cr.et!9", "s3cr.et!9"), 602: ("my secret: T7-x.q5!", "T7-x.q5!"), 603: ('auth_token => "aa11"', None)}
+    docs = spark.createDataFrame([*made, *[(d, t) for d, (t, _) in {**secret, **bare}.items()]], "doc_id long, text string").repartition(4)
+    found = secrets.scan(docs).collect()
+    there = {(r["doc_id"], r["finding"]): r["is_secret"] for r in found}
+    assert {v: there.get((d, v)) for d, (_, v) in secret.items()} == {v: True for _, v in secret.values()}
+    assert all((d, v) in there for d, (_, v) in bare.items() if v) and not any(d == 603 for d, _ in there)
+    assert all(there[100 + i, "internationalization"] is False for i in range(40))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.scan(docs)).collect()}
+    assert clean[500] == 'set password = "[secret]" there' and clean[502] == '{"user":"x","password":"[secret]","n":1}'
+
+
 def test_secret_sample_has_both_labels(spark):
     made = [(float(y), *[float(y * i + k) for k in range(len(secrets.FEATURES))]) for y, n in ((1, 300), (0, 1)) for i in range(n)]
     rows = [(i, str(i % 301), "", *r) for i, r in enumerate(made * 2)]
