@@ -3,10 +3,13 @@
 Byte-pair merges never cross the borders that a tokenizer's splitting pattern sets, so a text's ids
 are those of its pieces, one after the other. A single blank between two words is always such a
 border. So the distinct words of some documents at a time, each with the blank before it, are
-encoded once, and numpy puts the documents together. Each Python worker keeps the ids of the first
-KEPT_WORDS words and KEPT_PIECES pieces that it meets. Texts with other blanks are split as a whole; texts with
-characters beyond SAFE, whose classes or case might differ between Unicode versions, and tokenizers
-of another build go through the tokenizers library as a whole. All ways give the library's ids.
+encoded once, and numpy puts the documents together. Each Python worker keeps the ids of the words
+and pieces that it meets first, KEPT_BYTES of each. Texts with other blanks are split as a whole.
+Through the tokenizers library go, as a whole: texts with characters beyond SAFE, whose classes or
+case might differ between Unicode versions; texts in which an added token of the file stands, such as
+<|endoftext|>, which the library reads as that token (in any case, lest a tokenizer lower-cases
+first); and tokenizers of another build. All ways give the ids of
+Tokenizer.from_file(path).encode(text, add_special_tokens=False).
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -24,8 +27,10 @@ import pyarrow as pa
 from ._text import Words, mix, words_of
 from ._worker import keep
 
-KEPT_WORDS, KEPT_PIECES = 100_000, 300_000
-SLICES = 12
+KEPT_BYTES = 16 << 20
+#: What a dict entry with a key and a value of no length takes, about.
+_ENTRY = 180
+SLICES = 8
 
 # The splitting patterns of the two public tokenizers over SAFE characters.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -43,14 +48,15 @@ def _byte_letters() -> list[str]:
 
 
 class _Kept(dict):
-    """key -> made(key), kept for the first `most` keys."""
+    """key -> made(key), kept for the first keys, about `room` bytes of them."""
 
-    def __init__(self, made, most: int):
-        self.made, self.most = made, most
+    def __init__(self, made: Callable, room: int):
+        self.made, self.room = made, room
 
     def __missing__(self, key):
         value = self.made(key)
-        if len(self) < self.most:
+        if self.room > 0:
+            self.room -= _ENTRY + len(key) + len(value or b"")
             self[key] = value
         return value
 
@@ -63,22 +69,25 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.vocabulary = self.whole.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
         self.model, self.letters = self.whole.model, _byte_letters()
-        kind, before = made["model"]["type"], json.dumps([made["normalizer"], made["pre_tokenizer"]])
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        made = [json.loads(x.__getstate__()) if x is not None else None for x in (self.whole.normalizer, self.whole.pre_tokenizer)]
+        before = json.dumps(made)
         self.pattern, self.lower = None, False
-        if kind == "BPE" and not made["model"].get("ignore_merges"):
-            if made["normalizer"] is None and '"use_regex": true' in before and '"add_prefix_space": false' in before and "Split" not in before:
+        if type(self.model).__name__ == "BPE" and not self.model.ignore_merges and not any(re.search(r"\s", x) for x in added):
+            if made[0] is None and '"use_regex": true' in before and '"add_prefix_space": false' in before and "Split" not in before:
                 self.pattern = BYTE_PIECE
             elif "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in before and '"Lowercase"' in before and '"use_regex": false' in before:
                 self.pattern, self.lower = WORD_PIECE, True
-        self.pieces = _Kept(self._piece, KEPT_PIECES)
-        self.words = _Kept(self._word, KEPT_WORDS)
+        self.pieces = _Kept(self._piece, KEPT_BYTES)
+        self.words = _Kept(self._word, KEPT_BYTES)
+
+    def _safe(self, text: str) -> bool:
+        return SAFE.fullmatch(text) is not None and (self.added is None or self.added.search(text) is None)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii():
@@ -94,16 +103,16 @@ class Encoder:
     def _word(self, word: bytes) -> bytes | None:
         """Of a word and the blank before it; None if it isn't safe."""
         text = word.decode("utf-8", "replace")
+        if not self._safe(text):
+            return None
         if word[word[:1] == b" " :].isalpha():  # ASCII letters after a space, if any: one piece
             return self.pieces[text.strip().lower() if self.lower else text]
-        if not SAFE.fullmatch(text):
-            return None
         return self._split(text.lower() if self.lower else text)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        if self.pattern is None or not SAFE.fullmatch(text):
+        if self.pattern is None or not self._safe(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
         return np.frombuffer(self._split(text.lower() if self.lower else text), self.dtype)
 

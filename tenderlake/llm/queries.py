@@ -95,7 +95,7 @@ from words w left join sizes s on s.doc_id = w.doc_id join least l on l.a = w.do
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
+    pieces = pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024, with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -7,7 +7,8 @@ before the block in its shard. Id k of a block starts at bit k * width: `unpack`
 a block with numpy and no loop. Shards hold ascending ranges of doc_id.
 
 A null text is an empty one: its end id alone. Rows that share a doc_id follow each other by a hash
-of their text. A block has BLOCK_IDS ids, or one document that is longer. Other columns aren't kept.
+of their text, and copies as they were read; rows without a doc_id come first. doc_id keeps its type.
+A block has BLOCK_IDS ids, or one document that is longer. Other columns aren't kept.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._tokens import encoder
+from ._worker import parts
 
 BLOCK_IDS = 1 << 16
-#: Rows that a task encodes at once.
-ROWS = 2_000
-BLOCKS = "shard int, block int, first long, width int, doc_ids array<long>, ends array<long>, payload binary"
+BLOCKS = "shard int, block int, first long, width int, doc_ids array<{}>, ends array<long>, payload binary"
 
 
 def bits(vocabulary: int) -> int:
@@ -55,24 +55,25 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard = encoder(path), TaskContext.get().partitionId()
         width, block, first = bits(max(code.vocabulary, end_id + 1)), 0, 0
-        names: list[int] = []
-        parts: list[np.ndarray] = []
+        names: list = []
+        ids_of: list[np.ndarray] = []
         held, end = 0, np.array([end_id], code.dtype)
 
         def flush() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) for p in parts])
-            row = [[shard], [block], [first], [width], [names], [ends.tolist()], [pack(np.concatenate(parts), width)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            ends = np.cumsum([len(p) for p in ids_of])
+            row = [[shard], [block], [first], [width], [names], [ends.tolist()], [pack(np.concatenate(ids_of), width)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["shard", "block", "first", "width", "doc_ids", "ends", "payload"])
 
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        for batch in parts(batches):
+            kind = batch.column(0).type
             for name, ids in zip(batch.column(0).to_pylist(), code.encode_column(batch.column(1))):
                 ids = np.concatenate([ids, end])
                 if held and held + len(ids) > BLOCK_IDS:
                     yield flush()
-                    block, first, names, parts, held = block + 1, first + held, [], [], 0
+                    block, first, names, ids_of, held = block + 1, first + held, [], [], 0
                 names.append(name)
-                parts.append(ids)
+                ids_of.append(ids)
                 held += len(ids)
         if held:
             yield flush()
@@ -82,14 +83,16 @@ def _encode(path: str, end_id: int):
 
 def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Encode docs (doc_id, text) and write their ids, each document closed by end_id, in ascending doc_id order."""
-    rows = docs.select("doc_id", "text")
-    rank = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("doc_id"), rank).sortWithinPartitions(F.col("doc_id"), rank)
-    ordered.mapInArrow(_encode(tokenizer_path, end_id), BLOCKS).write.parquet(path)
+    # the last key lets copies of one row, however many, lie in several ranges
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_rank"), F.monotonically_increasing_id().alias("_turn"))
+    by = ("doc_id", "_rank", "_turn")
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ordered.mapInArrow(_encode(tokenizer_path, end_id), BLOCKS.format(kind)).write.parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BLOCKS).parquet(path)
+    return spark.read.parquet(path)
 
 
 def shard_starts(blocks: DataFrame) -> DataFrame:
@@ -106,14 +109,15 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = np.concatenate([[0], end[:-1]]).astype(np.int64)
             ids = unpack(payload.as_py(), width.as_py(), 0, int(end[-1]))
             cut = [ids[a:b].tobytes() for a, b in zip(start, end)]
-            columns = [pa.array([shard.as_py()] * len(end), pa.int32()), pa.array(doc_ids.as_py(), pa.int64()), pa.array(start + first.as_py()), pa.array(end - start), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary())]
+            columns = [pa.array([shard.as_py()] * len(end), pa.int32()), doc_ids.values, pa.array(start + first.as_py()), pa.array(end - start), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(cut, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids): every document, read back; ids are little-endian unsigned 32-bit integers."""
     blocks = read_blocks(spark, path)
-    docs = blocks.mapInArrow(_decode, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    docs = blocks.mapInArrow(_decode, f"shard int, doc_id {kind}, at long, n_tokens long, ids_crc32 long, ids binary")
     # a row for each shard: as many as tasks that wrote
     return docs.join(F.broadcast(shard_starts(blocks)), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
 

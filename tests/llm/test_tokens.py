@@ -6,21 +6,21 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tenderlake.llm import _tokens, packing, token_file
 
-HARD = ["a  b\n\n c\t d", "I'm he'LL 'S ſt don't  '' ' s", "  x", "x  ", "x\n", "\nx", "x\n\ny", "a b\nc d", "İ Iı ǅ", "12345 ²³ a1b2 ", "<|endoftext|> <|startoftext|>", "😀 ok", "\x1c\x85\xa0 z", "é", "a\r\nb", "'re're 've"]
+HARD = ["a  b\n\n c\t d", "I'm he'LL 'S ſt don't  '' ' s", "  x", "x  ", "x\n", "\nx", "x\n\ny", "a b\nc d", "İ Iı ǅ", "12345 ²³ a1b2 ", "<|endoftext|> <|startoftext|>", "hello <|endoftext|> world", "A <|EndOfText|>x<|startoftext|> B", "glued<|endoftext|>words \n <|endoftext|>", "<|endoftext", "😀 ok", "\x1c\x85\xa0 z", "é", "a\r\nb", "'re're 've"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_same_ids_as_the_library(name, monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(_tokens, "KEPT_WORDS", 50)
+    monkeypatch.setattr(_tokens, "KEPT_BYTES", 10_000)
     path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     texts = [t for _, t in brute.corpus()] + HARD
     code = _tokens.Encoder(path)
     assert code.pattern is not None
@@ -39,7 +39,6 @@ def test_bits(width):
 
 def library_ids(name, rows, end):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     return {d: [*whole.encode(t or "", add_special_tokens=False).ids, end] for d, t in rows}
 
 
@@ -81,3 +80,20 @@ def test_packing(docs, rows, none):
         assert at == 1024 or k == len(by_seq) - 1
     assert packing.sequences(pieces).count() == len(by_seq)
     assert packing.pack_documents(none, path, 0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_names_keep_their_type(spark, tmp_path, kind):
+    rows = [("7", "a b"), (None, "c"), ("7", None), ("10", "<|endoftext|>")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(2)
+    token_file.write_token_file(docs, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    for df in (token_file.read_token_file(spark, str(tmp_path / "t")), packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)):
+        assert dict(df.dtypes)["doc_id"] == docs.schema["doc_id"].dataType.simpleString()
+        assert sorted(map(str, (r["doc_id"] for r in df.collect()))) == ["10", "7", "7", "None"]
+
+
+def test_sequences_are_padded(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, 5)
+    found = {r["sequence_id"]: (r["n"], np.frombuffer(bytes(r["ids"]), "<u4").tolist()) for r in packing.sequences(pieces, 5, 9).collect()}
+    assert [len(x) for _, x in found.values()] == [5, 5] and found[1][0] == 3 and found[1][1][2:] == [0, 9, 9]
