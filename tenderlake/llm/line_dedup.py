@@ -5,9 +5,10 @@
    holds the others only.
 2. The hashes are dealt to shards of about SHARD_KEYS keys. A task builds each shard: a minimal
    perfect hash by bucket displacement, whose slots hold a 64-bit fingerprint and a count.
-3. Documents probe the arrays: within BROADCAST_BYTES of shards, the index is broadcast; beyond
-   that, groups of shards of that size are broadcast in turn, one pass over the line hashes each,
-   and only hits go back to their documents. No join on lines in either way.
+3. Documents probe the arrays. An index of BROADCAST_BYTES at most is broadcast. A larger one stays
+   where it is: a pass over the texts picks the lines that a Bloom filter of fixed size lets through,
+   their hashes travel to the shards, are probed there, and hits go back to their documents. So the
+   texts are read as often for any size, and the driver never holds an index beyond BROADCAST_BYTES.
 
 A line that isn't a key is refused by its fingerprint, but for a chance of 2**-64 each.
 
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import _bloom
+from ._serve import beside
 from ._stage import staged
 from ._text import BLANK
+from ._worker import parts
 
 SHARD_KEYS = 20_000
 BROADCAST_BYTES = 64 << 20
+#: Lines that one task probes for a shard, about.
+SERVED = 1_000_000
 RESULTS = ("kept_text", "n_lines", "n_dropped", "kept_sha256")
 _M64 = (1 << 64) - 1
 
@@ -55,7 +60,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _count_lines(min_chars: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found: dict[bytes, int] = {}
             for text in batch.column(0).to_pylist():
                 keys = set(map(key_of, (text or b"").split(b"\n")))
@@ -137,19 +142,22 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"shard": [key[0].as_py()], "seeds": [shard["seeds"].tobytes()], "fingerprints": [shard["fingerprints"].tobytes()], "counts": [shard["counts"].tobytes()], "extra": [extra.tobytes()]})
 
 
-def build_index(counts: DataFrame, min_docs: int) -> DataFrame:
-    """One row for each shard of the keys found in at least min_docs documents; written in the shared folder."""
+def build_index(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """The keys (hi, lo, docs) found in at least min_docs documents, and one row for each shard of them; both written in the shared folder."""
     keys = staged(counts.where(F.col("docs") >= min_docs), "line-keys")
     shards = max(1, -(-keys.count() // SHARD_KEYS))
     index = keys.withColumn("shard", F.pmod(F.col("hi"), F.lit(shards))).groupBy("shard").applyInArrow(_build, "shard long, seeds binary, fingerprints binary, counts binary, extra binary")
-    return staged(index.withColumn("shards", F.lit(shards)), "line-index")
+    return keys, staged(index.withColumn("shards", F.lit(shards)), "line-index")
 
 
-def _load(rows: list) -> dict:
-    """Shards by number."""
-    out = {}
-    for r in rows:
-        out[r.shard] = {"seeds": np.frombuffer(r.seeds, np.uint32), "fingerprints": np.frombuffer(r.fingerprints, np.uint64), "counts": np.frombuffer(r.counts, np.int64), "extra": np.frombuffer(r.extra, np.uint64).reshape(3, -1)}
+def _arrays(row: dict) -> dict[str, np.ndarray]:
+    return {"seeds": np.frombuffer(row["seeds"], np.uint32), "fingerprints": np.frombuffer(row["fingerprints"], np.uint64), "counts": np.frombuffer(row["counts"], np.int64), "extra": np.frombuffer(row["extra"], np.uint64).reshape(3, -1)}
+
+
+def _counts(shard: dict[str, np.ndarray], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    out = probe(shard, hi, lo)
+    for h, l, c in shard["extra"].T:
+        out[(hi == h) & (lo == l)] = c
     return out
 
 
@@ -159,9 +167,7 @@ def _lookup(index: dict, shards: int, hi: np.ndarray, lo: np.ndarray) -> np.ndar
     for s in np.unique(where):
         if s in index:
             rows = where == s
-            out[rows] = probe(index[s], hi[rows], lo[rows])
-            for h, l, c in index[s]["extra"].T:
-                out[rows & (hi == h) & (lo == l)] = c
+            out[rows] = _counts(index[s], hi[rows], lo[rows])
     return out
 
 
@@ -182,7 +188,7 @@ def _batch_lines(texts: list) -> tuple[list[list[bytes]], np.ndarray]:
 def _probe_docs(index_of, shards: int, text_at: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of()
-        for batch in batches:
+        for batch in parts(batches):
             lines, h = _batch_lines(batch.column(text_at).to_pylist())
             drop = _lookup(index, shards, h[:, 0].copy(), h[:, 1].copy()) > 0
             yield _kept(batch, text_at, lines, drop, schema)
@@ -203,22 +209,43 @@ def _kept(batch: pa.RecordBatch, text_at: int, lines: list, drop: np.ndarray, sc
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _hits(index_of, shards: int):
+def _likely(sent, shards: int):
+    """Lines that may be in the index, each with its text's key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of()
-        for batch in batches:
+        bloom = sent.value
+        for batch in parts(batches):
             lines, h = _batch_lines(batch.column(1).to_pylist())
-            hit = np.flatnonzero(_lookup(index, shards, h[:, 0].copy(), h[:, 1].copy()) > 0)
+            at = np.flatnonzero(bloom.has(h[:, 0].copy()))
             edge = np.cumsum([0, *map(len, lines)])
-            row = np.searchsorted(edge, hit, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((hit - edge[row]).astype(np.int32))], ["_key", "line"])
+            row = np.searchsorted(edge, at, "right") - 1
+            shard = np.mod(_signed(h[at, 0]), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(pa.array(row)), pa.array((at - edge[row]).astype(np.int32)), pa.array(_signed(h[at, 0])), pa.array(_signed(h[at, 1]))], ["shard", "_key", "line", "hi", "lo"])
 
     return run
 
 
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard and task: its arrays, then the lines that probe them."""
+    index: dict = {}
+    for batch in parts(batches, rows=100_000):
+        shard, turn = (batch.column(c).to_numpy() for c in ("shard", "turn"))
+        for k in np.flatnonzero(turn == 0).tolist():
+            index[int(shard[k])] = _arrays(batch.column("index")[k].as_py())
+        asked = batch.column("asked").filter(pa.array(turn == 1))
+        hi, lo = (asked.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("hi", "lo"))
+        own, hit = shard[turn == 1], np.zeros(len(hi), bool)
+        for s in np.unique(own):
+            rows = own == s
+            hit[rows] = _counts(index[int(s)], hi[rows], lo[rows]) > 0
+        index = {s: v for s, v in index.items() if s == shard[-1]}
+        keep = pa.array(hit)
+        yield pa.RecordBatch.from_arrays([asked.field("_key").filter(keep), asked.field("line").filter(keep)], ["_key", "line"])
+
+
 def _drop_listed(text_at: int, hits_at: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             lines = [(t or b"").split(b"\n") for t in batch.column(text_at).to_pylist()]
             drop = np.zeros(sum(map(len, lines)), bool)
             at = 0
@@ -238,33 +265,24 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
     at least goes, in every document; the others stay, joined by newlines.
     """
     spark = docs.sparkSession
-    index = build_index(line_counts(docs, min_chars), min_docs)
-    sizes = sorted(index.select("shard", (F.length("seeds") + F.length("fingerprints") + F.length("counts") + F.length("extra")).alias("size"), "shards").collect())
-    shards = sizes[0].shards if sizes else 1
-    groups: list[list[int]] = [[]]
-    room = broadcast_bytes
-    for r in sizes:
-        if groups[-1] and r.size > room:
-            groups.append([])
-            room = broadcast_bytes
-        groups[-1].append(r.shard)
-        room -= r.size
-
-    def sent(group: list[int]):
-        value = spark.sparkContext.broadcast(_load(index.where(F.col("shard").isin(group)).collect() if group else []))
-        return lambda: value.value
+    keys, index = build_index(line_counts(docs, min_chars), min_docs)
+    size = F.length("seeds") + F.length("fingerprints") + F.length("counts") + F.length("extra")
+    total, shards = index.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max("shards"), F.lit(1))).first()
 
     others = [c for c in docs.columns if c not in ("text", *RESULTS)]
     source = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)], F.col("text").cast("binary").alias("_text"))
     shape = T.StructType([*source.drop("_text").schema.fields, T.StructField("_text", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     arrow = to_arrow_schema(shape)
-    if len(groups) == 1:
-        result = source.mapInArrow(_probe_docs(sent(groups[0]), shards, len(others), arrow), shape)
+    if total <= broadcast_bytes:
+        value = spark.sparkContext.broadcast({r["shard"]: _arrays(r) for r in index.collect()})
+        result = source.mapInArrow(_probe_docs(lambda: value.value, shards, len(others), arrow), shape)
     else:
         # rows are known by their content: copies of a row have the same lines to lose
         keyed = source.withColumn("_key", F.struct(F.xxhash64("_text").alias("a"), F.crc32(F.coalesce("_text", F.lit(b""))).alias("b"), F.coalesce(F.length("_text"), F.lit(0)).alias("n")))
-        texts = keyed.select("_key", "_text")
-        hits = reduce(DataFrame.union, [texts.mapInArrow(_hits(sent(g), shards), "_key struct<a:bigint,b:bigint,n:int>, line int") for g in groups])
+        bloom = spark.sparkContext.broadcast(_bloom.build(keys.select("hi"), keys.count()))
+        asked = staged(keyed.select("_key", "_text").mapInArrow(_likely(bloom, shards), "shard long, _key struct<a:bigint,b:bigint,n:int>, line int, hi long, lo long").distinct(), "likely-lines")
+        bloom.unpersist()
+        hits = beside(index.drop("shards"), asked, SERVED, "_key").mapInArrow(_hits, "_key struct<a:bigint,b:bigint,n:int>, line int")
         listed = hits.groupBy("_key").agg(F.collect_set("line").alias("_hits"))
         joined = keyed.join(listed, "_key", "left").select(*source.columns, "_hits")
         result = joined.mapInArrow(_drop_listed(len(others), len(others) + 1, arrow), shape)
