@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._worker import release
+from ._worker import parts, release
 
 CHUNK = 1 << 19
 BLOCK = 1 << 13
@@ -56,7 +56,7 @@ def dense_counts(rows: DataFrame, names: list[str], count: Callable[[pa.RecordBa
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         totals = {n: np.zeros(bins, np.int64) for n in names}
-        for batch in batches:
+        for batch in parts(batches):
             count(batch, totals)
         for name, total in totals.items():
             for at in range(0, bins, BLOCK):
