@@ -77,13 +77,14 @@ class Words:
     edge: np.ndarray  # first word of each document, and the number of words at the end
     at: np.ndarray  # first byte of each document in buf, and the number of bytes at the end
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of other ranges of bytes."""
+        start, end = (self.start, self.end) if start is None else (start, end)
         n = len(self.buf)
         power, inverse = _power(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.buf] * power[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+        return mix((total[end] - total[start]) * inverse[start])
 
 
 def words_of(column: pa.Array, table: np.ndarray = NOT_BLANK, lower: bool = False) -> Iterator[Words]:

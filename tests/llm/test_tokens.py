@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from tenderlake.llm import _tokens, packing, token_file
 
-HARD = ["a  b\n\n c\t d", "I'm he'LL 'S ſt don't  '' ' s", "  x", "x  ", "x\n", "\nx", "x\n\ny", "a b\nc d", "İ Iı ǅ", "12345 ²³ a1b2 ", "<|endoftext|> <|startoftext|>", "hello <|endoftext|> world", "A <|EndOfText|>x<|startoftext|> B", "glued<|endoftext|>words \n <|endoftext|>", "<|endoftext", "😀 ok", "\x1c\x85\xa0 z", "é", "a\r\nb", "'re're 've"]
+HARD = ["a  b\n\n c\t d", "I'm he'LL 'S ſt don't  '' ' s", "  x", "x  ", "x\n", "\nx", "x\n\ny", "a b\nc d", "İ Iı ǅ", "12345 ²³ a1b2 ", "<|endoftext|> <|startoftext|>", "hello <|endoftext|> world", "A <|EndOfText|>x<|startoftext|> B", "Ärger ÉCOLE œuvre Ÿ ×÷ a×b ñ1ñ2 Äb12cd34, e.g. x_y-z3#", "a  É", "it's, we're; o'neil's 1st 22nd", "glued<|endoftext|>words \n <|endoftext|>", "<|endoftext", "😀 ok", "\x1c\x85\xa0 z", "é", "a\r\nb", "'re're 've"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
