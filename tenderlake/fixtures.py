@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.windows import number_items
+
 ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -29,19 +31,20 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_num, body): the log as landed JSON pages. Odd events write lists, every 97th document has only `id`, every 50th page is an error."""
+    """(page_num, body): the log as landed JSON pages. Each declares the distinct bids of the log; odd events write lists, every 97th document has only `id`, every 50th page is an error."""
     log = observations(spark, sf_dir)
+    total = log.agg(F.countDistinct("b_id")).first()[0]
     kinds = {"b_bid_number": "string", "b_category_name": "string", "b_status": "int", "department_name": "string", "b_total_quantity": "int"}
     listed = F.to_json(F.struct(F.col("b_id").cast("string").alias("id"), F.array(F.when(F.col("seq") % 97 == 0, F.lit(0)).otherwise(F.col("b_id"))).alias("b_id"), *[F.array(c).alias(c) for c in kinds], F.array(F.date_format("final_end_date_sort", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("final_end_date_sort")))
     plain = F.to_json(F.struct(F.col("b_id").cast("string").alias("id"), F.when(F.col("seq") % 97 == 0, F.lit(0)).otherwise(F.col("b_id")).alias("b_id"), *kinds, F.date_format("final_end_date_sort", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("final_end_date_sort")))
     doc = F.when(F.col("seq") % 2 == 1, listed).otherwise(plain)
     docs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", doc.alias("doc")))), lambda x: x["doc"]), ",")
-    body = F.concat(F.lit('{"response":{"response":{"numFound":'), F.count("*").cast("string"), F.lit(',"docs":['), docs, F.lit("]}}}"))
+    body = F.concat(F.lit('{"response":{"response":{"numFound":'), F.lit(str(total)), F.lit(',"docs":['), docs, F.lit("]}}}"))
     return log.groupBy("page_num").agg(body.alias("body")).withColumn("body", F.when(F.col("page_num") % 50 == 0, F.lit('{"error":1}')).otherwise(F.col("body")))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = table(spark, sf_dir, "lineitem").withColumn("item_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)))
+    numbered = number_items(table(spark, sf_dir, "lineitem"), "l_orderkey", *ITEM_ORDER)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     return numbered.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat(F.lit("C-"), "l_orderkey").alias("contract_number"),
@@ -84,11 +87,11 @@ def _amount(c) -> F.Column:
 
 
 def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): each contract rendered, a field a line, bilingual labels and thousands separators."""
+    """(doc_id, text): each contract rendered, a field a line but for the brand's type, bilingual labels and thousands separators."""
     rows = F.array_join(
         F.transform(
             F.array_sort(F.collect_list(F.struct("item_no", "product_name", "brand", "model", "quantity", "price"))),
-            lambda i: F.concat(F.lit("Product Name : "), i["product_name"], F.lit("\nBrand : "), i["brand"], F.lit("\nModel : "), i["model"], F.lit("\n"), i["quantity"].cast("string"), F.lit(" pieces "), _amount(i["price"]), F.lit(" NA "), _amount(i["price"])),
+            lambda i: F.concat(F.lit("Product Name : "), i["product_name"], F.lit("\nBrand : "), i["brand"], F.lit(" Brand Type : Registered\nश्रेणी|Category Name & Quadrant : Q"), (i["item_no"] % 4).cast("string"), F.when(i["item_no"] % 2 == 1, F.lit("\nCatalogue Status : OEM verified\nSelling As : Reseller not verified by OEMs\nHSN Code : 9608")).otherwise(F.lit("")), F.lit("\nModel : "), i["model"], F.lit("\n"), i["quantity"].cast("string"), F.lit(" pieces "), _amount(i["price"]), F.lit(" NA "), _amount(i["price"])),
         ),
         "\n",
     )

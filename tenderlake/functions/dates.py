@@ -33,14 +33,11 @@ def contract_time(c: Column) -> Column:
 
 def date_windows(spark: SparkSession, first_from: str, first_to: str, today: str) -> DataFrame:
     """(n, from_day, to_day): windows that follow each other up to today, each start a day after the last end, each end three months less a day on, clamped to today. Days are ISO text."""
-    return spark.sql(
-        """
-        with recursive w(n, from_day, to_day) as (
-          select 1, date(:first_from), least(date(:first_to), date(:today)) where date(:first_from) <= date(:today)
-          union all
-          select n + 1, date_add(to_day, 1), least(date_add(add_months(date_add(to_day, 1), 3), -1), date(:today)) from w where to_day < date(:today)
-        )
-        select n, from_day, to_day from w
-        """,
-        args={"first_from": first_from, "first_to": first_to, "today": today},
-    )
+    days = spark.range(1).select(*[F.lit(x).cast("date").alias(c) for c, x in (("first", first_from), ("end", first_to), ("today", today))])
+    second = F.date_add("end", 1)
+    later = F.greatest(F.ceil(F.months_between("today", second) / 3).cast("int"), F.lit(0)) + 1
+    # each start is three months after the one before, its day clamped again and again
+    starts = F.aggregate(F.sequence(F.lit(1), later), F.array("first", second), lambda acc, _: F.concat(acc, F.array(F.add_months(F.element_at(acc, -1), 3))))
+    spans = days.select("today", starts.alias("starts")).select("today", F.posexplode("starts").alias("n", "from_day"), "starts")
+    to_day = F.coalesce(F.date_add(F.get("starts", F.col("n") + 1), -1), F.col("today"))
+    return spans.where("from_day <= today").select((F.col("n") + 1).alias("n"), "from_day", F.least(to_day, F.col("today")).alias("to_day"))

@@ -9,7 +9,7 @@ from .rows import matches_any
 
 
 def search_contracts(tables: dict[str, DataFrame], term: str, n: int = 20) -> DataFrame:
-    """Contracts with their organisation, buyer and seller, where the term is in any name; the first n by number."""
+    """Contracts with their organisation, buyer and seller, where the term is in any name; the first n by number. Buyers have no name: they are searched by address and designation."""
     found = resolve_keys(tables["contracts"], tables).where(matches_any(term, ["contract_number", "org_name", "buyer_email", "buyer_designation", "company_name"]))
     return found.select("contract_number", F.date_format("contract_date", "dd-MM-yyyy").alias("contract_day"), "total_value", "org_name", "buyer_designation", "company_name").orderBy("contract_number").limit(n)
 
@@ -47,15 +47,45 @@ def similarity(a, b):
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def match_labels(df: DataFrame, dim: DataFrame, label: str = "norm_label", threshold: float | None = None) -> DataFrame:
-    """df with matched_label: the dictionary's label of that normal form, the first on a tie. threshold: labels without one get the most similar entry, if its similarity is that or more; each distinct label is compared once."""
+#: Dictionary rows up to which each label is held against the whole dictionary; beyond, both meet by shared pieces.
+SMALL_DICTIONARY = 10_000
+
+
+def _by_pieces(rest: DataFrame, known: DataFrame, label: str, threshold: float) -> DataFrame:
+    """(label, norm_label) pairs that may be that similar. Of a word cut into one piece more than the edits allowed, one piece at least stands unchanged in the other word."""
+    length = F.length("norm_label")
+    cuts = F.floor(length * (1 - threshold) / threshold + 1e-9) + 1
+    at = lambda i: F.floor(i * length / cuts).cast("int")
+    piece = lambda i: F.substring(F.col("norm_label"), at(i) + 1, at(i + 1) - at(i))
+    entries = known.where(length > 0).select("norm_label", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), cuts - 1), piece))).alias("_piece"))
+    # a piece is no longer than this
+    widest = known.agg(F.max(F.ceil(length / cuts))).first()[0] or 1
+    n = F.length(label)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(int(widest)))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(label), i, k))))
+    asked = rest.where(n > 0).select(label, F.explode(F.array_distinct(runs)).alias("_piece"))
+    near = F.least(n, length) >= threshold * F.greatest(n, length) - 1e-9
+    return asked.join(entries, "_piece").where(near).select(label, "norm_label").distinct()
+
+
+def match_labels(df: DataFrame, dim: DataFrame, label: str = "norm_label", threshold: float | None = None, small: int = SMALL_DICTIONARY) -> DataFrame:
+    """df with matched_label: the dictionary's label of that normal form, the first by fill_order on a tie. threshold: labels without one get the most similar entry, if its similarity is that or more; each distinct label is compared once.
+
+    A dictionary of at most `small` rows, which are counted, is sent whole to all tasks; in a larger
+    one, labels and entries meet by the pieces that they share.
+    """
     exact = dim.groupBy(F.col("norm_label").alias(label)).agg(F.min_by("label", "fill_order").alias("matched_label"))
     if threshold is None:
-        # the dictionary has a fixed number of rows
-        return df.join(F.broadcast(exact), label, "left")
+        return df.join(exact, label, "left")
     known = dim.groupBy("norm_label").agg(F.min("fill_order").alias("fill_order"), F.min_by("label", "fill_order").alias("entry"))
-    rest = df.select(label).distinct().join(F.broadcast(exact), label, "left_anti")
-    entries = known.agg(F.collect_list(F.struct("norm_label", "fill_order", "entry")).alias("entries"))
-    likeness = F.transform("entries", lambda e: F.struct(F.round(similarity(F.col(label), e["norm_label"]), 12).alias("s"), (-e["fill_order"]).alias("o"), e["entry"].alias("entry")))
-    best = rest.join(F.broadcast(entries)).select(label, F.array_max(likeness).alias("best")).where(F.col("best.s") >= threshold).select(label, F.col("best.entry").alias("matched_label"))
+    rest = df.select(label).where(F.col(label).isNotNull()).distinct().join(exact, label, "left_anti")
+    score = lambda e: F.round(similarity(F.col(label), e), 12)
+    if known.count() <= small:
+        entries = known.agg(F.collect_list(F.struct("norm_label", "fill_order", "entry")).alias("entries"))
+        likeness = F.transform("entries", lambda e: F.struct((-score(e["norm_label"])).alias("s"), e["fill_order"].alias("o"), e["entry"].alias("entry")))
+        # one row, of `small` entries at most
+        best = rest.join(F.broadcast(entries)).select(label, F.array_min(likeness).alias("best")).where(F.col("best.s") <= -threshold).select(label, F.col("best.entry").alias("matched_label"))
+    else:
+        pairs = _by_pieces(rest.select(F.col(label).alias("_label")), known, "_label", threshold).join(known, "norm_label")
+        scored = pairs.select(F.col("_label").alias(label), "fill_order", "entry", F.round(similarity(F.col("_label"), F.col("norm_label")), 12).alias("s")).where(F.col("s") >= threshold)
+        best = scored.groupBy(label).agg(F.min_by("entry", F.struct(-F.col("s"), "fill_order")).alias("matched_label"))
     return df.join(exact.unionByName(best), label, "left")

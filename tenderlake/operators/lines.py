@@ -1,29 +1,47 @@
-"""Lines of documents, and the blocks they make."""
+"""Lines of documents, and the blocks they make; all inside a document's row, with no shuffle.
+
+Arrays are exploded in the outer form and rows without a place dropped after it: Spark would put a
+test of the array's size before the plain form, and make the array twice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import squeeze
+
+#: Stands between blocks while a text is cut; in texts it counts as a blank.
+BREAK = "\x1e"
+
+
+def continued(text: Column) -> Column:
+    """Lines with a colon, squeezed, each with the lines without one that follow it; those before the first colon, and blank lines, go."""
+    bare = F.regexp_replace(text, r"\n[ \t]*(?=\n|$)", "")
+    joined = F.regexp_replace(bare, r"\n(?=[^:\n]*(?:\n|$))", " ")
+    return F.transform(F.filter(F.split(joined, "\n"), lambda x: F.contains(x, F.lit(":"))), squeeze)
+
+
+def blocks(text: Column, marker: str) -> Column:
+    """What follows each marker line, that line included, up to the next; a marker line has the marker and a colon."""
+    start = rf"(?md)^(?=[^\n]*{re.escape(marker)})(?=[^\n]*:)"
+    parts = F.split(F.regexp_replace(F.translate(text, BREAK, " "), start, BREAK), BREAK)
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line): lines that aren't blank."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
 
 
-def _islands(lines: DataFrame, is_start) -> DataFrame:
-    """lines with `block`: the number of starts up to here in the document."""
-    return lines.withColumn("block", F.sum(is_start.cast("int")).over(Window.partitionBy("doc_id").orderBy("pos")))
-
-
-def join_continuations(lines: DataFrame) -> DataFrame:
-    """(doc_id, pos, line): lines without a colon put behind the line with one before them; those before the first colon go."""
-    grouped = _islands(lines, F.contains(F.col("line"), F.lit(":"))).where("block > 0")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"]))
-    return grouped.groupBy("doc_id", "block").agg(F.min("pos").alias("pos"), F.array_join(parts, " ").alias("line")).select("doc_id", "pos", "line")
+def join_continuations(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, pos, line): each line of `continued`."""
+    return docs.select("doc_id", F.posexplode_outer(continued(F.col("text"))).alias("pos", "line")).where("pos is not null")
 
 
-def segment_blocks(lines: DataFrame, marker: str = "Product Name") -> DataFrame:
-    """lines with `block`, from 1: everything from one marker line to the next."""
-    start = F.contains(F.col("line"), F.lit(marker)) & F.contains(F.col("line"), F.lit(":"))
-    return _islands(lines, start).where("block > 0")
+def segment_blocks(docs: DataFrame, marker: str = "Product Name") -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, block, pos, line): the lines of each block that aren't blank; blocks count from 1."""
+    each = docs.select("doc_id", F.posexplode_outer(blocks(F.col("text"), marker)).alias("block", "part")).where("block is not null")
+    return each.select("doc_id", (F.col("block") + 1).cast("long").alias("block"), F.posexplode(F.split("part", "\n")).alias("pos", "line")).where(F.trim("line") != "")

@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 
 def conform(df: DataFrame, columns: list[str], types: dict[str, str] | None = None, include: tuple[list[str], ...] = ()) -> DataFrame:
     """Those columns in that order: missing ones null, others dropped; include: optional groups that follow."""
@@ -80,6 +82,14 @@ def page_overlaps(log: DataFrame, key: str = "b_id", within: int = 5) -> DataFra
     return ahead.join(once, ["page_num", key]).groupBy("a", F.col("page_num").alias("b")).agg(F.count("*").alias("common"))
 
 
+def shared_keys(log: DataFrame, key: str = "b_id") -> DataFrame:
+    """(page_num, keys, shared, meetings) over all pairs of pages, without naming them: a page's distinct keys, those that any other page has too, and the sum of what it has in common with each other page. Rows without a key don't count."""
+    once = log.where(F.col(key).isNotNull()).select("page_num", key).distinct()
+    pages = once.groupBy(key).agg(F.count("*").alias("_pages"))
+    others = F.col("_pages") - 1
+    return once.join(pages, key).groupBy("page_num").agg(F.count("*").alias("keys"), F.count_if(others > 0).alias("shared"), F.sum(others).alias("meetings"))
+
+
 def plan_pages(spark: SparkSession, total: int, size: int = 10, cap: int | None = None, compat: bool = False) -> DataFrame:
     """(page_num): pages 2 to the last; page 1 told the total. compat: total // size + 1 pages."""
     last = total // size + 1 if compat else -(-total // size)
@@ -88,10 +98,16 @@ def plan_pages(spark: SparkSession, total: int, size: int = 10, cap: int | None
 
 
 def number_pages(df: DataFrame, *order, size: int = 10) -> DataFrame:
-    """Every row with its page, in one ordering. Ranges are numbered apart, then moved by the rows before them."""
+    """Every row with its page, in one ordering; rows that tie in it are in any order. Ranges are numbered apart and written in the shared folder, so that their numbers are made once; then they are moved by the rows before them."""
+    spark = df.sparkSession
     placed = df.select("*", F.struct(*order).alias("_key"))
-    ranged = placed.repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
-    own = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
-    before = own.groupBy("_part").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # partition and row in it, in one number
+    numbered = placed.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_id", F.monotonically_increasing_id()).drop("_key")
+    path = scratch_dir(spark, "numbered")
+    numbered.write.parquet(path)
+    part, n = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    own = spark.read.schema(numbered.schema).parquet(path).withColumns({"_part": part, "_n": n})
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.groupBy("_part").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
     # a row for each partition
-    return own.join(F.broadcast(before), "_part").withColumn("page_num", F.floor((F.col("before") + F.col("_n") - 1) / size) + 1).drop("_part", "_n", "_key", "rows", "before")
+    return own.join(F.broadcast(before), "_part").withColumn("page_num", F.floor((F.col("_before") + F.col("_n")) / size) + 1).drop("_part", "_n", "_id", "_rows", "_before")

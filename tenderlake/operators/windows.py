@@ -12,7 +12,7 @@ def number_items(items: DataFrame, doc: str, *order: str) -> DataFrame:
 
 
 def flag_inserts(log: DataFrame, key: str, seq: str) -> DataFrame:
-    """is_insert: the first row of its key by seq. A minimum is gathered for each key first, so a frequent key isn't sorted in one task."""
+    """is_insert: the first row of its key by seq; rows that tie for it all are. A minimum is gathered for each key first and joined back, a join that Spark splits where a key is frequent."""
     first = log.groupBy(F.col(key).alias("_key")).agg(F.min(seq).alias("_first"))
     return log.join(first, F.col(key).eqNullSafe(F.col("_key"))).select(*log.columns, (F.col(seq) == F.col("_first")).alias("is_insert"))
 

@@ -17,7 +17,7 @@ from ..schemas import PAYING_COLUMNS
 from ..session import scratch_dir
 from ..sources import documents as docs
 from ..sources import pages, sinks
-from ..streaming.ingest import LAST_WINS, rate_by_window, read_state, stream_upsert
+from ..streaming.ingest import LAST_WINS, rate_by_window, read_pages, read_state, stream_upsert
 from . import cleaning, extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,10 +76,10 @@ def j1(spark, sf):
     return joins.search_contracts(_star(spark, sf), "URGENT", 20)
 
 
-@query("j2_pending", f"with {F1} select distinct b_id from f1 where b_id not in (select user_id from events where event_type = 'purchase' and user_id is not null)")
+@query("j2_pending", f"with {F1} select distinct b_id from f1 where b_id not in (select user_id from events where event_type = 'purchase' and event_id % 50 = 0 and user_id is not null)")
 def j2(spark, sf):
     log = fx.observations(spark, sf)
-    return joins.pending(log, log.where("b_category_name = 'purchase'"), "b_id")
+    return joins.pending(log, log.where("b_category_name = 'purchase' and seq % 50 = 0"), "b_id")
 
 
 @query("j3_resume", f"with {F1} select distinct page_num from f1 where page_num >= 2 and page_num % 4 = 0")
@@ -100,12 +100,13 @@ def j4(spark, sf):
     return joins.verify_keys(fx.table(spark, sf, "orders"), keys, "o_orderkey")
 
 
-@query("j5_match_labels", "select p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) as norm_label, d.label as matched_label from part left join (select regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') as k, min(p_type) as label from part group by 1) d on lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) = d.k")
+@query("j5_match_labels", "with asked as (select p_partkey, lower(regexp_replace(case when p_partkey % 2 = 0 then p_type else p_name end, '[^A-Za-z0-9]', '', 'g')) as norm_label from part) select p_partkey, norm_label, d.label as matched_label from asked left join (select regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') as k, min(p_type) as label from part group by 1) d on norm_label = d.k")
 def j5(spark, sf):
     part = fx.table(spark, sf, "part")
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     dim = part.groupBy(plain("p_type").alias("norm_label")).agg(F.min("p_type").alias("label")).withColumn("fill_order", F.lit(0))
-    return joins.match_labels(part.select("p_partkey", plain("p_name").alias("norm_label")), dim).select("p_partkey", "norm_label", "matched_label")
+    noisy = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("- "), F.initcap("p_type"), F.lit("."))).otherwise(F.col("p_name"))
+    return joins.match_labels(part.select("p_partkey", plain(noisy).alias("norm_label")), dim).select("p_partkey", "norm_label", "matched_label")
 
 
 @query(
@@ -116,10 +117,8 @@ def j5(spark, sf):
     select a.norm_label, b.label as matched_label from asked a left join best b using (norm_label)""",
 )
 def j6(spark, sf):
-    from pyspark.sql import Window
-
     kinds = fx.table(spark, sf, "part").select("p_type").distinct()
-    dim = kinds.select(F.col("p_type").alias("label"), F.col("p_type").alias("norm_label"), F.row_number().over(Window.orderBy("p_type")).alias("fill_order"))
+    dim = kinds.select(F.col("p_type").alias("label"), F.col("p_type").alias("norm_label"), F.col("p_type").alias("fill_order"))
     asked = kinds.select(F.concat(F.substring("p_type", 1, 3), F.lit("x"), F.substring("p_type", 4, 1000)).alias("norm_label")).distinct()
     return joins.match_labels(asked, dim, threshold=0.75)
 
@@ -227,7 +226,7 @@ def m4(spark, sf):
     texts, cells = fx.contract_texts(spark, sf), fx.contract_cells(spark, sf)
     columns = ["Buyer_Designation", "Seller_GeMSellerID", "Seller_CompanyName"]
     table = _cell_fields(cells).groupBy("doc_id").pivot("column", columns).agg(F.first("value"))
-    total = extraction.total_from_text(lines.lines_of(texts)).withColumnRenamed("total", "TotalOrderValueINR")
+    total = extraction.total_from_text(texts).withColumnRenamed("total", "TotalOrderValueINR")
     text = extraction.extract_contract_fields(texts, columns, threshold=None)
     return folds.merge_sources(text, table, extraction.seller_after_marker(texts), total, [*columns, "TotalOrderValueINR"])
 
@@ -248,9 +247,16 @@ def m5(spark, sf):
     return extraction.assign_columns(pairs).select("doc_id", has("Buyer_Address").alias("buyer"), has("Paying_Address").alias("paying"), has("Seller_Address").alias("seller"))
 
 
-@query("m6_merge_cells", f"with {F2C} select contract_number as doc_id, case when seq % 10 = 0 then 'again ' || company_name else company_name end as company_name from f2c where company_name is not null")
+@query(
+    "m6_merge_cells",
+    f"""with {F2C} select contract_number as doc_id, u.column, u.value from f2c, lateral (values
+      ('Buyer_Designation', buyer_designation), ('Buyer_ContactNo', buyer_contact), ('Buyer_EmailID', buyer_email), ('Buyer_Address', 'leaked street, Ward ' || (seq % 9)),
+      ('Seller_GeMSellerID', seller_id), ('Seller_CompanyName', case when seq % 10 = 0 then 'again ' || company_name else company_name end),
+      ('Seller_ContactNo', case when seller_id is not null then '98' || lpad(cast(seq as varchar), 8, '0') || ', 97' || lpad(cast(seq as varchar), 8, '0') || ', 98' || lpad(cast(seq as varchar), 8, '0') end)) u("column", value)
+    where u.value is not null""",
+)
 def m6(spark, sf):
-    return _cell_fields(fx.contract_cells(spark, sf)).where("column = 'Seller_CompanyName'").select("doc_id", F.col("value").alias("company_name"))
+    return _cell_fields(fx.contract_cells(spark, sf)).select("doc_id", "column", "value")
 
 
 @query("m7_contact_list", "select doc_id, array_to_string(list_distinct_ordered, ', ') as contacts from (select doc_id, list_filter(n, lambda x, i: list_position(n, x) = i) as list_distinct_ordered from (select doc_id, regexp_extract_all(text, '\\d{10,}') as n from documents))")
@@ -261,9 +267,10 @@ def m7(spark, sf):
 # ---- windows, order, sets, generators
 
 
-@query("w1_number_items", f"with {F2I} select contract_number, item_no, product_name, quantity, price from f2i")
+@query("w1_number_items", "select 'C-' || l_orderkey as contract_number, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as integer) as item_no, l_partkey, l_quantity from lineitem")
 def w1(spark, sf):
-    return fx.items(spark, sf).select("contract_number", "item_no", "product_name", "quantity", "price")
+    lines_ = fx.table(spark, sf, "lineitem").withColumn("contract_number", F.concat(F.lit("C-"), "l_orderkey"))
+    return windows.number_items(lines_, "contract_number", *fx.ITEM_ORDER).select("contract_number", "item_no", "l_partkey", "l_quantity")
 
 
 @query("w2_flag_inserts", f"with {F1} select seq, b_id, row_number() over (partition by b_id order by seq) = 1 as is_insert from f1")
@@ -271,17 +278,34 @@ def w2(spark, sf):
     return windows.flag_inserts(fx.observations(spark, sf), "b_id", "seq").select("seq", "b_id", "is_insert")
 
 
-@query("w3_join_continuations", f"with {F2C} select contract_number as doc_id, 'Model : ' || model || ' ' || quantity || ' pieces' as model_line from f2i where item_no = 1 and contract_number in (select contract_number from f2c)")
+TOTAL = "'Total Order Value (in INR) ' || format('{:,.2f}', cast(total_value as double))"
+PRICE = "quantity || ' pieces ' || format('{:,.2f}', cast(price as double)) || ' NA ' || format('{:,.2f}', cast(price as double))"
+CATEGORY = "'श्रेणी|Category Name & Quadrant : Q' || (item_no % 4)"
+
+
+@query(
+    "w3_join_continuations",
+    f"""with {F2C}, n as (select contract_number, max(item_no) as items from f2i group by 1)
+    select contract_number as doc_id, line from f2c left join n using (contract_number), lateral (values
+      ('अनुबंध|Contract No : ' || contract_number), ('Generated Date : ' || strftime(contract_date, '%-d-%b-%Y') || ' (cid:12) Buyer Details'), ('Designation : ' || buyer_designation), ('Contact No. : ' || buyer_contact),
+      ('ईमेल|Email ID : ' || buyer_email || ' Seller Details' || case when items is null then ' ' || {TOTAL} else '' end), ('GeM Seller ID : ' || seller_id), ('Company Name : ' || company_name)) u(line) where line is not null
+    union all select contract_number, line from f2i join f2c using (contract_number) join n using (contract_number), lateral (values
+      ('Product Name : ' || product_name), ('Brand : ' || brand || ' Brand Type : Registered'), ({CATEGORY}), ('Model : ' || model || ' ' || {PRICE} || case when item_no = items then ' ' || {TOTAL} else '' end),
+      (case when item_no % 2 = 1 then 'Catalogue Status : OEM verified' end), (case when item_no % 2 = 1 then 'Selling As : Reseller not verified by OEMs' end), (case when item_no % 2 = 1 then 'HSN Code : 9608' end)) u(line) where line is not null""",
+)
 def w3(spark, sf):
-    joined = lines.join_continuations(lines.lines_of(fx.contract_texts(spark, sf))).where(F.col("line").startswith("Model"))
-    first = joined.groupBy("doc_id").agg(F.min_by("line", "pos").alias("line"))
-    return first.select("doc_id", F.regexp_extract("line", "^(.*? pieces)", 1).alias("model_line"))
+    return lines.join_continuations(fx.contract_texts(spark, sf)).select("doc_id", "line")
 
 
-@query("w4_segment_blocks", f"with {F2I} select contract_number as doc_id, cast(item_no as bigint) as block, product_name from f2i")
+@query(
+    "w4_segment_blocks",
+    f"""with {F2C}, n as (select contract_number, max(item_no) as items from f2i group by 1)
+    select contract_number as doc_id, cast(item_no as bigint) as block, line from f2i join f2c using (contract_number) join n using (contract_number), lateral (values
+      ('Product Name : ' || product_name), ('Brand : ' || brand || ' Brand Type : Registered'), ({CATEGORY}), ('Model : ' || model), ({PRICE}), (case when item_no = items then {TOTAL} end),
+      (case when item_no % 2 = 1 then 'Catalogue Status : OEM verified' end), (case when item_no % 2 = 1 then 'Selling As : Reseller not verified by OEMs' end), (case when item_no % 2 = 1 then 'HSN Code : 9608' end)) u(line) where line is not null""",
+)
 def w4(spark, sf):
-    blocks = lines.segment_blocks(lines.lines_of(fx.contract_texts(spark, sf)))
-    return blocks.where(F.col("line").startswith("Product Name")).select("doc_id", "block", F.substring_index("line", " : ", -1).alias("product_name"))
+    return lines.segment_blocks(fx.contract_texts(spark, sf)).select("doc_id", "block", "line")
 
 
 @query(
@@ -333,6 +357,11 @@ def u1_all(spark, sf):
     return rows.page_overlaps(fx.observations(spark, sf), within=5)
 
 
+@query("u1_shared_keys", f"with {F1}, o as (select distinct page_num, b_id from f1) select x.page_num, count(distinct x.b_id) as keys, count(distinct case when y.page_num is not null then x.b_id end) as shared, count(y.page_num) as meetings from o x left join o y on x.b_id = y.b_id and x.page_num <> y.page_num group by 1")
+def u1_shared(spark, sf):
+    return rows.shared_keys(fx.observations(spark, sf))
+
+
 @query("u2_combine", "select o_orderkey, o_totalprice, null::varchar as o_orderpriority from orders where o_orderkey % 2 = 0 union all select o_orderkey, null, o_orderpriority from orders where o_orderkey % 2 = 1")
 def u2(spark, sf):
     o = fx.table(spark, sf, "orders")
@@ -380,14 +409,14 @@ def p3(spark, sf):
     return rows.stringify(o, ["o_orderkey", "o_orderpriority"])
 
 
-@query("p4_filter_records", f"with {F2C} select contract_number, contract_date, ministry from f2c where contract_date >= timestamp '1996-01-01' and contract_date < timestamp '1997-01-01' and org_type = 'F' and contains(lower(org_name), 'an')")
+@query("p4_filter_records", f"with {F2C} select contract_number, contract_date, ministry from f2c where contract_date >= timestamp '1996-01-01' and contract_date < timestamp '1997-01-01' and org_type = 'F' and contains(lower(org_name), 'tion_1')")
 def p4(spark, sf):
-    return rows.filter_records(fx.contracts(spark, sf), "contract_date", "1996-01-01", "1996-12-31", contains={"org_name": "AN", "ministry": ""}, org_type="F").select("contract_number", "contract_date", "ministry")
+    return rows.filter_records(fx.contracts(spark, sf), "contract_date", "1996-01-01", "1996-12-31", contains={"org_name": "TION_1", "ministry": ""}, org_type="F").select("contract_number", "contract_date", "ministry")
 
 
-@query("p5_search_any", f"with {F2C} select contract_number from f2c where contains(lower(org_name), 'ind') or contains(lower(coalesce(company_name, '')), 'ind')")
+@query("p5_search_any", f"with {F2C} select contract_number from f2c where contains(lower(org_name), 'nation_1') or contains(lower(coalesce(company_name, '')), 'nation_1')")
 def p5(spark, sf):
-    return rows.search_any(fx.contracts(spark, sf), "IND", ["org_name", "company_name"]).select("contract_number")
+    return rows.search_any(fx.contracts(spark, sf), "NATION_1", ["org_name", "company_name"]).select("contract_number")
 
 
 @query("p6_first_or", "select event_id, case when event_id % 5 = 0 then -1 when event_id % 5 = 1 then null when event_id % 5 = 4 then -1 else cast(json_extract_string(props, '$.k') as integer) end as k from events")
@@ -402,10 +431,10 @@ def p7(spark, sf):
     return flat.select("page_num", "pos", "b_id", "b_bid_number", "b_category_name", "b_status", "final_end_date_sort", "department_name", "b_total_quantity")
 
 
-@query("p8_search_text", f"with {F1} select seq, b_category_name || ' ' || department_name || ' ' || b_bid_number || ' ' as search_text from f1")
+@query("p8_search_text", f"with {F1} select seq, b_category_name || ' ' || upper(b_category_name) || ' ' || b_id || ' ' || case when seq % 3 = 0 then 'M' || pos else '' end || ' ' || department_name || ' ' || b_bid_number as search_text from f1")
 def p8(spark, sf):
-    log = fx.observations(spark, sf).withColumn("none", F.lit(None).cast("string"))
-    return log.select("seq", rows.search_text(["b_category_name", "department_name", "b_bid_number", "none"]).alias("search_text"))
+    log = fx.observations(spark, sf).withColumns({"ministry": F.when(F.col("seq") % 3 == 0, F.concat(F.lit("M"), "pos")), "detail": F.upper("b_category_name")})
+    return log.select("seq", rows.search_text(["b_category_name", "detail", "b_id", "ministry", "department_name", "b_bid_number"]).alias("search_text"))
 
 
 @query("p9_rejects", "select event_id, case when not value >= 5 then 'small' else 'error' end as reason from events where not coalesce(value >= 5, false) or event_type = 'error'")
@@ -437,9 +466,10 @@ def s3_bad(spark, sf):
     return pages.bad_pages(fx.pages_json(spark, sf))
 
 
-@query("s4_completeness", f"with {F1} select cast(10 as bigint) as expected, count(distinct b_id) as landed, greatest(10 - count(distinct b_id), 0) as missing from f1 where page_num % 50 <> 0")
+@query("s4_completeness", f"with {F1} select (select count(distinct b_id) from f1) as expected, count(distinct b_id) as landed, (select count(distinct b_id) from f1) - count(distinct b_id) as missing from f1 where page_num % 40 = 1")
 def s4(spark, sf):
-    landed = fx.pages_json(spark, sf)
+    """Most pages haven't landed."""
+    landed = fx.pages_json(spark, sf).where("page_num % 40 = 1")
     return pages.completeness(landed, pages.flatten_bids(pages.explode_pages(landed)))
 
 
@@ -448,6 +478,13 @@ def s6(spark, sf):
     return docs.all_matches(fx.table(spark, sf, "pages"), 'href="([^"]+)"')
 
 
+@query("s6_click_ids", "select page_id, cast(i as integer) as pos, u as id from (select page_id, unnest(l) as u, unnest(range(len(l))) as i from (select page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) as l from pages))")
+def s6_click(spark, sf):
+    """Links rewritten as a listing's header links, whose click attribute has the id."""
+    clicks = F.regexp_replace("html", 'href="([^"]+)"', "href=\"#\" onclick=\"view('$1', 'x')\"")
+    return docs.extract_listing_ids(fx.table(spark, sf, "pages").withColumn("html", clicks))
+
+
 @query("s7_extract_links", "select page_id, case when page_id % 3 <> 0 and regexp_matches(html, 'href=\"([^\"]+)\"') then regexp_extract(html, 'href=\"([^\"]+)\"', 1) end as url, case when page_id % 3 = 0 then 'bad_status' when regexp_matches(html, 'href=\"([^\"]+)\"') then 'ok' else 'no_url' end as outcome from pages")
 def s7(spark, sf):
     p = fx.table(spark, sf, "pages").withColumns({"status": F.when(F.col("page_id") % 3 == 0, "0").otherwise("1"), "html": F.replace("html", F.lit("/"), F.lit("\\/"))})
@@ -456,7 +493,9 @@ def s7(spark, sf):
 
 @query("s9_star_contracts", f"with {F2C} select contract_number, cast(year(contract_date) as integer) as year, total_value from f2c")
 def s9(spark, sf):
-    return _star(spark, sf)["contracts"].select("contract_number", F.year("contract_date").alias("year"), "total_value")
+    path = scratch_dir(spark, "star")
+    sinks.write_star(_star(spark, sf), path)
+    return spark.read.parquet(f"{path}/contracts").select("contract_number", "year", "total_value")
 
 
 @query("s12_duplicate_report", f"""with {F1} select b_id, count(*) as n, '[' || string_agg('{{"page_num":' || page_num || ',"pos":' || pos || '}}', ',' order by page_num, pos) || ']' as places from f1 group by b_id having count(*) > 1""")
@@ -523,6 +562,17 @@ def c3(spark, sf):
     return cleaning.type_tables(shown, texts)[0]
 
 
+@query(
+    "c3_rejects",
+    f"with {F2C} select 'contracts' as table_name, contract_number, case when seq % 5 = 0 then 'contract_date' else 'total_value' end as reason from f2c where seq % 5 = 0 or seq % 7 = 0 union all select 'items', contract_number, 'quantity' from f2i where item_no = 2",
+)
+def c3_rejects(spark, sf):
+    seq = F.col("seq")
+    shown = fx.contracts(spark, sf).select("contract_number", F.when(seq % 5 == 0, "soon").otherwise(F.date_format("contract_date", "dd/MM/yyyy HH:mm")).alias("contract_date"), F.when(seq % 7 == 0, "-").when(seq % 3 == 0, "").otherwise(F.format_number("total_value", 2)).alias("total_value"))
+    texts = fx.items(spark, sf).select("contract_number", F.when(F.col("item_no") == 2, "many").otherwise(F.col("quantity").cast("string")).alias("quantity"), F.format_number("price", 2).alias("price"))
+    return cleaning.type_tables(shown, texts)[2].select("table_name", "contract_number", "reason")
+
+
 @query("c3_type_items", f"with {F2I} select contract_number, item_no, quantity, price from f2i")
 def c3_items(spark, sf):
     shown = fx.contracts(spark, sf).select("contract_number", F.lit("x").alias("contract_date"), F.lit("y").alias("total_value"))
@@ -576,9 +626,15 @@ _expression("d4_is_day", "orders", "o_orderkey", lambda: d.is_day(F.when(F.col("
 # ---- extraction
 
 
-@query("x1_extract_pairs", f"with {F2I} select contract_number as doc_id, 'Brand' as label, brand as value from f2i")
+@query(
+    "x1_extract_pairs",
+    f"""with {F2C} select contract_number as doc_id, u.label, u.value from f2c, lateral (values
+      ('Contract No', contract_number), ('Generated Date', strftime(contract_date, '%-d-%b-%Y')), ('designation', buyer_designation), ('contact no', buyer_contact), ('email id', buyer_email), ('gem seller id', seller_id), ('company name', company_name)) u(label, value) where u.value is not null
+    union all select contract_number, u.label, u.value from f2i join f2c using (contract_number), lateral (values
+      ('product name', product_name), ('brand', brand), ('brand type', 'Registered'), ('category name & quadrant', 'Q' || (item_no % 4)), ('model', model), ('catalogue status', case when item_no % 2 = 1 then 'OEM verified' end), ('selling as', case when item_no % 2 = 1 then 'Reseller not verified by OEMs' end), ('hsn code', case when item_no % 2 = 1 then '9608' end)) u(label, value) where u.value is not null""",
+)
 def x1(spark, sf):
-    return extraction.extract_pairs(lines.lines_of(fx.contract_texts(spark, sf))).where("label = 'Brand'").select("doc_id", "label", "value")
+    return extraction.extract_pairs(lines.lines_of(fx.contract_texts(spark, sf))).select("doc_id", "label", "value")
 
 
 @query("x2_contract_fields", f"with {F2C} select contract_number as doc_id, buyer_designation as \"Buyer_Designation\", buyer_contact as \"Buyer_ContactNo\", buyer_email || ' Seller Details' || case when seller_id is null then ' Total Order Value (in INR) ' || format('{{:,.2f}}', cast(total_value as double)) else '' end as \"Buyer_EmailID\", seller_id as \"Seller_GeMSellerID\" from f2c")
@@ -592,11 +648,24 @@ def x2_fuzzy(spark, sf):
     return extraction.extract_contract_fields(fx.contract_texts(spark, sf), ["Buyer_ContactNo", "Seller_ContactNo"], threshold=0.75)
 
 
-@query("x3_extract_block", f"with {F2C} select contract_number as doc_id, buyer_designation as \"Buyer_Designation\", buyer_email as \"Buyer_EmailID\", 'leaked street, Ward ' || (seq % 9) as \"Buyer_Address\" from f2c")
+@query(
+    "x3_extract_block",
+    f"""with {F2C} select contract_number as doc_id, u.column, u.value from f2c, lateral (values ('Buyer_Designation', buyer_designation), ('Buyer_ContactNo', buyer_contact), ('Buyer_EmailID', buyer_email), ('Buyer_Address', 'leaked street, Ward ' || (seq % 9))) u("column", value)""",
+)
 def x3(spark, sf):
     cells = extraction.route_cells(fx.contract_cells(spark, sf)).where("grp = 'buyer'")
-    found = extraction.extract_block(cells.select("doc_id", F.col("row_no").alias("block_id"), F.col("cell_text").alias("text")), "buyer")
-    return found.groupBy("doc_id").pivot("column", ["Buyer_Designation", "Buyer_EmailID", "Buyer_Address"]).agg(F.first("value"))
+    return extraction.extract_block(cells.select("doc_id", F.col("row_no").alias("block_id"), F.col("cell_text").alias("text")), "buyer").select("doc_id", "column", "value")
+
+
+@query(
+    "x3_block_on_one_line",
+    f"""with {F2C} select contract_number as doc_id, u.column, u.value from f2c, lateral (values ('Buyer_Designation', buyer_designation || ' Note http: //x : y'), ('Buyer_ContactNo', buyer_contact), ('Buyer_EmailID', buyer_email), ('Buyer_GSTIN', 'AB12' || seq)) u("column", value)""",
+)
+def x3_line(spark, sf):
+    """Fields that follow each other on a line, with a bilingual and a misspelt label among them, and a colon that ends no label."""
+    c = fx.contracts(spark, sf)
+    text = F.concat(F.lit("Buyer Details Designation : "), "buyer_designation", F.lit(" Note http: //x : y संपर्क नंबर|Contact No. : "), "buyer_contact", F.lit(" Emall ID : "), "buyer_email", F.lit(" GSTIN : AB-12 "), "seq")
+    return extraction.extract_block(c.select(F.col("contract_number").alias("doc_id"), F.lit(0).alias("block_id"), text.alias("text")), "buyer").select("doc_id", "column", "value")
 
 
 @query("x4_route_cells", f"with {F2C} select contract_number as doc_id, 1 as row_no, 1 as col_no, 'buyer' as grp from f2c union all select contract_number, 2, 1, 'seller' from f2c where seller_id is not null union all select contract_number, 3, 1, 'seller' from f2c where seller_id is not null and seq % 10 = 0 union all select contract_number, 4, 1, null from f2c union all select contract_number, 4, 2, null from f2c")
@@ -616,7 +685,7 @@ def x6(spark, sf):
 
 @query("x7_total_from_text", f"with {F2C} select contract_number as doc_id, total_value as total from f2c")
 def x7(spark, sf):
-    return extraction.total_from_text(lines.lines_of(fx.contract_texts(spark, sf))).select("doc_id", t.decimal_of(F.col("total")).alias("total"))
+    return extraction.total_from_text(fx.contract_texts(spark, sf)).select("doc_id", t.decimal_of(F.col("total")).alias("total"))
 
 
 @query("x8_contract_header", f"with {F2C} select contract_number as doc_id, contract_number, strftime(contract_date, '%Y-%m-%d') as contract_date from f2c")
@@ -629,20 +698,34 @@ def x9(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", docs.section(F.col("html"), "<body", "</p>").alias("part"))
 
 
-@query("x10_sections", f"with {F2C} select contract_number as doc_id, buyer_designation, buyer_contact, buyer_email, seller_id, company_name, 'N/A' as consignee_name from f2c")
+@query(
+    "x10_sections",
+    f"""with {F2C} select contract_number as doc_id, org_type, ministry, case when seq % 2 = 0 then 'D' || (seq % 7) end as department, org_name, 'Zone ' || (seq % 3) as office_zone,
+      buyer_designation, buyer_contact, buyer_email, 'Ward ' || (seq % 9) as buyer_address, seller_id, company_name, 's' || seq || '@shop.test' as seller_email, '98' || lpad(cast(seq as varchar), 8, '0') as seller_contact,
+      case when seq % 4 = 0 then 'N/A' else 'Keeper ' || (seq % 5) end as consignee_name, case when seq % 4 = 0 then 'N/A' else 'k' || seq || '@depot.test' end as consignee_email, case when seq % 4 = 0 then 'N/A' else 'Depot ' || (seq % 11) end as consignee_address,
+      case when seq % 4 = 0 then '' else 's 1 Designation : Keeper ' || (seq % 5) || ' Email ID : k' || seq || '@depot.test Address : Depot ' || (seq % 11) end as consignee_text from f2c""",
+)
 def x10(spark, sf):
-    found = extraction.extract_sections(fx.contract_texts(spark, sf))
-    return found.select("doc_id", "buyer_designation", "buyer_contact", F.col("buyer_email"), "seller_id", "company_name", "consignee_name")
-
-
-@query("x11_extract_items", f"with {F2I} select contract_number as doc_id, item_no, product_name, brand, model, quantity, 'pieces' as unit, price as unit_price, 'NA' as tax, price from f2i")
+    seq = F.col("seq").cast("string")
+    mod = lambda n: (F.col("seq") % n).cast("string")
+    department = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("Department : D"), mod(7), F.lit("\n"))).otherwise("")
+    consignee = F.when(F.col("seq") % 4 != 0, F.concat(F.lit("Consignee Details\n1 Designation : Keeper "), mod(5), F.lit(" Email ID : k"), seq, F.lit("@depot.test\nAddress : Depot "), mod(11), F.lit("\n"))).otherwise("")
+    text = F.concat(
+        F.lit("Type : "), "org_type", F.lit(" Ministry : "), "ministry", F.lit("\n"), department, F.lit("Organisation Name : "), "org_name", F.lit("\nOffice Zone : Zone "), mod(3),
+        F.lit("\nBuyer Details\nDesignation : "), "buyer_designation", F.lit(" Contact No. : "), "buyer_contact", F.lit("\nEmail ID : "), "buyer_email", F.lit(" GSTIN : - Address : Ward "), mod(9),
+        F.lit("\nPaying Authority Details\nDesignation : Payer\nSeller Details\nGeM Seller ID : "), F.coalesce("seller_id", F.lit("")), F.lit("\nCompany Name : "), F.coalesce("company_name", F.lit("")), F.lit("\nContact No. : 98"), F.lpad(seq, 8, "0"), F.lit(" Email ID : s"), seq, F.lit("@shop.test\nAddress : Street\nProduct Details\n"), consignee, F.lit("Terms and Conditions\nType : none"),
+    )
+    return extraction.extract_sections(fx.contracts(spark, sf).select(F.col("contract_number").alias("doc_id"), text.alias("text")))
+
+
+@query("x11_extract_items", f"with {F2I} select contract_number as doc_id, item_no, product_name, brand, 'Registered' as brand_type, case when item_no % 2 = 1 then 'OEM verified' end as catalogue_status, case when item_no % 2 = 1 then 'Reseller not verified by OEMs' end as selling_as, 'Q' || (item_no % 4) as category, case when item_no % 2 = 1 then '9608' end as hsn_code, model, quantity, 'pieces' as unit, price as unit_price, 'NA' as tax, price from f2i")
 def x11(spark, sf):
     return extraction.extract_items(fx.contract_texts(spark, sf))
 
 
 @query("x12_seller_after_marker", "select c_custkey as doc_id, '+91-98' || lpad(cast(c_custkey as varchar), 8, '0') as \"Seller_ContactNo\", 's' || c_custkey || '@shop.test' as \"Seller_EmailID\" from customer")
 def x12(spark, sf):
-    text = F.concat(F.lit("Contact : 1111111 buyer@x.test\nSELLER Details\nContact No. : +91-98"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit("\nEmail ID : s"), "c_custkey", F.lit("@shop.test"))
+    text = F.concat(F.lit("Selling As : Reseller not verified\nContact : 1111111 buyer@x.test\nSELLER Details\nContact No. : +91-98"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit("\nEmail ID : s"), "c_custkey", F.lit("@shop.test"))
     return extraction.seller_after_marker(fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 
@@ -676,3 +759,24 @@ def r1(spark, sf):
         named.write.mode("append").text(landed)
         stream_upsert(spark, landed, state, marks).awaitTermination()
     return read_state(spark, state).select("b_id", "b_bid_number", "b_category_name", "b_status", "final_end_date_sort", "department_name", "b_total_quantity")
+
+
+@query(
+    "r2_resume",
+    f"""with {F1}, g as (select * from f1 where page_num % 50 <> 0), r as (select *, row_number() over (partition by b_id order by seq) as f, row_number() over (partition by b_id order by seq desc) as l from g)
+    select a.b_id, a.b_category_name, z.b_status, z.final_end_date_sort, (select count(distinct page_num) from f1) as pages_read from r a join r z on a.b_id = z.b_id and a.f = 1 and z.l = 1""",
+)
+def r2(spark, sf):
+    """A run that stops after a third of the pages; the next one plans what is left, lands it, and goes on from the checkpoint. Each page is read once."""
+    landed, state, marks = (scratch_dir(spark, n) for n in ("landed", "state", "marks"))
+    plan = fx.pages_json(spark, sf)
+    third = (plan.agg(F.max("page_num")).first()[0] or 0) // 3
+    land = lambda pages: pages.select(F.to_json(F.struct("page_num", "body")).alias("value")).write.mode("append").text(landed)
+    land(plan.where(F.col("page_num") <= third))
+    stream_upsert(spark, landed, state, marks).awaitTermination()
+    land(joins.resume(plan, read_pages(spark, state))[0])
+    for _ in range(2):  # the second has nothing to do
+        stream_upsert(spark, landed, state, marks).awaitTermination()
+    pages_read = read_pages(spark, state).agg(F.count("page_num").alias("pages_read"))
+    # one row
+    return read_state(spark, state).select("b_id", "b_category_name", "b_status", "final_end_date_sort").join(F.broadcast(pages_read))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..operators.rows import split_valid
 
 ROLES = {
     "contact": text.repair_phone,
@@ -31,10 +32,18 @@ def clean_fields(records: DataFrame, roles: dict[str, str]) -> DataFrame:
     return records.withColumns({c: ROLES[role](F.col(c)) for c, role in roles.items()})
 
 
-def type_tables(contracts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Text columns as decimals, times and integers; null where the text is none."""
-    typed = contracts.withColumns({"contract_date": dates.contract_time(F.col("contract_date")), "total_value": text.decimal_of(F.col("total_value"))})
-    return typed, items.withColumns({"quantity": F.col("quantity").try_cast("int"), "price": text.decimal_of(F.col("price"))})
+def type_tables(contracts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contracts and items with text columns as decimals, times and integers, and the rows that fail: (table_name, contract_number, reason, row), row being the texts as JSON. Null and empty texts are null, not failures."""
+    kinds = {"contract_date": dates.contract_time, "total_value": text.decimal_of, "quantity": lambda c: c.try_cast("int"), "price": text.decimal_of}
+    good, bad = [], []
+    for name, df in (("contracts", contracts), ("items", items)):
+        own = [c for c in df.columns if c in kinds]
+        whole = df.withColumns({f"_{c}": F.nullif(F.trim(c), F.lit("")) for c in own} | {"_row": F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))})
+        rules = {c: F.col(f"_{c}").isNull() | kinds[c](F.col(f"_{c}")).isNotNull() for c in own}
+        fine, failed = split_valid(whole, rules)
+        good.append(fine.select(*[kinds[c](F.col(f"_{c}")).alias(c) if c in own else F.col(f"`{c}`") for c in df.columns]))
+        bad.append(failed.select(F.lit(name).alias("table_name"), "contract_number", "reason", F.col("_row").alias("row")))
+    return good[0], good[1], bad[0].union(bad[1])
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,11 @@ def build_session(app: str = "tenderlake", **conf: str) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names; a temporary one only where the session names none (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tenderlake-")
+    """A new folder in the shared one that spark.checkpoint.dir names. Where the session names none, a temporary one on a single machine, and an error on a cluster, whose machines don't share theirs."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tenderlake-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -28,6 +28,11 @@ def read_keys(spark: SparkSession, path: str, numeric: bool = False) -> DataFram
     return (keys.where(F.col("key").rlike("^[0-9]+$")).select(F.col("key").cast("long").alias("key")) if numeric else keys).distinct()
 
 
+def extract_listing_ids(html: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
+    """(key, pos, id): the ids that a listing's header links have as first quoted argument of their click attribute, in order."""
+    return all_matches(html, CLICK_ID, key, column)
+
+
 def all_matches(html: DataFrame, pattern: str, key: str = "page_id", column: str = "html") -> DataFrame:
     """(key, pos, id): the first group of each match, in order."""
     return html.select(key, F.posexplode(F.regexp_extract_all(column, F.lit(pattern), 1)).alias("pos", "id"))

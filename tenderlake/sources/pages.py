@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.variant import first_or
 
 
+def documents_of(body: str = "body") -> Column:
+    """A page's list of documents; null where it has none."""
+    return F.try_variant_get(F.try_parse_json(body), "$.response.response.docs", "array<variant>")
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
     envelope = F.try_parse_json("body")
-    return pages.select("page_num", F.try_variant_get(envelope, "$.response.response.docs", "array<variant>").alias("docs"), F.try_variant_get(envelope, "$.response.response.numFound", "long").alias("declared"))
+    return pages.select("page_num", documents_of().alias("docs"), F.try_variant_get(envelope, "$.response.response.numFound", "long").alias("declared"))
 
 
 def explode_pages(pages: DataFrame) -> DataFrame:
@@ -23,11 +28,6 @@ def bad_pages(pages: DataFrame) -> DataFrame:
     return _parsed(pages).where("docs is null").select("page_num")
 
 
-def declared_totals(pages: DataFrame) -> DataFrame:
-    """(page_num, declared): what each page says there is."""
-    return _parsed(pages).select("page_num", "declared")
-
-
 def completeness(pages: DataFrame, bids: DataFrame, key: str = "b_id") -> DataFrame:
     """(expected, landed, missing): the declared number of records against the distinct keys that landed."""
     said = _parsed(pages).agg(F.max("declared").alias("expected"))

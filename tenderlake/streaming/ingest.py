@@ -7,38 +7,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.folds import upsert
-from ..sources.pages import explode_pages, flatten_bids
+from ..sources.pages import documents_of, explode_pages, flatten_bids
 
 LAST_WINS = ("b_status", "final_end_date_sort")
+#: Parts of the state by a hash of the key; a batch rewrites those that it touches.
+BUCKETS = 64
 
 
-def read_state(spark: SparkSession, state_dir: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version of the state (below a batch id), or None."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_dir)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return None
-    complete = []
-    for status in store.listStatus(path):
-        name = status.getPath().getName()
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and store.exists(done):
-            complete.append(int(name[2:]))
-    versions = [v for v in complete if below is None or v < below]
-    return spark.read.parquet(f"{state_dir}/v={max(versions)}") if versions else None
-
-
-def stream_upsert(spark: SparkSession, in_dir: str, state_dir: str, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
-    """Fold landed pages into the state, a version a batch. Files hold a JSON object (page_num, body) a line, body being the page as it came. A batch that is replayed starts from the version before its own and writes that again, so nothing counts twice."""
+def _store(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, state_dir: str) -> dict[int, list[int]]:
+    """Bucket -> the complete versions that hold it, in order."""
+    hadoop, store = _store(spark, state_dir)
+    found: dict[int, list[int]] = {}
+    if store.exists(hadoop(state_dir)):
+        for status in store.listStatus(hadoop(state_dir)):
+            name = status.getPath().getName()
+            if name.startswith("v=") and store.exists(hadoop(status.getPath(), "_SUCCESS")):
+                for part in store.listStatus(status.getPath()):
+                    if part.getPath().getName().startswith("bucket="):
+                        found.setdefault(int(part.getPath().getName()[7:]), []).append(int(name[2:]))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def read_state(spark: SparkSession, state_dir: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest complete version of each bucket (below a batch id; of those buckets only), or None."""
+    newest = {b: max(own) for b, v in _versions(spark, state_dir).items() if (buckets is None or b in buckets) and (own := [x for x in v if below is None or x < below])}
+    paths = [f"{state_dir}/v={v}/bucket={b}" for b, v in sorted(newest.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def read_pages(spark: SparkSession, state_dir: str) -> DataFrame:
+    """(page_num, ok, value, v): the pages that were read, by batch v; value has what couldn't be used: lines that don't parse, pages without documents."""
+    return spark.read.parquet(f"{state_dir}/pages")
+
+
+def _retire(spark: SparkSession, state_dir: str, batch_id: int) -> None:
+    """Delete versions of buckets that neither readers nor a replay of this batch need."""
+    hadoop, store = _store(spark, state_dir)
+    for b, versions in _versions(spark, state_dir).items():
+        for v in [x for x in versions if x < batch_id][:-1]:
+            store.delete(hadoop(f"{state_dir}/v={v}/bucket={b}"), True)
+
+
+def stream_upsert(spark: SparkSession, in_dir: str, state_dir: str, checkpoint: str, max_files: int = 1000, buckets: int = BUCKETS) -> StreamingQuery:
+    """Fold landed pages into the state, a version a batch, of the buckets that it touches. Files hold a JSON object (page_num, body) a line, body being the page as it came.
+
+    A batch that is replayed starts from the versions before its own and writes its own again, so
+    nothing counts twice. Pages that were read, and lines that can't be used, are kept (`read_pages`).
+    """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(in_dir)
-    pages = lines.select(F.from_json("value", "page_num long, body string").alias("p")).select("p.*")
+    pages = lines.select("value", F.from_json("value", "page_num long, body string").alias("p")).select("value", "p.*")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
+        ok = documents_of().isNotNull()
+        batch.select("page_num", ok.alias("ok"), F.when(~ok, F.col("value")).alias("value")).write.mode("overwrite").parquet(f"{state_dir}/pages/v={batch_id}")
+        bucket = F.pmod(F.xxhash64("b_id"), F.lit(buckets)).cast("int")
         new = flatten_bids(explode_pages(batch)).where("b_id is not null").withColumn("seq", F.struct(F.lit(batch_id).cast("long").alias("batch"), "page_num", "pos")).drop("page_num", "pos")
-        state = read_state(own, state_dir, below=batch_id)
+        touched = [r["b"] for r in new.select(bucket.alias("b")).distinct().collect()]  # `buckets` rows at most
+        if not touched:
+            return
+        state = read_state(own, state_dir, batch_id, touched)
         log = new if state is None else state.withColumn("seq", F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("page_num"), F.lit(0).alias("pos"))).unionByName(new)
-        upsert(log, "b_id", "seq", LAST_WINS).write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
+        folded = upsert(log, "b_id", "seq", LAST_WINS).withColumn("bucket", bucket)
+        folded.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_dir}/v={batch_id}")
+        _retire(own, state_dir, batch_id)
 
     return pages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

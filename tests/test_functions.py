@@ -57,3 +57,12 @@ def test_windows_follow_each_other(spark):
 @pytest.mark.parametrize(("doc", "expected"), [('{"k":[3,4]}', 3), ('{"k":5}', 5), ('{"k":[]}', -1), ('{"k":null}', -1), ("{}", -1), ('{"k":[null]}', None)])
 def test_first_or(spark, doc, expected):
     assert one(spark, doc, lambda c: first_or(F.parse_json(c), "k", "int", -1)) == expected
+
+
+def test_many_windows(spark):
+    rows = dates.date_windows(spark, "1990-01-31", "1990-03-30", "2030-06-15").orderBy("n").collect()
+    assert len(rows) > 160 and rows[-1]["to_day"] == datetime.date(2030, 6, 15)
+    assert all(b["from_day"] - a["to_day"] == datetime.timedelta(1) for a, b in zip(rows, rows[1:]))
+    assert [r["from_day"].isoformat() for r in rows[1:5]] == ["1990-03-31", "1990-06-30", "1990-09-30", "1990-12-30"]
+    one_day = dates.date_windows(spark, "2024-01-01", "2024-03-01", "2024-01-01").collect()
+    assert [(r["from_day"], r["to_day"]) for r in one_day] == [(datetime.date(2024, 1, 1), datetime.date(2024, 1, 1))]
