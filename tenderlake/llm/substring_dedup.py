@@ -3,19 +3,25 @@
 A window is `window` consecutive words of one document. A word goes if it is in a window whose words
 also start anywhere else, in the same document or another.
 
-1. Census of prefixes. Every window contains `window - GRAM + 1` runs of GRAM words; the one with
-   the least hash is the window's anchor, a choice that depends on its words alone. The anchor's
-   GRAM words are the prefix under which suffixes meet. Spark counts each prefix; a window whose
-   prefix occurs once can't repeat.
-2. Dealing. Documents are read again. Neighbouring suffixes with the same anchor travel together, as
-   the text they span, to the group of their prefix. A Bloom filter of fixed size holds the prefixes
-   that occur twice or more (its errors cost rows, not results). Prefixes found more than HOT times
-   are lengthened to the whole window, so that groups stay small. Suffixes that repeat within a batch
-   are settled there, and one of them travels for all.
-3. Subtrees. A group's suffixes are split top-down by their next words, DEPTHS words at a time, and
+1. Census of prefixes. Suffixes are sampled: every window contains `window - GRAM + 1` runs of GRAM
+   words, and the one with the least hash is its anchor, a choice that depends on the window's words
+   alone. The suffixes of all windows with one anchor begin by meeting under its GRAM words. Spark
+   counts each prefix; a window whose prefix occurs once can't repeat. (All suffixes under their own
+   first words would be fourteen times as many rows.)
+2. Variable lengths. A prefix found more than HOT times is lengthened: its suffixes, one by one, meet
+   under their own first LENGTHS[0] words, those still too many under LENGTHS[1], each after a census
+   of its own, so no group outgrows a task, whatever the corpus. Bloom filters of fixed size say which
+   prefixes occur twice (their errors cost rows, not results) and which are too frequent (an error
+   lengthens a prefix, in all documents alike). What is still too frequent then is counted as whole
+   windows, by Spark's aggregate, and needs no tree.
+3. Dealing. Documents are read again. Neighbouring suffixes with the same anchor travel together, as
+   the text they span, to the group of their prefix. Suffixes that repeat within a batch are settled
+   there, and one of them travels for all.
+4. Subtrees. A group's suffixes are split top-down by their next words, DEPTHS words at a time, and
    nodes with one suffix end. What is left at depth `window` are the deep internal nodes: their
-   suffixes are the repeats. Tasks read groups in key order, GROUP_ROWS rows at a time.
-4. Repeats go back to their documents by hashes of doc_id and text.
+   suffixes repeat, and starts that touch make up a maximal repeat. Tasks read groups in key order,
+   GROUP_ROWS rows at a time.
+5. Repeats go back to their documents by hashes of doc_id and text.
 
 Words are compared by 64-bit hashes. Null or empty texts have no words, and texts of fewer words than
 a window lose none. Rows that repeat are copies of each other, so all their windows repeat. Other
@@ -39,9 +45,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import _bloom
 from ._stage import staged
 from ._text import BLANK, Words, grams, mix, words_of
+from ._worker import parts
 
 GRAM = 8
 HOT = 10_000
+LENGTHS = (16, 24)
 DEPTHS = (8, 8, 8, 8)
 GROUP_ROWS = 50_000
 RESULTS = ("kept_text", "n_words", "n_removed", "kept_sha256")
@@ -101,9 +109,60 @@ def runs_of(words: Words, hashes: np.ndarray, window: int) -> Runs:
     return Runs(words.first + doc[new], start[new], np.diff(np.append(new, len(start))), anchor[new], gram[anchor[new]])
 
 
+def _starts(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the place of each start in ranges of them."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _prefix(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the first `length` words of suffixes."""
+    return mix((total[start + length] - total[start]) * inverse[start] ^ np.uint64(length))
+
+
+def _lengthened(hot: list, total: np.ndarray, inverse: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For suffixes whose anchor is too frequent: the prefix that each meets under, which of LENGTHS it has, and whether even the longest is too frequent. hot: filters of what is; the first is of anchors."""
+    key, level, often = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int8), np.ones(len(start), bool)
+    for k, length in enumerate(LENGTHS):
+        key[often], level[often] = _prefix(total, inverse, start[often], length), k
+        if k + 1 >= len(hot):
+            return key, level, np.zeros(len(start), bool)
+        often[often] = hot[k + 1].has(key[often])
+    return key, level, often
+
+
+def _frequent(sent, window: int, whole: bool):
+    """Suffixes under anchors that are too frequent: counts of the prefixes they meet under, or (whole) the windows that are too frequent for any, each with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = sent.value
+        for batch in parts(batches):
+            found = []
+            sig, did = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "did"))
+            for w in words_of(batch.column("text")):
+                h = w.hashes()
+                runs = runs_of(w, h, window)
+                many = hot[0].has(runs.prefix)
+                if not many.any():
+                    continue
+                total, inverse = _sums(h)
+                row, start = _starts(runs.low[many], runs.n[many])
+                key, level, often = _lengthened(hot, total, inverse, start)
+                if not whole:
+                    found.append(key[level == len(hot) - 1])
+                    continue
+                doc, start = runs.doc[many][row][often], start[often]
+                yield pa.RecordBatch.from_arrays([pa.array(_prefix(total, inverse, start, window).view(np.int64)), pa.array(sig[doc]), pa.array(did[doc]), pa.array((start - w.edge[doc - w.first]).astype(np.int32))], ["hash", "sig", "did", "low"])
+            if not whole:
+                prefix, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n.astype(np.int64))], ["prefix", "n"])
+
+    return run
+
+
 def _census(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [runs_of(w, w.hashes(), window).prefix for w in words_of(batch.column(0))]
             prefix, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n.astype(np.int64))], ["prefix", "n"])
@@ -126,7 +185,7 @@ def _joined(doc: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 def _deal(sent, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, hot = sent.value
-        for batch in batches:
+        for batch in parts(batches, rows=10_000, size=16 << 20):
             slices: list[Words] = []
             found: list[list[np.ndarray]] = [[] for _ in range(8)]
             for k, w in enumerate(words_of(batch.column("text"))):
@@ -135,14 +194,12 @@ def _deal(sent, window: int):
                 keep = np.flatnonzero(bloom.has(runs.prefix))
                 doc, low, n, anchor, key = (x[keep] for x in (runs.doc, runs.low, runs.n, runs.anchor, runs.prefix))
                 total, inverse = _sums(h)
-                at = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
-                many = hot[at] == key if len(hot) else np.zeros(len(key), bool)
-                if many.any():  # one suffix each, under its whole window
-                    row = np.repeat(np.flatnonzero(many), n[many])
-                    step = np.arange(len(row)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
-                    one = low[row] + step
-                    whole = mix((total[one + window] - total[one]) * inverse[one])
-                    doc, low, n, anchor, key = (np.concatenate(x) for x in ((doc[~many], doc[row]), (low[~many], one), (n[~many], np.ones(len(row), np.int64)), (anchor[~many], anchor[row]), (key[~many], whole)))
+                many = hot[0].has(key) if hot else np.zeros(len(key), bool)
+                if many.any():  # one suffix each, under its own first words
+                    row, one = _starts(low[many], n[many])
+                    longer, _, often = _lengthened(hot, total, inverse, one)
+                    row, one, longer = np.flatnonzero(many)[row][~often], one[~often], longer[~often]  # the others are counted as whole windows
+                    doc, low, n, anchor, key = (np.concatenate(x) for x in ((doc[~many], doc[row]), (low[~many], one), (n[~many], np.ones(len(row), np.int64)), (anchor[~many], anchor[row]), (key[~many], longer)))
                 end = low + n + window - 1
                 content = mix((total[end] - total[low]) * inverse[low]) ^ mix((n * window + anchor - low).astype(np.uint64) * np.uint64(_Q))
                 for out, x in zip(found, (doc, low, n, key, content, np.full(len(low), k), end, low - w.edge[doc - w.first])):
@@ -241,21 +298,36 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """(sig, did, low, n): window starts low .. low + n - 1 of the document with those hashes repeat; docs has text, sig, did."""
     if window < sum(DEPTHS) + 1:
         raise ValueError(f"a window has more than {sum(DEPTHS)} words")
+    spark = docs.sparkSession
     census = docs.select("text").mapInArrow(_census(window), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
     twice = staged(census.where("n > 1"), "prefixes")
-    count, total = twice.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    often = max(HOT, total // 100_000)  # so 100,000 prefixes at most
-    hot = np.sort(np.array([r["prefix"] for r in twice.where(F.col("n") > often).select("prefix").collect()], np.int64).view(np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast((_bloom.build(twice.select("prefix"), count), hot))
+    hot: list[_bloom.Bloom] = []
+    now = twice
+    for level in range(len(LENGTHS) + 1):
+        often = now.where(F.col("n") > HOT).select("prefix")
+        if not (count := often.count()):
+            break
+        hot.append(_bloom.build(often, count))
+        if level < len(LENGTHS):
+            sent = spark.sparkContext.broadcast(hot)
+            longer = docs.select("text", "sig", "did").mapInArrow(_frequent(sent, window, False), "prefix long, n long")
+            now = staged(longer.groupBy("prefix").agg(F.sum("n").alias("n")), "longer-prefixes")
+            sent.unpersist()
+    sent = spark.sparkContext.broadcast((_bloom.build(twice.select("prefix"), twice.count()), hot))
     dealt = docs.select("text", "sig", "did").mapInArrow(_deal(sent, window), TRAVEL)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), REPEATS)
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), REPEATS)
+    if len(hot) <= len(LENGTHS):
+        return found
+    whole = staged(docs.select("text", "sig", "did").mapInArrow(_frequent(spark.sparkContext.broadcast(hot), window, True), "hash long, sig long, did long, low int"), "frequent-windows")
+    again = whole.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
+    return found.union(whole.join(again, "hash", "left_semi").select("sig", "did", "low", F.lit(1).alias("n")))
 
 
 def _remove(window: int, text_at: int, found_at: int, schema: pa.Schema):
     table = bytes(0x20 if b in BLANK else b for b in range(256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             total, removed, kept = [], [], []
             for text, found in zip(batch.column(text_at).to_pylist(), batch.column(found_at).to_pylist()):
                 words = (text or b"").translate(table).split()

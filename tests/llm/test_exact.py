@@ -37,7 +37,7 @@ def test_perfect_hash():
     assert not line_dedup.probe(shard, lo, hi).any()
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
+@pytest.mark.parametrize("hot", [10_000, 12, 1])
 def test_substring_dedup(docs, rows, none, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     plain = docs.select("doc_id", "text")
