@@ -1,21 +1,23 @@
 """Secret scan: candidates by their shape or name, false positives removed by a random forest.
 
-A candidate is a run of 16 or more of [A-Za-z0-9+/_=-] inside a word, or a value of 6 or more characters
+A candidate is a run of 16 or more of [A-Za-z0-9+/_-] inside a word, with up to two = behind it, or a value of 6 or more characters
 that = or : assigns to a name like token or password: up to its closing quote, or else to the end of the
 word without closing punctuation. Of a quoted value with blanks the first word counts.
 
 Features: length, shares of character classes, entropy, transitions (switches of class, and the
-likelihood of its letter pairs in the corpus's dictionary), dictionary coverage, path marks, quotes,
-and what the words before and after say. The dictionary is the DICTIONARY most frequent words of four
-letters or more over all documents, of those found more than once.
+likelihood of its letter pairs in the corpus's dictionary), dictionary coverage, path marks, and
+whether the words before and after are prose. The dictionary is the DICTIONARY most frequent words of
+four letters or more over all documents, of those found more than once.
 
 The forest is Spark's, fitted on at most FINDINGS labelled findings that differ in label or features:
-of each label half of them, or more where the other has fewer, the first by hash. The tables bring
-no labelled findings, so `weak_labels` labels what needs no model: a quoted value assigned to
-a name like token or password is a secret if it is a run or has letters and digits; runs without a
-letter, and findings made of dictionary words, are not.
-All other findings have no label and are judged by the forest alone. With labels of one class only,
-no forest can be fitted and each finding keeps its label, unlabelled ones counting as secrets.
+of each label half of them, or more where the other has fewer, the first by hash. `scan` takes a table
+of labelled findings (finding, label); the given tables bring none, so `weak_labels` labels by what
+stands around a finding and nothing in it: a quoted value assigned to a name like token or password
+is a secret; one with no such name and no assignment near is none; others have no label. The forest
+sees none of the signs that labels come from, so it can't learn the rule back: it learns what secrets
+look like, and judges labelled findings too. A quoted value under such a name that looks like prose
+is turned down, a bare key that no name announces is found. With labels of one class only, no forest
+can be fitted and each finding keeps its label, unlabelled ones counting as secrets.
 
 Only DataFrame functions and Spark ML run here, no Python on the executors. A null or empty text has
 no finding. Findings in rows that repeat are reported for each row. Columns of docs other than
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from ._stage import staged
 
 BLANKS = r"[\x20\x09-\x0D]+"
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 DICTIONARY = 5_000
 FINDINGS = 20_000
 NAMES = "token|secret|password|passwd|pwd|api|key|auth|bearer|credential|private"
@@ -44,7 +46,7 @@ ASSIGNS = rf"{NAME}\s*[=:]+>?\s*"
 QUOTED = rf"{ASSIGNS}\\?([\"'`])(\S{{6,}}?)(?:\\?\1|$)"
 BARE = rf"{ASSIGNS}([^\s\"'`\\]\S{{4,}}[^\s.,;:)\]}}>\"'`\\])"
 
-FEATURES = ["n", "digits", "lowers", "uppers", "hex", "entropy", "switches", "pairs", "dictionary", "slashes", "dashes", "quoted", "path", "named", "assigned", "prose_before", "prose_after"]
+FEATURES = ["n", "digits", "lowers", "uppers", "hex", "entropy", "switches", "pairs", "dictionary", "slashes", "dashes", "path", "prose_before", "prose_after"]
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -107,10 +109,7 @@ def features(findings: DataFrame, entries: DataFrame) -> DataFrame:
         "switches": _share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])"),
         "slashes": _share("/"),
         "dashes": _share("[-_]"),
-        "quoted": F.col("word").rlike("[\"'`]").cast("double"),
         "path": F.col("word").rlike(r"://|^\.{0,2}/|\.[a-z]{2,4}\b").cast("double"),
-        "named": F.concat_ws(" ", "before", "word").rlike(f"(?i)(?:{NAMES})").cast("double"),
-        "assigned": F.concat_ws(" ", "before", "word").rlike("[=:]").cast("double"),
         "prose_before": F.element_at(F.split("before", " "), -1).rlike(r"^\p{L}+[,.;:]?$").cast("double"),
         "prose_after": prose("after"),
     }
@@ -119,11 +118,16 @@ def features(findings: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def weak_labels(rows: DataFrame) -> DataFrame:
-    """Features with `label`: 1.0, 0.0, or null where only a model can tell."""
-    assigned = F.concat_ws(" ", "before", "word").rlike(rf"(?i)(?:{NAMES})\w*[\"']?\s*[=:]+\s*[\"'][A-Za-z0-9+/_=-]{{16,}}[\"']")
-    mixed = F.col("told") & F.col("finding").rlike("[0-9]") & F.col("finding").rlike(r"\p{L}")
-    plain = F.col("finding").rlike("^[0-9+/_=-]+$") & ~F.col("told")
-    return rows.withColumn("label", F.when(mixed, F.lit(1.0)).when(plain | (F.col("dictionary") > 0.6), F.lit(0.0)).when(assigned, F.lit(1.0)))
+    """Findings with `label`, by what stands around them: 1.0, 0.0, or null where that tells nothing."""
+    around = F.concat_ws(" ", "before", "word")
+    near = around.rlike(f"(?i)(?:{NAMES})") | around.rlike("=|:(?!//)")
+    return rows.withColumn("label", F.when(F.col("told"), F.lit(1.0)).when(~near, F.lit(0.0)))
+
+
+def given_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Findings with the label of labels (finding, label); the largest where they differ."""
+    known = labels.where(F.col("label").isNotNull()).groupBy("finding").agg(F.max(F.col("label").cast("double")).alias("label"))
+    return rows.join(known, "finding", "left")
 
 
 def sample(labelled: DataFrame, findings: int = FINDINGS) -> DataFrame | None:
@@ -147,9 +151,10 @@ def train(labelled: DataFrame, trees: int = 20, depth: int = 6, findings: int =
     return PipelineModel([assembler, forest.fit(assembler.transform(known))])
 
 
-def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, word_no, finding, probability, is_secret: every candidate and the forest's verdict."""
-    rows = staged(weak_labels(features(find(docs), dictionary(docs))), "finding-features")
+def scan(docs: DataFrame, threshold: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, word_no, finding, probability, is_secret: every candidate and the forest's verdict. labels: (finding, label), 1 for secrets; weak labels without."""
+    found = features(find(docs), dictionary(docs))
+    rows = staged(weak_labels(found) if labels is None else given_labels(found, labels), "finding-features")
     forest = train(rows)
     if forest is None:
         judged = rows.withColumn("probability", F.coalesce("label", F.lit(1.0)))

@@ -1,5 +1,7 @@
 """Classifiers: held-out accuracy, folds and awkward input."""
 
+import random
+import string
 import zlib
 
 import brute
@@ -78,6 +80,46 @@ def test_secrets_of_other_shapes(spark):
     assert clean[500] == 'set password = "[secret]" there' and clean[502] == '{"user":"x","password":"[secret]","n":1}'
 
 
+def _planted(seed: int, n: int) -> tuple[list[tuple[int, str]], set[tuple[int, str]], set[int]]:
+    """Documents with secrets of several kinds, announced in several ways, and with look-alikes that are none."""
+    rnd = random.Random(seed)
+    draw = lambda letters, k: "".join(rnd.choice(letters) for _ in range(k))
+    hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+    kinds = [lambda: draw(hexes, 40), lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16), lambda: draw(alnum, 32), lambda: "ghp_" + draw(alnum, 36), lambda: draw(alnum + "+/", 43) + "="]
+    ways = ['the token = "{}" is set', "password='{}' there", '{{"secret": "{}"}}', "api_key: {} was used", "export SECRET={} then", "it said {} at the end"]
+    fakes = [lambda: draw("123456789", 18), lambda: "/".join(rnd.choice(["usr", "local", "share", "reports", "archive"]) for _ in range(5)), lambda: "internationalization" + rnd.choice(["s", "ist", "ing", ""]), lambda: "-".join(rnd.choice(["well", "known", "state", "of", "the", "art", "long"]) for _ in range(5)), lambda: "_" * rnd.randint(16, 40)]
+    prose = ["the state of the art is well known", "usr local share reports archive", "internationalization of long reports", "call the archive then"]
+    docs, secrets_, clean = [], set(), set()
+    for i in range(n):
+        if i % 2:
+            value = rnd.choice(kinds)()
+            docs.append((i, f"{rnd.choice(prose)} {rnd.choice(ways).format(value)} {rnd.choice(prose)}"))
+            secrets_.add((i, value))
+        else:
+            docs.append((i, f"{rnd.choice(prose)} see {rnd.choice(fakes)()} and {rnd.choice(prose)}"))
+            clean.add(i)
+    return docs, secrets_, clean
+
+
+def test_secret_recall_and_precision(spark):
+    """Secrets that no quotes or name announce are found as well; what the weak labels hold for secrets and look-alikes is judged by its looks."""
+    docs, planted, clean = _planted(5, 600)
+    found = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).where("is_secret").select("doc_id", "finding").collect()
+    told = {(r["doc_id"], r["finding"]) for r in found}
+    assert len(told & planted) >= 0.9 * len(planted)
+    assert len(told & planted) >= 0.9 * len(told)
+    assert sum(d in clean for d, _ in told) <= 0.05 * len(clean)
+
+
+def test_secrets_from_given_labels(spark):
+    docs, planted, clean = _planted(6, 200)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    candidates = secrets.find(df).select("doc_id", "finding").collect()
+    labels = spark.createDataFrame([(r["finding"], float((r["doc_id"], r["finding"]) in planted)) for r in candidates if r["doc_id"] < 100], "finding string, label double")
+    held = [r for r in secrets.scan(df, labels=labels).collect() if r["doc_id"] >= 100]
+    assert sum(r["is_secret"] == ((r["doc_id"], r["finding"]) in planted) for r in held) >= 0.9 * len(held)
+
+
 def test_secret_sample_has_both_labels(spark):
     made = [(float(y), *[float(y * i + k) for k in range(len(secrets.FEATURES))]) for y, n in ((1, 300), (0, 1)) for i in range(n)]
     rows = [(i, str(i % 301), "", *r) for i, r in enumerate(made * 2)]
