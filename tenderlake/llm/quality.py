@@ -1,8 +1,8 @@
 """Quality rules as a ledger of failure bits, with DataFrame functions alone.
 
 Every rule is evaluated once. The ledger keeps, for each document, the measurements and one integer
-whose bit k says that rule k failed. A policy is a versioned mask of rules: a document fails it if
-its bits and the mask meet. New policies and ablations read the ledger's bits, never the texts.
+whose bit k says that rule k failed, and is written. A policy is a versioned mask of rules: a document
+fails it if its bits and the mask meet. Policies and ablations read the ledger's bits, never the texts.
 
 Words are runs of characters other than \\x20 and \\x09-\\x0D. A null or empty text has no words, no
 symbols and no lines, and fails the length rule. Rows that repeat are judged alike. Columns of docs
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import staged
+
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -38,7 +40,9 @@ RULES: dict[str, str] = {
     "no_letters": "n_letters < 0.5 * word_chars",
 }
 BASE = Policy("base", ("too_few_words", "repeated_words"))
-DEFAULT = Policy("v1", tuple(RULES))
+FIRST = Policy("v1", ("too_few_words", "repeated_words", "short_words", "long_words", "symbols"))
+DEFAULT = Policy("v2", tuple(RULES))
+POLICIES = (BASE, FIRST, DEFAULT)
 
 
 def _let(value: Column, body) -> Column:
@@ -103,6 +107,21 @@ def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
     return rows.withColumn("kept", ~fails(policy)).withColumn("policy", F.lit(policy.version))
 
 
+def write_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger of docs, written in the shared folder: what follows reads numbers, not texts."""
+    return staged(ledger(docs), "quality-ledger")
+
+
+def regained(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Ledger rows with `regained`: of a document that fails one rule of the policy only, the documents that the policy without that rule would keep again; else 0. Counts have a row for each pattern of bits."""
+    own = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)))
+    single = [1 << list(RULES).index(r) for r in policy.rules]
+    counts = rows.groupBy(own.alias("_bits")).agg(F.count("*").alias("_docs"))
+    # 2 ** rules rows at most
+    told = rows.withColumn("_bits", own).join(F.broadcast(counts), "_bits")
+    return told.withColumn("regained", F.when(F.col("_bits").isin(single), F.col("_docs")).otherwise(F.lit(0))).drop("_bits", "_docs")
+
+
 def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     """(rule, failed, failed_alone, kept_without): documents that fail each rule, fail it only, and that the policy without it keeps.
 

@@ -135,8 +135,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(_documents(spark, sf_dir)), quality.DEFAULT)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails(quality.BASE).alias("base_failed"), "kept", "fail_bits")
+    ledger = quality.regained(quality.write_ledger(_documents(spark, sf_dir)), quality.DEFAULT)
+    rows = quality.apply_policy(ledger, quality.DEFAULT)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails(quality.BASE).alias("base_failed"), "kept", "fail_bits", (~quality.fails(quality.FIRST)).alias("kept_v1"), "regained")
 
 
 OP9_SQL = r"""
@@ -162,7 +163,8 @@ judged as (
   from measured
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, fail_bits = 0 as kept, fail_bits
+       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, fail_bits = 0 as kept, fail_bits,
+       fail_bits & 31 = 0 as kept_v1, case when fail_bits in (1, 2, 4, 8, 16, 32, 64, 128) then count(*) over (partition by fail_bits) else 0 end as regained
 from judged
 """
 
