@@ -131,13 +131,17 @@ def _lengthened(hot: list, total: np.ndarray, inverse: np.ndarray, start: np.nda
     return key, level, often
 
 
+WINDOWS = "hash long, weight long, sig long, did long, low int, n int"
+
+
 def _frequent(sent, window: int, whole: bool):
-    """Suffixes under anchors that are too frequent: counts of the prefixes they meet under, or (whole) the windows that are too frequent for any, each with its place."""
+    """Suffixes under anchors that are too frequent: counts of the prefixes they meet under; or (whole) the windows that are too frequent for any. Of a window found several times in a batch, one row with their number as weight is sent, and its places, in ranges, without a hash: they are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
-        for batch in parts(batches):
+        for batch in parts(batches, rows=10_000, size=16 << 20):
             found = []
+            places: list[tuple[np.ndarray, np.ndarray]] = []
             sig, did = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "did"))
             for w in words_of(batch.column("text")):
                 h = w.hashes()
@@ -152,7 +156,17 @@ def _frequent(sent, window: int, whole: bool):
                     found.append(key[level == len(hot) - 1])
                     continue
                 doc, start = runs.doc[many][row][often], start[often]
-                yield pa.RecordBatch.from_arrays([pa.array(_prefix(total, inverse, start, window).view(np.int64)), pa.array(sig[doc]), pa.array(did[doc]), pa.array((start - w.edge[doc - w.first]).astype(np.int32))], ["hash", "sig", "did", "low"])
+                found.append(_prefix(total, inverse, start, window))
+                places.append((doc, start - w.edge[doc - w.first]))
+            if whole and found:
+                each, first, back, count = np.unique(np.concatenate(found), return_index=True, return_inverse=True, return_counts=True)
+                doc, low = (np.concatenate(x) for x in zip(*places))
+                again = count[back] > 1
+                d, b, m = _joined(doc[again], low[again], np.ones(int(again.sum()), np.int64))
+                nothing = pa.nulls(len(d), pa.int64())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(sig[d]), pa.array(did[d]), pa.array(b.astype(np.int32)), pa.array(m.astype(np.int32))], ["hash", "weight", "sig", "did", "low", "n"])
+                doc, low = doc[first], low[first]
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(count), pa.array(sig[doc]), pa.array(did[doc]), pa.array(low.astype(np.int32)), pa.array(np.ones(len(low), np.int32))], ["hash", "weight", "sig", "did", "low", "n"])
             if not whole:
                 prefix, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n.astype(np.int64))], ["prefix", "n"])
@@ -318,9 +332,10 @@ def repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), REPEATS)
     if len(hot) <= len(LENGTHS):
         return found
-    whole = staged(docs.select("text", "sig", "did").mapInArrow(_frequent(spark.sparkContext.broadcast(hot), window, True), "hash long, sig long, did long, low int"), "frequent-windows")
-    again = whole.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
-    return found.union(whole.join(again, "hash", "left_semi").select("sig", "did", "low", F.lit(1).alias("n")))
+    whole = staged(docs.select("text", "sig", "did").mapInArrow(_frequent(spark.sparkContext.broadcast(hot), window, True), WINDOWS), "frequent-windows")
+    place = ("sig", "did", "low", "n")
+    again = whole.where("hash is not null").groupBy("hash").agg(F.sum("weight").alias("_n")).where("_n > 1").select("hash")
+    return found.union(whole.where("hash is null").select(*place)).union(whole.where("weight = 1").join(again, "hash", "left_semi").select(*place))
 
 
 def _remove(window: int, text_at: int, found_at: int, schema: pa.Schema):
