@@ -29,7 +29,7 @@ import pyarrow as pa
 from ._text import BLANK, Words, words_of
 from ._worker import keep
 
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 96 << 20
 #: What a dict entry with a key and a value of no length takes, about.
 _ENTRY = 180
 SLICES = 8
