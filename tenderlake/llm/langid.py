@@ -1,14 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of n-grams (1 to 3 characters, BINS bins) by language come from at most TRAIN_ROWS labelled
-documents of each language, picked by a hash of doc_id. The matrix of log-probabilities has BINS
-rows and a column for each language, at most MAX_LANGUAGES: that bounds what is broadcast. Batches
-of documents are scored as one sparse product: the matrix's rows of all their n-grams, added up by
-document.
-
-A text that is null or has no letter is `und` with score 0. Rows without a language aren't learned
-from. With no labelled row, every text is `und`. Rows that repeat are scored alike; other columns
-aren't read.
+Counts of n-grams (1 to 3 characters, BINS bins) by language come from about TRAIN_ROWS different
+labelled documents of each language, picked by a hash of doc_id and text; of a language with fewer,
+from all. The matrix of log-probabilities has a row for each bin and a column for each language,
+CELLS in all at most: that bounds what is broadcast, and many languages share fewer bins. Labels are
+learned down to the LANGUAGES-th by number of documents. Batches of documents are scored as one
+sparse product: the matrix's rows of all their n-grams, added up by document.
+
+`fit` tells texts that are in none of the languages: by how much, in logarithms an n-gram, blanks left
+out, the language explains the text better than a choice of bins at random; below 0 it doesn't.
+
+A text that is null or has no letter is `und` with score and fit 0. Rows without a language aren't
+learned from. With no labelled row, every text is `und`. Rows that repeat are scored alike; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,67 +31,85 @@ from ._worker import keep, parts
 ORDERS = (1, 2, 3)
 BINS = 1 << 16
 TRAIN_ROWS = 10_000
-MAX_LANGUAGES = 256
+CELLS = 1 << 24
+LANGUAGES = 1 << 12
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # (BINS + 1, languages): log-probabilities; the last row, of no n-gram, is 0
+    weights: np.ndarray  # (bins + 1, languages): log-probabilities; the last row, of no n-gram, is 0
     prior: np.ndarray
 
+    @property
+    def bins(self) -> int:
+        return len(self.weights) - 1
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of doc_id as text, modulo folds; a null doc_id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def _count(batch: pa.RecordBatch, totals: dict[str, np.ndarray]) -> None:
-    texts, langs = (c.to_pylist() for c in batch.columns)
-    for lang in set(langs):
-        for _, points, edges in chunks([t for t, x in zip(texts, langs) if x == lang]):
-            for order in ORDERS:
-                totals[lang] += np.bincount(codes(points, edges, order, BINS), minlength=BINS + 1)[:BINS]
+def _counter(bins: int):
+    def count(batch: pa.RecordBatch, totals: dict[str, np.ndarray]) -> None:
+        texts, langs = (c.to_pylist() for c in batch.columns)
+        for lang in set(langs):
+            for _, points, edges in chunks([t for t, x in zip(texts, langs) if x == lang]):
+                for order in ORDERS:
+                    totals[lang] += np.bincount(codes(points, edges, order, bins), minlength=bins + 1)[:bins]
+
+    return count
 
 
-def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """labelled (doc_id, text, lang): at most about train_rows documents of each language are read."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    there = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(there) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, most_cells: int = CELLS) -> Model:
+    """labelled (doc_id, text, lang): about train_rows different documents of each language are read; copies of one that is read are read too."""
+    spark = labelled.sparkSession
+    name = F.xxhash64("doc_id", "text")
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", name.alias("name"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("name").alias("different"))
+    there = {r["lang"]: r for r in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(there)
     if not languages:
         return Model([], np.zeros((BINS + 1, 0), np.float32), np.zeros(0))
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_rows / there[lang]))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000
-    counts = dense_counts(known.where(drawn).select("text", "lang"), languages, _count, BINS)
+    bins = BINS
+    while bins * len(languages) > most_cells:
+        bins //= 2
+    shares = spark.createDataFrame([(x, min(1.0, train_rows / there[x]["different"])) for x in languages], "lang string, share double")
+    drawn = known.join(F.broadcast(shares), "lang").where(F.pmod("name", F.lit(1_000_000)) < F.col("share") * 1_000_000)  # LANGUAGES rows at most
+    counts = dense_counts(drawn.select("text", "lang"), languages, _counter(bins), bins)
     table = np.stack([counts[x] for x in languages], 1) + 0.5
     weights = np.log(table / table.sum(0))
-    n = np.array([there[x] for x in languages], float)
+    n = np.array([there[x]["n"] for x in languages], float)
     return Model(languages, np.vstack([weights, np.zeros((1, len(languages)))]).astype(np.float32), np.log(n / n.sum()))
 
 
-def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """The language and its posterior probability."""
+def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language, its posterior probability and its fit."""
     names = np.array([UNKNOWN] * len(texts), object)
-    best = np.zeros(len(texts))
+    best, fit = np.zeros(len(texts)), np.zeros(len(texts))
     if not model.languages:
-        return names.tolist(), best
+        return names.tolist(), best, fit
     for first, points, edges in chunks(texts):
-        total = np.tile(model.prior, (len(edges) - 1, 1))
+        total, grams = np.tile(model.prior, (len(edges) - 1, 1)), np.zeros(len(edges) - 1)
         for order in ORDERS:
-            total += np.add.reduceat(model.weights[codes(points, edges, order, BINS)], edges[:-1], axis=0, dtype=np.float64)
+            code = codes(points, edges, order, model.bins)
+            total += np.add.reduceat(model.weights[code], edges[:-1], axis=0, dtype=np.float64)
+            grams += np.add.reduceat(code < model.bins, edges[:-1], dtype=np.float64)
         k = total.argmax(1)
-        names[first : first + len(k)] = np.array(model.languages, object)[k]
-        best[first : first + len(k)] = 1 / np.exp(total - total[np.arange(len(k)), k][:, None]).sum(1)
+        at = slice(first, first + len(k))
+        names[at] = np.array(model.languages, object)[k]
+        most = total[np.arange(len(k)), k]
+        best[at] = 1 / np.exp(total - most[:, None]).sum(1)
+        # blanks stand in every language
+        blanks = np.add.reduceat(points == 32, edges[:-1], dtype=np.float64)
+        blank = model.weights[codes(np.array([32], np.uint32), np.array([0, 1]), 1, model.bins)[0], k]
+        fit[at] = (most - model.prior[k] - blanks * blank) / np.maximum(1, grams - blanks) + np.log(model.bins)
     for i, text in enumerate(texts):
         if not text or not any(map(str.isalpha, text)):
-            names[i], best[i] = UNKNOWN, 0.0
-    return names.tolist(), best
+            names[i], best[i], fit[i] = UNKNOWN, 0.0, 0.0
+    return names.tolist(), best, fit
 
 
 def _scorer(sent, text_at: int, given: int):
@@ -96,18 +118,18 @@ def _scorer(sent, text_at: int, given: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = keep(("languages", number), lambda: sent.value)
         for batch in parts(batches):
-            lang, probability = score(model, batch.column(text_at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:given], pa.array(lang, pa.string()), pa.array(probability)], [*batch.schema.names[:given], "lang_pred", "score"])
+            lang, probability, fit = score(model, batch.column(text_at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:given], pa.array(lang, pa.string()), pa.array(probability), pa.array(fit)], [*batch.schema.names[:given], "lang_pred", "score", "fit"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs with a column text -> the columns `keep`, lang_pred, score."""
+    """docs with a column text -> the columns `keep`, lang_pred, score, fit."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     shape = ", ".join(f"_c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
     beside = [] if "text" in keep else [F.col("text").alias("_text")]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(keep)], *beside)
     text_at = keep.index("text") if "text" in keep else len(keep)
-    scored = rows.mapInArrow(_scorer(sent, text_at, len(keep)), f"{shape}, lang_pred string, score double")
-    return scored.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score")
+    scored = rows.mapInArrow(_scorer(sent, text_at, len(keep)), f"{shape}, lang_pred string, score double, fit double")
+    return scored.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score", "fit")

@@ -4,7 +4,8 @@ A document has an n-gram (ORDERS characters, BINS bins) or hasn't. For each n-gr
 its share among toxic and among other labelled documents scales its feature; n-grams in fewer than
 MIN_DOCS of them, or with a ratio near 0, are left out. A logistic regression is fitted on the
 scaled features. Ratios and weights are learned from at most POSITIVE toxic and NEGATIVE other
-documents, the first ones by a hash of doc_id. What is broadcast or gathered by the driver is
+documents, the first ones by a hash of doc_id; of rows that share a doc_id, from one text, the first by
+a hash. What is broadcast or gathered by the driver is
 bounded by these numbers and BINS.
 
 A null or empty text has no feature and gets the score of the intercept. Labels that are null aren't
@@ -99,7 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     first = lambda label, n: known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     # positive + negative rows at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(first(1, positive).union(first(0, negative))), "doc_id").select("text", "label")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(first(1, positive).union(first(0, negative))), "doc_id")
+    sample = drawn.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label")).select("text", "label")
     counts = dense_counts(sample, ["0", "1"], _count, BINS)
     n = [sample.where(F.col("label") == k).count() for k in (0, 1)]
     if not all(n):

@@ -5,6 +5,7 @@ import string
 import zlib
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,21 @@ def test_language(spark, docs, rows, none):
     assert {r["lang_pred"] for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_samples(spark):
+    """Nameless and repeated rows, many languages in few cells, and texts in none of them."""
+    letters = ["abc", "def", "ghi", "jkl", "mno", "pqr", "stu", "vwx"]
+    say = lambda k, seed: "".join(random.Random(seed).choices(letters[k] + " ", k=200))
+    made = [(None, say(k, seed), f"l{k}") for k in range(8) for seed in range(30)] + [(7, say(0, 0), "l0")] * 300
+    labelled = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    asked = spark.createDataFrame([(k, say(k, 99)) for k in range(8)] + [(8, "これは日本語の文章です")], "doc_id long, text string")
+    for rows, cells in ((10_000, langid.CELLS), (20, langid.CELLS), (10_000, 8 << 10)):
+        model = langid.train(labelled, rows, cells)
+        assert len(model.languages) * model.bins <= cells
+        told = {r["doc_id"]: r for r in langid.identify(asked, model).collect()}
+        assert all(told[k]["lang_pred"] == f"l{k}" and told[k]["fit"] > 0 for k in range(8))
+        assert told[8]["fit"] < 0
+
+
 def test_toxicity(spark, docs, none):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     english = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").collect()}
@@ -41,6 +57,9 @@ def test_toxicity(spark, docs, none):
     model = toxicity.train(docs, marks.union(marks).union(marks.select(F.lit(None).cast("long"), F.lit(1))))
     assert toxicity.toxicity(docs, model).count() == docs.count()
     assert toxicity.toxicity(none, model).count() == 0
+    # a doc_id that repeats is learned from once
+    one, often = toxicity.train(docs, marks), toxicity.train(docs.unionByName(docs).unionByName(docs), marks)
+    assert np.allclose(one.weights, often.weights, atol=1e-4)
     alone = toxicity.train(docs, marks.where("toxic = 0"))
     assert {r["predicted"] for r in toxicity.toxicity(docs, alone).collect()} == {0}
 
