@@ -46,10 +46,11 @@ def test_substring_dedup(docs, rows, none, monkeypatch, hot):
     assert substring_dedup.dedup_substrings(none.select("doc_id", "text")).count() == 0
 
 
-@pytest.mark.parametrize(("small", "block"), [(64, 1500), (2, 1500), (2, 3)])
-def test_jaccard_components(docs, rows, none, monkeypatch, small, block):
+@pytest.mark.parametrize(("small", "block", "often"), [(64, 1500, 1000), (2, 1500, 1), (2, 3, 6)])
+def test_jaccard_components(docs, rows, none, monkeypatch, small, block, often):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "OFTEN", often)
     assert got(jaccard_join.jaccard_components(docs, 4, 85)) == sorted(brute.components(rows, 4, 85), key=repr)
     assert jaccard_join.jaccard_components(none).count() == 0
 
