@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, secrets, toxicity
+from . import ann, hard_negatives, langid, quality, secrets, toxicity
 from ._stage import shared_dir
 from .decontaminate import report
 from .jaccard_join import jaccard_components
@@ -186,6 +186,37 @@ from words d left join kept k on k.r = d.r
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+OP11_SQL = r"""
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select a.vec_id as anchor_id, e.vec_id, a.label = e.label as same, cast(list_dot_product(a.v, e.v) as bigint) as score
+  from rows a join rows e on a.vec_id <> e.vec_id where a.vec_id % 100 = 0
+),
+positives as (select * from scored where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+windows as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+         cast(row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as integer) as rank
+  from positives p join scored n on n.anchor_id = p.anchor_id
+  where not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+)
+select * from windows where rank <= 5
+"""
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
@@ -197,6 +228,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_nearest": op13_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -205,4 +238,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
