@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hard_negatives, langid, quality, secrets, toxicity
+from . import alignment, ann, hard_negatives, langid, quality, secrets, toxicity
 from ._stage import shared_dir
 from .decontaminate import report
 from .jaccard_join import jaccard_components
@@ -213,6 +213,11 @@ select * from windows where rank <= 5
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.link_scores(aligned, alignment.pair_counts(aligned))
+
+
 def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -229,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_alignment": op12_alignment,
     "op13_nearest": op13_nearest,
 }
 
