@@ -39,6 +39,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 DICTIONARY = 5_000
 FINDINGS = 20_000
+#: The logarithm of a letter pair's share that the dictionary hasn't.
+UNLIKELY = -13.8
 NAMES = "token|secret|password|passwd|pwd|api|key|auth|bearer|credential|private"
 #: A name, what closes it, and what assigns to it.
 NAME = rf"(?i)(?:{NAMES})\w*[\\\"'`\])]*"
@@ -79,25 +81,27 @@ def _share(pattern: str) -> Column:
     return F.regexp_count("finding", F.lit(pattern)) / F.length("finding")
 
 
-def _pieces(width: int) -> Column:
-    """All substrings of that length."""
-    return F.transform(F.sequence(F.lit(1), F.length("finding") - (width - 1)), lambda i: F.substring(F.col("finding"), i, F.lit(width)))
-
-
 def features(findings: DataFrame, entries: DataFrame) -> DataFrame:
     """Findings with the columns FEATURES."""
     total = float(entries.agg(F.sum("n")).first()[0] or 1)
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("entry") - 1), lambda i: F.substring(F.col("entry"), i, F.lit(2))))
     # at most 676 rows
-    pairs = entries.select(pair.alias("pair"), "n").groupBy("pair").agg(F.log(F.sum("n") / total + 1e-6).alias("log_share"))
-    own_pairs = findings.select("finding_id", F.explode(_pieces(2)).alias("pair")).withColumn("pair", F.lower("pair"))
-    likely = own_pairs.join(F.broadcast(pairs), "pair", "left").groupBy("finding_id").agg(F.avg(F.coalesce("log_share", F.lit(-13.8))).alias("pairs"))
+    shares = dict(entries.select(pair.alias("pair"), "n").groupBy("pair").agg(F.log(F.sum("n") / total + 1e-6)).collect())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    table = F.array(*[F.lit(float(shares.get(x + y, UNLIKELY))) for x in letters for y in letters])
+    place = F.transform(F.split(F.lower("finding"), ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97))
+    # a pair with another character has no place, and get() of none is null
+    firsts, seconds = F.slice(place, 1, F.length("finding") - 1), F.slice(place, 2, F.length("finding") - 1)
+    likeness = F.zip_with(firsts, seconds, lambda x, y: F.coalesce(F.get(table, x * 26 + y), F.lit(UNLIKELY)))
+    likely = F.aggregate(likeness, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.length("finding") - 1, F.lit(1))
     runs = findings.select("finding_id", F.explode(F.regexp_extract_all(F.lower("finding"), F.lit("([a-z]{4,})"), 1)).alias("entry"))
     # DICTIONARY rows at most
     covered = runs.join(F.broadcast(entries), "entry").groupBy("finding_id").agg(F.sum(F.length("entry")).alias("covered"))
-    letters = _pieces(1)
-    counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)) / F.length("finding"))
-    entropy = F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    # equal characters stand together once sorted: a run of k adds k log k
+    turn = lambda x, k, e: F.struct(x.alias("x"), k.cast("int").alias("k"), e.alias("e"))
+    closed = lambda a: a["e"] + a["k"] * F.log2(F.greatest(a["k"], F.lit(1)))
+    spread = F.aggregate(F.array_sort(F.split("finding", "")), turn(F.lit(""), F.lit(0), F.lit(0.0)), lambda a, x: F.when(x == a["x"], turn(a["x"], a["k"] + 1, a["e"])).otherwise(turn(x, F.lit(1), closed(a))), closed)
+    entropy = F.log2(F.length("finding")) - spread / F.length("finding")
     prose = lambda c: F.col(c).rlike(r"^\p{L}+[,.;:]?$").cast("double")
     local = {
         "n": F.length("finding").cast("double"),
@@ -106,6 +110,7 @@ def features(findings: DataFrame, entries: DataFrame) -> DataFrame:
         "uppers": _share("[A-Z]"),
         "hex": _share("[0-9a-fA-F]"),
         "entropy": entropy,
+        "pairs": likely,
         "switches": _share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])"),
         "slashes": _share("/"),
         "dashes": _share("[-_]"),
@@ -113,8 +118,8 @@ def features(findings: DataFrame, entries: DataFrame) -> DataFrame:
         "prose_before": F.element_at(F.split("before", " "), -1).rlike(r"^\p{L}+[,.;:]?$").cast("double"),
         "prose_after": prose("after"),
     }
-    joined = findings.join(likely, "finding_id", "left").join(covered, "finding_id", "left")
-    return joined.withColumns(local).withColumn("pairs", F.coalesce("pairs", F.lit(-13.8))).withColumn("dictionary", F.coalesce(F.col("covered"), F.lit(0)) / F.col("n")).drop("covered")
+    joined = findings.join(covered, "finding_id", "left")
+    return joined.withColumns(local).withColumn("dictionary", F.coalesce(F.col("covered"), F.lit(0)) / F.col("n")).drop("covered")
 
 
 def weak_labels(rows: DataFrame) -> DataFrame:
@@ -164,7 +169,17 @@ def scan(docs: DataFrame, threshold: float = 0.5, labels: DataFrame | None = Non
 
 
 def redact(docs: DataFrame, secrets: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with each confirmed secret of its document replaced in text."""
-    found = secrets.where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("finding"), lambda a, b: F.length(b) - F.length(a)).alias("_found"))
-    cleaned = F.aggregate("_found", F.col("text"), lambda text, s: F.replace(text, s, F.lit(mask)))
-    return docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    """docs with each confirmed secret of its document replaced in text, longer ones first.
+
+    secrets: as scan() gives them. Each row is searched again, and loses those of its findings that its
+    doc_id, null like any other, has a confirmed secret of; so what is gathered for a row is its own.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("id"), whole.alias("row")), "texts-to-redact")
+    own = find(rows.select(F.struct("id", F.col("row.doc_id").alias("name")).alias("doc_id"), F.col("row.text").alias("text")))
+    sure = secrets.where("is_secret").select(F.col("doc_id").alias("of"), F.col("finding").alias("secret")).distinct()
+    hits = own.select("doc_id.id", "doc_id.name", "finding").join(sure, F.col("name").eqNullSafe(F.col("of")) & (F.col("finding") == F.col("secret")), "left_semi")
+    longer = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    found = hits.groupBy("id").agg(F.array_sort(F.collect_set("finding"), longer).alias("found"))
+    cleaned = F.aggregate(F.coalesce("found", F.array().cast("array<string>")), F.col("row.text"), lambda text, s: F.replace(text, s, F.lit(mask)))
+    return rows.join(found, "id", "left").select(*[(cleaned if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

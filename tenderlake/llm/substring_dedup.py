@@ -367,7 +367,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
     """docs (doc_id, text, ...) -> its other columns, kept_text (kept words joined by a space), n_words, n_removed, kept_sha256."""
     others = [c for c in docs.columns if c not in ("text", *RESULTS)]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)], F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("sig"), F.xxhash64("doc_id").alias("did"))
-    found = repeats(plain, window).groupBy("sig", "did").agg(F.collect_list(F.struct("low", "n")).alias("_found"))
+    # copies of a row find the same repeats: a set of them is no longer than its text
+    found = repeats(plain, window).groupBy("sig", "did").agg(F.collect_set(F.struct("low", "n")).alias("_found"))
     joined = plain.join(found, ["sig", "did"], "left").select(*[f"_c{k}" for k in range(len(others))], "text", "_found")
     shape = T.StructType([*joined.schema.fields[: len(others)], T.StructField("kept_text", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     out = joined.mapInArrow(_remove(window, len(others), len(others) + 1, to_arrow_schema(shape)), shape)

@@ -1,8 +1,13 @@
 """Classifiers: held-out accuracy, folds and awkward input."""
 
+import math
 import random
 import string
+import subprocess
+import sys
+import time
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -10,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderlake.llm import langid, queries, secrets, toxicity
+from tenderlake.llm._ngrams import chunks, codes
 
 SF = "/root/testdata/sf0.01"
 
@@ -31,20 +37,67 @@ def test_language(spark, docs, rows, none):
 
 
 def test_language_samples(spark):
-    """Nameless and repeated rows, many languages in few cells, and texts in none of them."""
+    """Nameless and repeated rows, languages in several shards, and texts in none of them."""
     letters = ["abc", "def", "ghi", "jkl", "mno", "pqr", "stu", "vwx"]
     say = lambda k, seed: "".join(random.Random(seed).choices(letters[k] + " ", k=200))
     made = [(None, say(k, seed), f"l{k}") for k in range(8) for seed in range(30)] + [(7, say(0, 0), "l0")] * 300
     labelled = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
     asked = spark.createDataFrame([(k, say(k, 99)) for k in range(8)] + [(8, "これは日本語の文章です")], "doc_id long, text string")
-    for rows, cells in ((10_000, langid.CELLS), (20, langid.CELLS), (10_000, 8 << 10)):
-        model = langid.train(labelled, rows, cells)
-        assert len(model.languages) * model.bins <= cells
+    for rows, shard in ((10_000, langid.SHARD), (20, langid.SHARD), (10_000, 3)):
+        model = langid.train(labelled, rows, shard)
+        assert len(model.languages) == 8 and len(model.shards) == -(-8 // shard)
         told = {r["doc_id"]: r for r in langid.identify(asked, model).collect()}
         assert all(told[k]["lang_pred"] == f"l{k}" and told[k]["fit"] > 0 for k in range(8))
         assert told[8]["fit"] < 0
 
 
+def test_language_scores_by_hand(spark, docs, rows):
+    """The posterior of plain multinomial naive Bayes, with the languages in one shard and in several."""
+    langs = {d: "xyz"[d % 3] if d % 5 else None for d, _ in rows}
+    labelled = docs.drop("lang").withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.element_at(F.array(*map(F.lit, "xyz")), (F.col("doc_id") % 3 + 1).cast("int"))))
+    grams = lambda t: [int(c) for _, points, edges in langid.chunks([t]) for order in langid.ORDERS for c in langid.codes(points, edges, order, 1 << 10) if c < 1 << 10]
+    counts = {x: Counter(g for d, t in rows if langs[d] == x and t is not None for g in grams(t)) for x in "xyz"}
+    n = {x: sum(langs[d] == x and t is not None for d, t in rows) for x in "xyz"}
+    own = {d: grams(t) for d, t in rows if any(map(str.isalpha, t or ""))}
+    for shard in (128, 2, 1):
+        model = langid.train(labelled, shard=shard, bins=1 << 10)
+        for r in langid.identify(docs, model).collect():
+            if r["doc_id"] not in own:
+                assert (r["lang_pred"], r["score"], r["fit"]) == ("und", 0.0, 0.0)
+                continue
+            z = {x: math.log(n[x] / sum(n.values())) + sum(math.log((counts[x][g] + 0.5) / (counts[x].total() + 512)) for g in own[r["doc_id"]]) for x in "xyz"}
+            best = max(z.values())
+            assert z[r["lang_pred"]] > best - 1e-2 * (1 + abs(best) / 1000)
+            assert abs(r["score"] - 1 / sum(math.exp(v - z[r["lang_pred"]]) for v in z.values())) < 1e-2
+
+
+def test_memory_of_many_languages():
+    """A shard of languages scores long texts within a few hundred MB, whatever their number."""
+    code = """
+import resource, numpy as np
+from tenderlake.llm import langid
+rng = np.random.default_rng(0)
+texts = ["".join(rng.choice(list("abcdefghij "), 40_000)) for _ in range(13)]
+n = 300
+shards = [langid.Shard([str(k) for k in range(lo, min(lo + langid.SHARD, n))], np.zeros((langid.BINS + 1, min(langid.SHARD, n - lo)), np.float32), np.zeros(min(langid.SHARD, n - lo))) for lo in range(0, n, langid.SHARD)]
+for s in shards:
+    langid.score(s, texts)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 500
+
+
+def test_toxicity_scores_by_hand(spark, docs, rows):
+    """The logistic function of the weights of a text's distinct n-grams."""
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(docs, marks)
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, model).collect()}
+    for d, t in rows:
+        bins = {int(c) for _, points, edges in chunks([t]) for order in toxicity.ORDERS for c in codes(points, edges, order, toxicity.BINS) if c < toxicity.BINS}
+        z = model.intercept + sum(float(model.weights[c]) for c in bins)
+        assert abs(found[d] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def test_toxicity(spark, docs, none):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     english = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").collect()}
@@ -77,6 +130,37 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_redact_any_row(spark):
+    """Rows without a doc_id lose their secrets as well, and columns named like helpers stay."""
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    made = [(None if i % 3 == 0 else i, f'text before token = "{key[i % 7 :]}{i:06d}" and after') for i in range(30)] + [(5, f'once more token = "{key}xyz" there'), (None, None), (None, "")]
+    docs = spark.createDataFrame(made, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("_found", "found", "id", "row", "finding", "of")})
+    out = secrets.redact(docs, secrets.scan(docs))
+    assert out.columns == docs.columns and out.where("_found = 'mine' and id = 'mine'").count() == len(made)
+    texts = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert texts[None, 'text before token = "[secret]" and after'] == 10
+    assert texts[5, 'once more token = "[secret]" there'] == texts[None, None] == texts[None, ""] == 1
+    assert not any(key[7:] in (t or "") for _, t in texts)
+
+
+def test_long_runs(spark):
+    """Features of a run are linear in its length."""
+    rnd = random.Random(1)
+    run = lambda n: "".join(rnd.choices(string.ascii_letters + string.digits, k=n))
+    began = time.time()
+    docs = spark.createDataFrame([(1, run(200_000)), (2, f'password = "{run(100_000)}"'), (3, run(20))], "doc_id long, text string")
+    assert {r["doc_id"] for r in secrets.scan(docs).collect()} == {1, 2, 3}
+    assert time.time() - began < 60
+    found = spark.createDataFrame([("aabbbc",), ("x",), ("日日本a",)], "finding string").selectExpr("monotonically_increasing_id() as finding_id", "finding", "finding as word", "'' as before", "'' as after")
+    entries = spark.createDataFrame([("aabb", 3), ("bbcc", 1)], "entry string, n long")
+    got = {r["finding"]: (r["entropy"], r["pairs"]) for r in secrets.features(found, entries).collect()}
+    share = {"aa": 3 / 4, "ab": 3 / 4, "bb": 4 / 4, "bc": 1 / 4}
+    said = lambda *pairs: sum(math.log(share[p] + 1e-6) if p in share else secrets.UNLIKELY for p in pairs) / max(1, len(pairs))
+    want = {"aabbbc": (-(math.log2(1 / 3) / 3 + math.log2(1 / 2) / 2 + math.log2(1 / 6) / 6), said("aa", "ab", "bb", "bb", "bc")), "x": (0.0, said()), "日日本a": (1.5, said("日日", "日本", "本a"))}
+    for f in want:
+        assert abs(got[f][0] - want[f][0]) < 1e-9 and abs(got[f][1] - want[f][1]) < 1e-9
+
+
 def test_secrets_of_other_shapes(spark):
     """Without a digit, short, or broken by punctuation; long words stay candidates that the forest turns down."""
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"

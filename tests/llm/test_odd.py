@@ -12,7 +12,7 @@ TEXTS = ["one two three four five six", None, "", "one two three four five six",
 @pytest.fixture(scope="module")
 def odd(spark):
     """Rows without a doc_id, rows that repeat, and columns named as results or helpers are."""
-    names = ["n_words", "n_lines", "n_dropped", "n_removed", "kept_text", "kept_sha256", "spans", "items", "lang_pred", "score", "row", "_text", "_c0", "sig", "did", "key", "_key", "label", "word", "finding", "n_shingles", "component_id", "fail_bits", "part", "at", "n"]
+    names = ["n_words", "n_lines", "n_dropped", "n_removed", "kept_text", "kept_sha256", "spans", "items", "lang_pred", "score", "row", "_text", "_c0", "sig", "did", "key", "_key", "label", "word", "finding", "n_shingles", "component_id", "fail_bits", "part", "at", "n", "_copy", "_least", "_least_hash", "text_hash", "row_hash"]
     rows = [(d, t) for d in (None, 1, 1) for t in TEXTS]
     return spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("mine").alias(n) for n in names])
 
@@ -77,3 +77,18 @@ def test_items_without_a_name(spark, tmp_path):
     apart = decontaminate.find_overlaps(docs, items, 10, shard_words=20)
     assert {r["doc_id"]: (r["n"], r["items"]) for r in apart.select("doc_id", decontaminate.hit_words().alias("n"), "items").collect()} == {1: (14, []), 2: (3, []), 3: (26, ["a", "b"]), 4: (0, []), 5: (0, [])}
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {4, 5}
+
+
+def test_many_copies_of_a_row(spark):
+    """Thousands of equal rows cost op10 no more than their number."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(8)
+    assert substring_dedup.dedup_substrings(docs).where("n_words = 60 and n_removed = 60 and kept_text = ''").count() == 10_000
+
+
+def test_keep_one_of_rows_that_tie(spark):
+    """Of rows with one doc_id and text, the same one stays however they are dealt."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, f"source {k}", k) for k in range(20)] + [(2, "", "a", 1), (2, "", "a", 1), (2, "", "b", 1)]
+    kept = [sorted(map(tuple, jaccard_join.keep_one(spark.createDataFrame(r, "doc_id long, text string, source string, _copy long").repartition(n)).collect())) for r, n in ((rows, 5), (rows[::-1], 2))]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 2, 2]
