@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from ._stage import shared_dir, staged
 from ._text import Words, buffer_of
 from ._tokens import Encoder
-from ._worker import keep, parts
+from ._worker import keep, parts, release
 
 LONG = 1 << 16
 UNIT = 1 << 15
@@ -46,10 +45,12 @@ UNIT = 1 << 15
 RANGE = 1 << 14
 FAN = 8
 SLICE = 2 << 20
-KEPT = 300_000
+#: Segments that a worker keeps, and bytes of new ones that it encodes as one text.
+KEPT = 100_000
+AT_ONCE = 1 << 16
 #: Pairs that are broadcast with their counts: the most frequent ones.
 BROADCAST_PAIRS = 4_000_000
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 1_000_000
 #: Links of a group up to which each is written out.
 _FEW = 1 << 10
 _B_BITS, _PAIR_BITS = 20, 40
@@ -99,6 +100,20 @@ def whole(x: Fragment) -> tuple[np.ndarray, ...] | None:
     return done.closed if not len(done.after[0]) and not len(done.after[1]) else None
 
 
+class _Bytes:
+    """The bytes of each id of a vocabulary."""
+
+    def __init__(self, each: list[bytes]):
+        self.length = np.array([*map(len, each)], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(each), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        n = self.length[ids]
+        to = np.cumsum(n)
+        return self.flat[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(self.start[ids] - (to - n), n)].tobytes()
+
+
 class Aligner:
     """Both tokenizers of a worker, and the segments that it met last."""
 
@@ -109,57 +124,81 @@ class Aligner:
         self.a.whole.encode_special_tokens = True
         self.a.added = None
         letters = {c: b for b, c in enumerate(self.a.letters)}
-        self.a_bytes = [bytes(letters.get(c, 0x20) for c in self.a.whole.id_to_token(i) or "") for i in range(self.a.vocabulary)]
+        a_bytes = [bytes(letters.get(c, 0x20) for c in self.a.whole.id_to_token(i) or "") for i in range(self.a.vocabulary)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
-        self.b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
+        b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
+        self.tables = _Bytes(a_bytes), _Bytes(b_bytes)
         self.blank = self.b.piece_to_id("▁")
         # a space is a border of B if no piece has one behind another character and nothing is rewritten before
         probe = "a  bc\n d \tﬁ² Ａ."
-        plain = all(" " not in x.lstrip(b" ").decode("utf-8", "replace") for x in self.b_bytes) and self.b.decode(self.b.encode(probe)) == probe
+        plain = all(" " not in x.lstrip(b" ").decode("utf-8", "replace") for x in b_bytes) and self.b.decode(self.b.encode(probe)) == probe
         self.borders = plain and self.a.pattern is not None and not self.a.lower
-        self.kept: dict[bytes, tuple | None] = {}
-
-    def _encode_a(self, raw: bytes) -> list[int]:
-        ids = self.a._word(raw) if self.borders and len(raw) < 256 else None
-        if ids is not None:
-            return np.frombuffer(ids, self.a.dtype).tolist()
-        return self.a.whole.encode(raw.decode(), add_special_tokens=False).ids
-
-    def tokens(self, segments: list[bytes]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of A and B of segments, each of which begins with a space; None if bytes are lost."""
-        found = self.b.encode([s[1:].decode() for s in segments], num_threads=1)
-        for s, b in zip(segments, found):
-            a, b = self._encode_a(s), b or [self.blank]
-            yield (a, b) if b"".join([self.a_bytes[i] for i in a]) == s == b"".join([self.b_bytes[i] for i in b]) else None
-
-    def _aligned(self, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes, bytes]:
-        """ids and group sizes of a segment that gives back its bytes."""
-        na, nb, at, bt, i, j, m, n = array("I"), array("I"), 0, 0, 0, 0, len(a), len(b)
-        while i < m or j < n:
-            i0, j0 = i, j
-            at += len(self.a_bytes[a[i]])
-            bt += len(self.b_bytes[b[j]])
-            i, j = i + 1, j + 1
-            while at != bt:
-                if at < bt:
-                    at += len(self.a_bytes[a[i]])
-                    i += 1
-                else:
-                    bt += len(self.b_bytes[b[j]])
-                    j += 1
-            na.append(i - i0)
-            nb.append(j - j0)
-        return array("I", a).tobytes(), array("I", b).tobytes(), na.tobytes(), nb.tobytes()
+        # what isn't asked for again while KEPT others come goes
+        self.kept: dict[bytes, tuple] = {}
+        self.before: dict[bytes, tuple] = {}
+
+    def tokens(self, segment: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B of what begins with a space; None if a tokenizer loses bytes."""
+        a = self.a.whole.encode(segment.decode(), add_special_tokens=False).ids
+        b = self.b.encode(segment[1:].decode(), num_threads=1) or [self.blank]
+        ids = tuple(np.array(x, np.uint32) for x in (a, b))
+        return ids if all(table.bytes_of(x) == segment for table, x in zip(self.tables, ids)) else None
+
+    def ends(self, ids: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """The offsets at which tokens end."""
+        return [np.cumsum(table.length[x]) for table, x in zip(self.tables, ids)]
+
+    def _entries(self, ids: tuple[np.ndarray, np.ndarray], edges: np.ndarray) -> list[tuple] | None:
+        """Ids and group sizes, as bytes, of segments that end at the offsets edges[1:]; None if one of these is no cut."""
+        a_ends, b_ends = self.ends(ids)
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        at = np.searchsorted(cuts, edges[1:])
+        if not len(cuts) or at[-1] >= len(cuts) or (cuts[at] != edges[1:]).any():
+            return None
+        places = [np.searchsorted(e, cuts) + 1 for e in (a_ends, b_ends)]
+        sizes = [np.diff(x, prepend=0).astype(np.uint32) for x in places]
+        group_edge = np.append(0, at + 1)
+        fields = []
+        for flat, edge in [*((x, np.append(0, p)[group_edge]) for x, p in zip(ids, places)), *((x, group_edge) for x in sizes)]:
+            raw, edge = flat.tobytes(), (4 * edge).tolist()
+            fields.append([raw[i:j] for i, j in zip(edge, edge[1:])])
+        return [*zip(*fields)]
+
+    def _several(self, segments: list[bytes]) -> list[tuple | None]:
+        """Segments that begin with a space and a printable character and end with one, encoded as one text; one by one if that isn't what they give together."""
+        text, edges = b"".join(segments), np.cumsum([0, *map(len, segments)])
+        ids = self.tokens(text)
+        found = self._entries(ids, edges) if ids is not None else None
+        if found is None and len(segments) > 1:
+            half = len(segments) // 2
+            return self._several(segments[:half]) + self._several(segments[half:])
+        return found if found is not None else [None]
 
     def align(self, segments: list[bytes]) -> list[tuple | None]:
-        new = [s for s in segments if s not in self.kept]
-        made = {s: None if t is None else self._aligned(*t) for s, t in zip(new, self.tokens(new))}
-        out = [self.kept[s] if s in self.kept else made[s] for s in segments]
+        """Ids of A and B and the groups' sizes, as bytes, of each segment; None for one whose bytes are lost."""
+        made: dict[bytes, tuple | None] = {}
+        there = {s: x for s in segments if (x := self.kept.get(s) or self.before.get(s))}
+        new = [s for s in segments if s not in there]
+        plain = [s for s in new if self.borders and len(s) > 1 and 0x20 < s[1] < 0x7F and 0x20 < s[-1] < 0x7F]
+        batch, size = [], 0
+        for s in plain:
+            batch.append(s)
+            size += len(s)
+            if size > AT_ONCE:
+                made.update(zip(batch, self._several(batch)))
+                batch, size = [], 0
+        if batch:
+            made.update(zip(batch, self._several(batch)))
+        for s in new:
+            if s not in made:
+                ids = self.tokens(s)
+                made[s] = self._entries(ids, np.array([0, len(s)]))[0] if ids is not None else None
+        there.update(made)
+        self.kept.update((s, x) for s, x in there.items() if x and len(s) < 64)
         if len(self.kept) > KEPT:
-            self.kept.clear()
-        self.kept.update((s, x) for s, x in made.items() if len(s) < 256)
-        return out
+            self.kept, self.before = {}, self.kept
+        return [there[s] for s in segments]
 
     def borders_of(self, buf: np.ndarray) -> np.ndarray:
         """Offsets of the spaces that both tokenizers begin a token at, whatever stands around."""
@@ -296,8 +335,8 @@ def _units(a_path: str, b_path: str, unit: int):
     """Pieces of a text between borders, in order, with their first byte in space+text; each begins with a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = aligner(a_path, b_path)
         for batch in parts(batches, rows=1):
+            tool = aligner(a_path, b_path)
             raw = b" " + batch.column(1)[0].as_py().encode()
             borders, cuts = tool.borders_of(np.frombuffer(raw, np.uint8)), [0]
             while (k := np.searchsorted(borders, cuts[-1] + unit)) < len(borders):
@@ -305,6 +344,7 @@ def _units(a_path: str, b_path: str, unit: int):
             pieces = [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)])]
             n = len(cuts)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([0] * n)), pa.array(cuts, pa.int64()), pa.array(pieces, pa.binary())], ["row", "at", "piece"])
+        release()
 
     return run
 
@@ -329,15 +369,13 @@ def _fragments(a_path: str, b_path: str, width: int):
     """The fragments of a piece: one for each range of `width` bytes of the document that it reaches into, in order (seq)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = aligner(a_path, b_path)
         for batch in parts(batches, rows=8):
+            tool = aligner(a_path, b_path)
             rows, seq, found = [], [], []
             for row, at, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = next(tool.tokens([piece]))
-                own = [None]
-                if tokens is not None:
-                    ids = [np.array(x, np.uint32) for x in tokens]
-                    ends = [at + np.cumsum([len(table[i]) for i in x]) for table, x in zip((tool.a_bytes, tool.b_bytes), tokens)]
+                ids, own = tool.tokens(piece), [None]
+                if ids is not None:
+                    ends = [at + e for e in tool.ends(ids)]
                     edges = np.arange(at // width, (at + len(piece) - 1) // width + 2) * width
                     a, b = (np.searchsorted(e, edges, "right") for e in ends)
                     a[-1], b[-1] = len(ids[0]), len(ids[1])
@@ -347,6 +385,7 @@ def _fragments(a_path: str, b_path: str, width: int):
                 seq += [at + k for k in range(len(own))]
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(seq, pa.int64()), *_fragment_columns(found)], ["row", "seq", *[x.split()[0] for x in _PARTS.split(", ")]])
+        release()
 
     return run
 
@@ -421,6 +460,7 @@ def _count_pairs(held: int):
         return pairs[first], np.add.reduceat(n, first) if len(first) else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         found, size = [], 0
         out = lambda pairs, n: pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
         for batch in parts(batches, size=1 << 20):
