@@ -8,7 +8,7 @@ group may begin before it), closed groups, and an open suffix (tokens after its
 compose: suffix and prefix that meet close a group, or, without a cut, stay open. Composition is
 associative, so texts of over LONG bytes are cut into byte ranges that Spark's tasks take apart, and
 their fragments are composed by a tree, FAN at a time. Shorter texts stay in their row: each space
-between two printable ASCII characters is a border of both tokenizers, the segment from one to the
+or newline between two printable ASCII characters is a border of both tokenizers, the segment from one to the
 next is a fragment that is closed on both sides, each distinct one is encoded once, and composing
 them is concatenation, with numpy, for many documents at once. Long texts are encoded in pieces that
 end at such borders, UNIT bytes or more; a run without one is encoded in one task, as it must be.
@@ -44,9 +44,9 @@ UNIT = 1 << 15
 #: Bytes of the ranges of which a long text's fragments are made.
 RANGE = 1 << 14
 FAN = 8
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Segments that a worker keeps, and bytes of new ones that it encodes as one text.
-KEPT = 100_000
+KEPT = 80_000
 AT_ONCE = 1 << 16
 #: Pairs that are broadcast with their counts: the most frequent ones.
 BROADCAST_PAIRS = 4_000_000
@@ -130,18 +130,21 @@ class Aligner:
         b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
         self.tables = _Bytes(a_bytes), _Bytes(b_bytes)
         self.blank = self.b.piece_to_id("▁")
-        # a space is a border of B if no piece has one behind another character and nothing is rewritten before
+        # a space is a border of B if no piece has one behind another character, a newline if it is in no piece but a byte's, and if nothing is rewritten before
         probe = "a  bc\n d \tﬁ² Ａ."
-        plain = all(" " not in x.lstrip(b" ").decode("utf-8", "replace") for x in b_bytes) and self.b.decode(self.b.encode(probe)) == probe
+        plain = all(" " not in x.lstrip(b" ").decode("utf-8", "replace") for x in b_bytes) and not any(b"\n" in x and len(x) > 1 for x in b_bytes) and self.b.decode(self.b.encode(probe)) == probe
         self.borders = plain and self.a.pattern is not None and not self.a.lower
         # what isn't asked for again while KEPT others come goes
         self.kept: dict[bytes, tuple] = {}
         self.before: dict[bytes, tuple] = {}
 
     def tokens(self, segment: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of A and B of what begins with a space; None if a tokenizer loses bytes."""
+        """Ids of A and B of what begins with a space, or else at a border; None if a tokenizer loses bytes."""
         a = self.a.whole.encode(segment.decode(), add_special_tokens=False).ids
-        b = self.b.encode(segment[1:].decode(), num_threads=1) or [self.blank]
+        if segment.startswith(b" "):
+            b = self.b.encode(segment[1:].decode(), num_threads=1) or [self.blank]
+        else:  # B adds a space, which stays by itself
+            b = self.b.encode(segment.decode(), num_threads=1)[1:]
         ids = tuple(np.array(x, np.uint32) for x in (a, b))
         return ids if all(table.bytes_of(x) == segment for table, x in zip(self.tables, ids)) else None
 
@@ -166,7 +169,7 @@ class Aligner:
         return [*zip(*fields)]
 
     def _several(self, segments: list[bytes]) -> list[tuple | None]:
-        """Segments that begin with a space and a printable character and end with one, encoded as one text; one by one if that isn't what they give together."""
+        """Segments that begin at a border and end before one, encoded as one text; one by one if that isn't what they give together."""
         text, edges = b"".join(segments), np.cumsum([0, *map(len, segments)])
         ids = self.tokens(text)
         found = self._entries(ids, edges) if ids is not None else None
@@ -180,7 +183,7 @@ class Aligner:
         made: dict[bytes, tuple | None] = {}
         there = {s: x for s in segments if (x := self.kept.get(s) or self.before.get(s))}
         new = [s for s in segments if s not in there]
-        plain = [s for s in new if self.borders and len(s) > 1 and 0x20 < s[1] < 0x7F and 0x20 < s[-1] < 0x7F]
+        plain = [s for s in new if self.borders and len(s) > 1 and s[0] in b" \n" and _GRAPHIC[s[1]] and _GRAPHIC[s[-1]]]
         batch, size = [], 0
         for s in plain:
             batch.append(s)
@@ -201,10 +204,10 @@ class Aligner:
         return [there[s] for s in segments]
 
     def borders_of(self, buf: np.ndarray) -> np.ndarray:
-        """Offsets of the spaces that both tokenizers begin a token at, whatever stands around."""
+        """Offsets of the spaces and newlines, between printable characters, that both tokenizers begin a token at."""
         if not self.borders or len(buf) < 3:
             return np.zeros(0, np.int64)
-        return np.flatnonzero((buf[1:-1] == 0x20) & _GRAPHIC[buf[:-2]] & _GRAPHIC[buf[2:]]) + 1
+        return np.flatnonzero(((buf[1:-1] == 0x20) | (buf[1:-1] == 0x0A)) & _GRAPHIC[buf[:-2]] & _GRAPHIC[buf[2:]]) + 1
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:

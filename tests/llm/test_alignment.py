@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tenderlake.llm import alignment as al
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-TEXTS = [None, "", " ", "   ", "a", "\n", "a ", " a", "a  b", "a\n\nb c\t d", "don't stop <|endoftext|> <s> </s> <unk> <0x0A> x", "naïve café ﬁ ² ½ Ａ １２", "日本語のテキストです。 中文 한국어 text", "🙂🙂 👩‍👩‍👧 ok", "sep▁arator", "1234567890 3.14159 0x1F", "x" * 700, "http://a.b/c?d=e&f=%20 (see [1], {2})...", "a b　c​d", "\x00 nul \x7f del", "tab\ttab\r\nline", "A" * 30 + " " + "é" * 40, "word " * 300]
+TEXTS = [None, "", " ", "   ", "a", "\n", "a ", " a", "a  b", "a\n\nb c\t d", "don't stop <|endoftext|> <s> </s> <unk> <0x0A> x", "naïve café ﬁ ² ½ Ａ １２", "日本語のテキストです。 中文 한국어 text", "🙂🙂 👩‍👩‍👧 ok", "sep▁arator", "1234567890 3.14159 0x1F", "x" * 700, "http://a.b/c?d=e&f=%20 (see [1], {2})...", "a b　c​d", "\x00 nul \x7f del", "tab\ttab\r\nline", "A" * 30 + " " + "é" * 40, "word " * 300, "one.\nTwo three,\nfour 'five\n'six\n\nseven\n eight \nnine\n", "\nfirst\nx", "a\nb\nc\n1\n2"]
 
 
 @pytest.fixture(scope="module")
