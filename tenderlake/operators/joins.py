@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from .rows import matches_any
 
 
-def search_contracts(tables: dict[str, DataFrame], term: str, n: int = 20) -> DataFrame:
-    """Contracts with their organisation, buyer and seller, where the term is in any name; the first n by number. Buyers have no name: they are searched by address and designation."""
-    found = resolve_keys(tables["contracts"], tables).where(matches_any(term, ["contract_number", "org_name", "buyer_email", "buyer_designation", "company_name"]))
+#: Columns of a contract and its dimensions in which a search looks. Buyers have no name: they are searched by address and designation.
+SEARCHED = ["contract_number", "org_name", "buyer_email", "buyer_designation", "company_name"]
+
+
+def contract_names(contracts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Contracts with what a search looks in, and shows."""
+    return resolve_keys(contracts, tables).select(*SEARCHED, "contract_date", "total_value")
+
+
+def shown_contracts(found: DataFrame, n: int) -> DataFrame:
+    """The first n by number, as a search shows them."""
     return found.select("contract_number", F.date_format("contract_date", "dd-MM-yyyy").alias("contract_day"), "total_value", "org_name", "buyer_designation", "company_name").orderBy("contract_number").limit(n)
 
 
+def search_contracts(tables: dict[str, DataFrame], term: str, n: int = 20) -> DataFrame:
+    """Contracts with their organisation, buyer and seller, where the term is in any name; the first n by number."""
+    return shown_contracts(contract_names(tables["contracts"], tables).where(matches_any(term, SEARCHED)), n)
+
+
 def resolve_keys(contracts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Contracts with the attributes and keys of their dimensions; a missing key leaves nulls. Spark broadcasts a dimension if its size allows."""
     return (

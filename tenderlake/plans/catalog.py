@@ -12,13 +12,14 @@ from ..functions import dates as d
 from ..functions import text as t
 from ..functions.variant import first_or
 from ..operators import aggregates as agg
-from ..operators import folds, joins, lines, rows, windows
+from ..operators import folds, joins, ledger, lines, rows, windows
 from ..schemas import PAYING_COLUMNS
 from ..session import scratch_dir
 from ..sources import documents as docs
 from ..sources import pages, sinks
-from ..streaming.ingest import LAST_WINS, rate_by_window, read_pages, read_state, stream_upsert
-from . import cleaning, extraction
+from ..streaming import rates
+from ..streaming.ingest import LAST_WINS, compact_pages, rate_by_window, read_pages, read_state, stream_upsert
+from . import cleaning, extraction, index, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,6 +77,14 @@ def j1(spark, sf):
     return joins.search_contracts(_star(spark, sf), "URGENT", 20)
 
 
+@query("j1_indexed_search", f"with {DIMS} select contract_number, strftime(contract_date, '%d-%m-%Y') as contract_day, total_value, org_name, b.buyer_designation, s.company_name from (select contract_number, contract_date, total_value, org_name, buyer_email, seller_id from f2c) c left join orgs o using (org_name) left join buyers b using (buyer_email) left join sellers s using (seller_id) where contains(lower(contract_number), '5#0000') or contains(lower(coalesce(org_name, '')), '5#0000') or contains(lower(coalesce(buyer_email, '')), '5#0000') or contains(lower(coalesce(b.buyer_designation, '')), '5#0000') or contains(lower(coalesce(s.company_name, '')), '5#0000') order by contract_number limit 20")
+def j1_indexed(spark, sf):
+    """As j1, over the contracts with their dimensions stored once with an index of trigrams."""
+    root, tables = scratch_dir(spark, "contract-search"), _star(spark, sf)
+    substring.build(joins.contract_names(tables["contracts"], tables), root, joins.SEARCHED, "contract_number")
+    return joins.shown_contracts(substring.search(spark, root, "5#0000", joins.SEARCHED), 20)
+
+
 @query("j2_pending", f"with {F1} select distinct b_id from f1 where b_id not in (select user_id from events where event_type = 'purchase' and event_id % 50 = 0 and user_id is not null)")
 def j2(spark, sf):
     log = fx.observations(spark, sf)
@@ -142,6 +151,11 @@ def a2(spark, sf):
     return agg.occurrences(fx.observations(spark, sf), "b_id").withColumn("pages", F.to_json("pages"))
 
 
+@query("a2_occurrence_chunks", f"with {F1}, r as (select b_id, page_num, row_number() over (partition by b_id order by page_num) - 1 as k, count(*) over (partition by b_id) as n from f1) select b_id, k // 7 as chunk, n, cast(to_json(list(page_num order by page_num)) as varchar) as pages from r group by b_id, k // 7, n")
+def a2_chunks(spark, sf):
+    return agg.occurrence_chunks(fx.observations(spark, sf), "b_id", most=7).withColumn("pages", F.to_json("pages"))
+
+
 @query("a3_duplicates", f"with {F1} select b_id, cast(to_json(list(page_num order by page_num)) as varchar) as pages from f1 group by b_id having count(*) > 1")
 def a3(spark, sf):
     return agg.duplicates(fx.observations(spark, sf), "b_id").withColumn("pages", F.to_json("pages"))
@@ -419,6 +433,14 @@ def p5(spark, sf):
     return rows.search_any(fx.contracts(spark, sf), "NATION_1", ["org_name", "company_name"]).select("contract_number")
 
 
+@query("p5_indexed_search", f"with {F2C} select contract_number from f2c where contains(lower(org_name), 'nation_1') or contains(lower(coalesce(company_name, '')), 'nation_1')")
+def p5_indexed(spark, sf):
+    """As p5, through a stored index of trigrams."""
+    root, columns = scratch_dir(spark, "trigrams"), ["org_name", "company_name"]
+    substring.build(fx.contracts(spark, sf).select("contract_number", *columns), root, columns, "contract_number")
+    return substring.search(spark, root, "NATION_1", columns).select("contract_number")
+
+
 @query("p6_first_or", "select event_id, case when event_id % 5 = 0 then -1 when event_id % 5 = 1 then null when event_id % 5 = 4 then -1 else cast(json_extract_string(props, '$.k') as integer) end as k from events")
 def p6(spark, sf):
     shape = F.expr("""case event_id % 5 when 0 then '{"k":[]}' when 1 then '{"k":[null,3]}' when 2 then concat('{"k":[', get_json_object(props, '$.k'), ',9]}') when 3 then props else '{"z":1}' end""")
@@ -498,6 +520,11 @@ def s9(spark, sf):
     return spark.read.parquet(f"{path}/contracts").select("contract_number", "year", "total_value")
 
 
+@query("s12_report_chunks", f"""with {F1}, r as (select *, row_number() over (partition by b_id order by page_num, pos) - 1 as k, count(*) over (partition by b_id) as n from f1) select b_id, k // 9 as chunk, n, '[' || string_agg('{{"page_num":' || page_num || ',"pos":' || pos || '}}', ',' order by page_num, pos) || ']' as places from r where n > 1 group by b_id, k // 9, n""")
+def s12_chunks(spark, sf):
+    return agg.report_chunks(fx.observations(spark, sf), "b_id", most=9)
+
+
 @query("s12_duplicate_report", f"""with {F1} select b_id, count(*) as n, '[' || string_agg('{{"page_num":' || page_num || ',"pos":' || pos || '}}', ',' order by page_num, pos) || ']' as places from f1 group by b_id having count(*) > 1""")
 def s12(spark, sf):
     return agg.duplicate_report(fx.observations(spark, sf), "b_id")
@@ -594,6 +621,38 @@ def c4_search(spark, sf):
     return cleaning.search_index(cleaning.build_index(fx.table(spark, sf, "documents")), ["licensed", "license"])
 
 
+def _revised(spark: SparkSession, sf: str) -> str:
+    """An index of all documents but each third; these are appended; then each fifth comes again with another text; then the runs are merged."""
+    root, docs = scratch_dir(spark, "index"), fx.table(spark, sf, "documents").select("doc_id", "text", "source")
+    index.append(docs.where("doc_id % 3 <> 0"), root)
+    index.append(docs.where("doc_id % 3 = 0"), root)
+    again = F.concat(F.lit("Revised, as licensed under the license of "), F.coalesce("source", F.lit("")))
+    index.append(docs.where("doc_id % 5 = 0").withColumn("text", again), root)
+    index.merge(spark, root)
+    return root
+
+
+REVISED = "(select doc_id, case when doc_id % 5 = 0 then 'Revised, as licensed under the license of ' || coalesce(source, '') else text end as text from documents)"
+
+
+@query(
+    "c4_search_versions",
+    f"""with v as (select 1 as version, doc_id, text from documents where doc_id % 3 <> 0 union all select 2, doc_id, text from documents union all select u.k, doc_id, text from {REVISED}, (values (3), (4)) u(k)),
+    w as (select distinct version, doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) as token from v)
+    select version, doc_id from w where token in ('licensed', 'license') group by version, doc_id having count(*) = 2""",
+)
+def c4_versions(spark, sf):
+    """A stored index through two appends, one of which replaces documents, and a merge; searched as of each version."""
+    root = _revised(spark, sf)
+    found = [index.search(spark, root, ["Licensed", "the", "license"], v).select(F.lit(v).alias("version"), F.col("key").alias("doc_id")) for v in (1, 2, 3, 4)]
+    return rows.combine(*found)
+
+
+@query("c4_token_counts", f"select token, count(*) as n from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) as token from {REVISED}) where token <> '' and token not in ({STOP}) group by token")
+def c4_counts(spark, sf):
+    return index.token_counts(spark, _revised(spark, sf), 3)
+
+
 def _expression(name: str, source: str, key: str, value, sql: str):
     """A query of one expression over a table's column."""
     query(name, f"select {key}, {sql} as result from {source}")(lambda spark, sf: fx.table(spark, sf, source).select(key, value().alias("result")))
@@ -738,6 +797,55 @@ def r3(spark, sf):
     return folds.classify_attempts(e.select((F.floor(F.col("event_id") / 10) + 1).alias("page_num"), (F.col("event_id") % 4).alias("attempt"), (F.col("event_type") != "error").alias("ok")))
 
 
+TRIED = "(select event_id // 2 + 1 as page_num, cast(event_id % 2 * 3 as integer) as attempt, event_type in ('click', 'view') as ok from events)"
+
+
+@query(
+    "r3_rescrape",
+    f"""with p as (select page_num, bool_or(ok) as ok, max(attempt) as attempts from {TRIED} group by 1)
+    select page_num, case when ok then 'done' when attempts < 3 then 'retry' when page_num % 3 = 0 then 'done' else 'dead' end as state, case when ok or attempts < 3 then 0 when page_num % 3 = 0 then 2 else 3 end as claims from p""",
+)
+def r3_rescrape(spark, sf):
+    """A run leaves dead pages; a rescrape claims them and dies; the next one takes them all and mends a third; the one after mends none."""
+    root, e = scratch_dir(spark, "ledger"), fx.table(spark, sf, "events")
+    ledger.record(e.select((F.floor(F.col("event_id") / 2) + 1).alias("page_num"), (F.col("event_id") % 2 * 3).alias("attempt"), F.col("event_type").isin("click", "view").alias("ok")), root)
+    for mends in (None, 3, None):
+        number = ledger.claim(spark, root)
+        if number is None:
+            break
+        if mends is None:
+            ledger.release(spark, root, number)
+            continue
+        tries = ledger.claimed(spark, root, number).select("page_num", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
+        ledger.settle(tries.withColumn("ok", (F.col("page_num") % mends == 0) & (F.col("attempt") == 1)), root, number)
+    return ledger.states(spark, root)
+
+
+@query(
+    "r4_live_rates",
+    """with t as (select event_id, ts, epoch_us(ts) as t from events), e as (select min(t) as low, max(t) as high from t),
+    b as (select t, case when t < low + (high - low) // 3 and event_id % 50 > 0 then 0 when t < low + (high - low) // 3 * 2 and t >= low + (high - low) // 3 then 1 else 2 end as batch from t, e),
+    m as (select batch, max(t) as latest from b group by 1),
+    j as (select b.*, t < coalesce((select max(latest) from m where m.batch < b.batch), -10000000000000000) - 30000000 as late from b),
+    w as (select s, count(*) as n from (select unnest(range(t // 1000000 - 9, t // 1000000 + 1)) as s from j where not late) group by 1)
+    select case when (s + 10) * 1000000 <= (select high from e) - 30000000 then 'closed' else 'open' end as kind, to_timestamp(s)::timestamp as start, n from w
+    union all select 'late', make_timestamp(t), count(*) from j where late group by t""",
+)
+def r4_live(spark, sf):
+    """Three batches of events; a fiftieth of the first third's come with the last batch."""
+    landed, root, marks = (scratch_dir(spark, n) for n in ("events", "rates", "marks"))
+    timed = fx.table(spark, sf, "events").select("event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    low, high = timed.agg(F.min("t"), F.max("t")).first()
+    third = (high - low) // 3 if low is not None else 0
+    batch = F.when((F.col("t") < F.lit(low) + third) & (F.col("event_id") % 50 > 0), 0).when((F.col("t") >= F.lit(low) + third) & (F.col("t") < F.lit(low) + 2 * third), 1).otherwise(2)
+    for k in range(3):
+        timed.where(batch == k).select("ts").write.mode("append").parquet(landed)
+        rates.stream_rates(spark.readStream.schema("ts timestamp_ntz").parquet(landed), root, marks).awaitTermination()
+    named = [df.select(F.lit(kind).alias("kind"), F.col("start").cast("timestamp_ntz").alias("start"), "n") for kind, df in (("closed", rates.closed_windows(spark, root)), ("open", rates.open_windows(spark, root)))]
+    late = rates.late_events(spark, root).groupBy(F.col("ts").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n")).select(F.lit("late").alias("kind"), "start", "n")
+    return rows.combine(*named, late)
+
+
 @query("r4_rate_by_window", "select to_timestamp(s)::timestamp as start, count(*) as n from (select unnest(range(cast(floor(epoch(ts)) as bigint) - 9, cast(floor(epoch(ts)) as bigint) + 1)) as s from events) group by 1")
 def r4(spark, sf):
     return rate_by_window(fx.table(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -761,6 +869,27 @@ def r1(spark, sf):
     return read_state(spark, state).select("b_id", "b_bid_number", "b_category_name", "b_status", "final_end_date_sort", "department_name", "b_total_quantity")
 
 
+@query(
+    "r1_versions",
+    f"""with {F1}, h as (select max(page_num) // 2 as half from f1), g as (select u.k as after, f1.* from f1, h, (values (0), (1)) u(k) where page_num % 50 <> 0 and (u.k = 1 or page_num <= half)),
+    r as (select *, row_number() over (partition by after, b_id order by seq) as f, row_number() over (partition by after, b_id order by seq desc) as l from g)
+    select a.after, a.b_id, a.b_category_name, z.b_status, z.final_end_date_sort, (select count(distinct page_num) from f1) as pages_read from r a join r z on a.after = z.after and a.b_id = z.b_id and a.f = 1 and z.l = 1""",
+)
+def r1_versions(spark, sf):
+    """Two batches with other numbers of buckets, the landed pages then put together; the state as it was after each batch."""
+    landed, state, marks = (scratch_dir(spark, n) for n in ("landed", "state", "marks"))
+    landed_pages = fx.pages_json(spark, sf)
+    half = (landed_pages.agg(F.max("page_num")).first()[0] or 0) // 2
+    for part, buckets in ((F.col("page_num") <= half, 7), (F.col("page_num") > half, 11)):
+        landed_pages.where(part).select(F.to_json(F.struct("page_num", "body")).alias("value")).write.mode("append").text(landed)
+        stream_upsert(spark, landed, state, marks, max_files=100_000, buckets=buckets).awaitTermination()
+    compact_pages(spark, state)
+    pages_read = read_pages(spark, state).agg(F.count("page_num").alias("pages_read"))
+    each = [read_state(spark, state, batch=k).select(F.lit(k).alias("after"), "b_id", "b_category_name", "b_status", "final_end_date_sort") for k in (0, 1)]
+    # one row
+    return rows.combine(*each).join(F.broadcast(pages_read))
+
+
 @query(
     "r2_resume",
     f"""with {F1}, g as (select * from f1 where page_num % 50 <> 0), r as (select *, row_number() over (partition by b_id order by seq) as f, row_number() over (partition by b_id order by seq desc) as l from g)

@@ -36,13 +36,14 @@ def completeness(pages: DataFrame, bids: DataFrame, key: str = "b_id") -> DataFr
     return said.join(F.broadcast(there)).select("expected", "landed", F.greatest(F.col("expected") - F.col("landed"), F.lit(0)).alias("missing"))
 
 
-def flatten_bids(docs: DataFrame) -> DataFrame:
-    """A bid a row; the key is b_id, or the integer of `id` where that is 0 or missing."""
+def flatten_bids(docs: DataFrame, *beside: str) -> DataFrame:
+    """A bid a row; the key is b_id, or the integer of `id` where that is 0 or missing. beside: columns that stay."""
     d = F.col("doc")
     key = F.coalesce(F.nullif(first_or(d, "b_id", "long"), F.lit(0)), F.try_variant_get(d, "$.id", "string").try_cast("long"))
     return docs.select(
         "page_num",
         "pos",
+        *beside,
         key.alias("b_id"),
         first_or(d, "b_bid_number", "string", "").alias("b_bid_number"),
         first_or(d, "b_category_name", "string", "").alias("b_category_name"),

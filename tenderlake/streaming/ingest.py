@@ -1,82 +1,130 @@
-"""Bid pages as a stream."""
+"""Bid pages as a stream.
+
+The state lies in buckets by a hash of the key. Each batch is a commit (sources.commits) that names the
+folder of every bucket, their number, the schema, the last batch folded and the folders of landed pages:
+readers see a batch whole or not at all, a batch that is replayed after its commit does nothing, and one
+that is replayed before it starts from the state before.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.folds import upsert
-from ..sources.pages import documents_of, explode_pages, flatten_bids
+from ..sources import commits
+from ..sources.pages import documents_of, flatten_bids
 
 LAST_WINS = ("b_status", "final_end_date_sort")
 #: Parts of the state by a hash of the key; a batch rewrites those that it touches.
 BUCKETS = 64
+#: Versions that stay readable.
+KEEP = 10
 
 
-def _store(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return hadoop, hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _versions(spark: SparkSession, state_dir: str) -> dict[int, list[int]]:
-    """Bucket -> the complete versions that hold it, in order."""
-    hadoop, store = _store(spark, state_dir)
-    found: dict[int, list[int]] = {}
-    if store.exists(hadoop(state_dir)):
-        for status in store.listStatus(hadoop(state_dir)):
-            name = status.getPath().getName()
-            if name.startswith("v=") and store.exists(hadoop(status.getPath(), "_SUCCESS")):
-                for part in store.listStatus(status.getPath()):
-                    if part.getPath().getName().startswith("bucket="):
-                        found.setdefault(int(part.getPath().getName()[7:]), []).append(int(name[2:]))
-    return {k: sorted(v) for k, v in found.items()}
+def _folders(spark: SparkSession, state_dir: str, said: dict, buckets: list[int] | None) -> DataFrame | None:
+    paths = [f"{state_dir}/{path}" for b, path in sorted(said["folders"].items()) if buckets is None or int(b) in buckets]
+    return spark.read.schema(StructType.fromJson(said["schema"])).parquet(*paths) if paths else None
 
 
-def read_state(spark: SparkSession, state_dir: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-    """The newest complete version of each bucket (below a batch id; of those buckets only), or None."""
-    newest = {b: max(own) for b, v in _versions(spark, state_dir).items() if (buckets is None or b in buckets) and (own := [x for x in v if below is None or x < below])}
-    paths = [f"{state_dir}/v={v}/bucket={b}" for b, v in sorted(newest.items())]
-    return spark.read.parquet(*paths) if paths else None
+def read_state(spark: SparkSession, state_dir: str, version: int | None = None, batch: int | None = None) -> DataFrame | None:
+    """The state of a version, or as it was after a batch, or now; None where there is none."""
+    if batch is not None:
+        fit = [v for v in commits.versions(spark, state_dir) if commits.content(spark, state_dir, v)["batch"] <= batch]
+        if not fit:
+            return None
+        version = fit[-1]
+    said = commits.content(spark, state_dir, version)
+    return _folders(spark, state_dir, said, None) if said else None
 
 
 def read_pages(spark: SparkSession, state_dir: str) -> DataFrame:
     """(page_num, ok, value, v): the pages that were read, by batch v; value has what couldn't be used: lines that don't parse, pages without documents."""
-    return spark.read.parquet(f"{state_dir}/pages")
-
-
-def _retire(spark: SparkSession, state_dir: str, batch_id: int) -> None:
-    """Delete versions of buckets that neither readers nor a replay of this batch need."""
-    hadoop, store = _store(spark, state_dir)
-    for b, versions in _versions(spark, state_dir).items():
-        for v in [x for x in versions if x < batch_id][:-1]:
-            store.delete(hadoop(f"{state_dir}/v={v}/bucket={b}"), True)
-
-
-def stream_upsert(spark: SparkSession, in_dir: str, state_dir: str, checkpoint: str, max_files: int = 1000, buckets: int = BUCKETS) -> StreamingQuery:
-    """Fold landed pages into the state, a version a batch, of the buckets that it touches. Files hold a JSON object (page_num, body) a line, body being the page as it came.
-
-    A batch that is replayed starts from the versions before its own and writes its own again, so
-    nothing counts twice. Pages that were read, and lines that can't be used, are kept (`read_pages`).
-    """
+    said = commits.content(spark, state_dir)
+    paths = [f"{state_dir}/{p}" for p in (said["pages"] if said else [])]
+    shape = "page_num long, ok boolean, value string, v long, pos int"
+    rows = spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
+    return rows.where("pos is null or pos = 0").drop("pos")
+
+
+def _retire(spark: SparkSession, state_dir: str, keep: int) -> None:
+    """Forget all but the last `keep` versions, and delete the folders that only they named."""
+    there = commits.versions(spark, state_dir)
+    names = lambda said: {*said["folders"].values(), *said["pages"]}
+    used = {x for v in there[-keep:] for x in names(commits.content(spark, state_dir, v))}
+    for v in there[:-keep]:
+        for path in names(commits.content(spark, state_dir, v)) - used:
+            commits.delete(spark, f"{state_dir}/{path}")
+        commits.delete(spark, f"{state_dir}/commits/{v:012}.json")
+
+
+def fold_batch(pages: DataFrame, batch_id: int, state_dir: str, buckets: int = BUCKETS, keep: int = KEEP) -> None:
+    """Fold pages (value, page_num, body) into the state as that batch, if it hasn't been. Another number of buckets than the state has deals the whole state anew."""
+    spark = pages.sparkSession
+    said = commits.content(spark, state_dir)
+    if said and said["batch"] >= batch_id:
+        return
+    landed = f"pages/v={batch_id}-{uuid.uuid4().hex}"
+    docs = documents_of()
+    ok = docs.isNotNull()
+    # parsed once, and written: a row for each document, or for a page without any
+    each = pages.select("page_num", ok.alias("ok"), F.when(~ok, F.col("value")).alias("value"), F.lit(batch_id).cast("long").alias("v"), F.posexplode_outer(docs).alias("pos", "doc"))
+    flat = flatten_bids(each, "ok", "value", "v").withColumn("bucket", F.when(F.col("b_id").isNotNull(), bucket_of(F.col("b_id"), buckets)))
+    flat.write.parquet(f"{state_dir}/{landed}")
+    rows = spark.read.schema(flat.schema).parquet(f"{state_dir}/{landed}").where("b_id is not null")
+    touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # `buckets` rows at most
+    new = rows.withColumn("seq", F.struct(F.col("v").alias("batch"), "page_num", "pos")).drop("ok", "value", "v", "page_num", "pos", "bucket")
+    anew = said is not None and said["buckets"] != buckets
+    folders = dict(said["folders"]) if said and not anew else {}
+    schema = said["schema"] if said else None
+    if touched or anew:
+        state = _folders(spark, state_dir, said, None if anew else touched) if said and said["folders"] else None
+        earlier = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("page_num"), F.lit(0).alias("pos"))
+        log = new if state is None else state.withColumn("seq", earlier).unionByName(new)
+        folded = upsert(log, "b_id", "seq", LAST_WINS)
+        path = f"v={batch_id}-{uuid.uuid4().hex}"
+        folded.withColumn("bucket", bucket_of(F.col("b_id"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{state_dir}/{path}")
+        there = range(buckets) if anew else touched
+        if anew:
+            there = [r["bucket"] for r in spark.read.parquet(f"{state_dir}/{path}").select("bucket").distinct().collect()]  # `buckets` rows at most
+        folders |= {str(b): f"{path}/bucket={b}" for b in there}
+        schema = folded.schema.jsonValue()
+    while True:
+        versions = commits.versions(spark, state_dir)
+        now = commits.content(spark, state_dir)  # pages may have been put together meanwhile
+        if commits.publish(spark, state_dir, (versions or [0])[-1] + 1, {"batch": batch_id, "buckets": buckets, "schema": schema, "folders": folders, "pages": [*(now["pages"] if now else []), landed]}):
+            break
+    _retire(spark, state_dir, keep)
+
+
+def compact_pages(spark: SparkSession, state_dir: str) -> int | None:
+    """Put the landed pages of all batches into one folder, a row a page; the new version. The stream may go on meanwhile."""
+    said = commits.content(spark, state_dir)
+    if not said or len(said["pages"]) < 2:
+        return None
+    path = f"pages/all-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(*[f"{state_dir}/{p}" for p in said["pages"]]).where("pos is null or pos = 0").select("page_num", "ok", "value", "v", F.lit(None).cast("int").alias("pos"))
+    rows.write.parquet(f"{state_dir}/{path}")
+    while True:
+        version, now = commits.versions(spark, state_dir)[-1], commits.content(spark, state_dir)
+        rest = [p for p in now["pages"] if p not in said["pages"]]
+        if commits.publish(spark, state_dir, version + 1, {**now, "pages": [path, *rest]}):
+            return version + 1
+
+
+def stream_upsert(spark: SparkSession, in_dir: str, state_dir: str, checkpoint: str, max_files: int = 1000, buckets: int = BUCKETS, keep: int = KEEP) -> StreamingQuery:
+    """Fold landed pages into the state, a version a batch. Files hold a JSON object (page_num, body) a line, body being the page as it came. Pages that were read, and lines that can't be used, are kept (`read_pages`)."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(in_dir)
     pages = lines.select("value", F.from_json("value", "page_num long, body string").alias("p")).select("value", "p.*")
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        own = batch.sparkSession
-        ok = documents_of().isNotNull()
-        batch.select("page_num", ok.alias("ok"), F.when(~ok, F.col("value")).alias("value")).write.mode("overwrite").parquet(f"{state_dir}/pages/v={batch_id}")
-        bucket = F.pmod(F.xxhash64("b_id"), F.lit(buckets)).cast("int")
-        new = flatten_bids(explode_pages(batch)).where("b_id is not null").withColumn("seq", F.struct(F.lit(batch_id).cast("long").alias("batch"), "page_num", "pos")).drop("page_num", "pos")
-        touched = [r["b"] for r in new.select(bucket.alias("b")).distinct().collect()]  # `buckets` rows at most
-        if not touched:
-            return
-        state = read_state(own, state_dir, batch_id, touched)
-        log = new if state is None else state.withColumn("seq", F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("page_num"), F.lit(0).alias("pos"))).unionByName(new)
-        folded = upsert(log, "b_id", "seq", LAST_WINS).withColumn("bucket", bucket)
-        folded.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_dir}/v={batch_id}")
-        _retire(own, state_dir, batch_id)
-
+    fold = lambda batch, batch_id: fold_batch(batch, batch_id, state_dir, buckets, keep)
     return pages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
