@@ -80,9 +80,11 @@ def _by_pieces(rest: DataFrame, known: DataFrame, label: str, threshold: float)
     return asked.join(entries, "_piece").where(near).select(label, "norm_label").distinct()
 
 
-def match_labels(df: DataFrame, dim: DataFrame, label: str = "norm_label", threshold: float | None = None, small: int = SMALL_DICTIONARY) -> DataFrame:
+def match_labels(df: DataFrame, dim: DataFrame, label: str = "norm_label", threshold: float | None = None, small: int = SMALL_DICTIONARY, others: tuple[str, ...] = (), margin: float = 0.0) -> DataFrame:
     """df with matched_label: the dictionary's label of that normal form, the first by fill_order on a tie. threshold: labels without one get the most similar entry, if its similarity is that or more; each distinct label is compared once.
 
+    others: normal forms of labels that stand for nothing in the dictionary; a label that is as near to
+    one of them as to its best entry, or by less than the margin farther, has no match.
     A dictionary of at most `small` rows, which are counted, is sent whole to all tasks; in a larger
     one, labels and entries meet by the pieces that they share.
     """
@@ -96,9 +98,12 @@ def match_labels(df: DataFrame, dim: DataFrame, label: str = "norm_label", thres
         entries = known.agg(F.collect_list(F.struct("norm_label", "fill_order", "entry")).alias("entries"))
         likeness = F.transform("entries", lambda e: F.struct((-score(e["norm_label"])).alias("s"), e["fill_order"].alias("o"), e["entry"].alias("entry")))
         # one row, of `small` entries at most
-        best = rest.join(F.broadcast(entries)).select(label, F.array_min(likeness).alias("best")).where(F.col("best.s") <= -threshold).select(label, F.col("best.entry").alias("matched_label"))
+        best = rest.join(F.broadcast(entries)).select(label, F.array_min(likeness).alias("best")).where(F.col("best.s") <= -threshold).select(label, F.col("best.entry").alias("matched_label"), (-F.col("best.s")).alias("s"))
     else:
         pairs = _by_pieces(rest.select(F.col(label).alias("_label")), known, "_label", threshold).join(known, "norm_label")
         scored = pairs.select(F.col("_label").alias(label), "fill_order", "entry", F.round(similarity(F.col("_label"), F.col("norm_label")), 12).alias("s")).where(F.col("s") >= threshold)
-        best = scored.groupBy(label).agg(F.min_by("entry", F.struct(-F.col("s"), "fill_order")).alias("matched_label"))
-    return df.join(exact.unionByName(best), label, "left")
+        best = scored.groupBy(label).agg(F.min_by("entry", F.struct(-F.col("s"), "fill_order")).alias("matched_label"), F.max("s").alias("s"))
+    if others:
+        nearest = F.greatest(*[score(F.lit(x)) for x in others]) if len(others) > 1 else score(F.lit(others[0]))
+        best = best.where((F.col("s") > nearest) & (F.col("s") >= nearest + margin))
+    return df.join(exact.unionByName(best.drop("s")), label, "left")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import fixtures as fx
 from ..functions import dates as d
@@ -13,7 +15,7 @@ from ..functions import text as t
 from ..functions.variant import first_or
 from ..operators import aggregates as agg
 from ..operators import folds, joins, ledger, lines, rows, windows
-from ..schemas import PAYING_COLUMNS
+from ..schemas import CONTRACT_COLUMNS, ORG_COLUMNS, PAYING_COLUMNS
 from ..session import scratch_dir
 from ..sources import documents as docs
 from ..sources import pages, sinks
@@ -77,12 +79,12 @@ def j1(spark, sf):
     return joins.search_contracts(_star(spark, sf), "URGENT", 20)
 
 
-@query("j1_indexed_search", f"with {DIMS} select contract_number, strftime(contract_date, '%d-%m-%Y') as contract_day, total_value, org_name, b.buyer_designation, s.company_name from (select contract_number, contract_date, total_value, org_name, buyer_email, seller_id from f2c) c left join orgs o using (org_name) left join buyers b using (buyer_email) left join sellers s using (seller_id) where contains(lower(contract_number), '5#0000') or contains(lower(coalesce(org_name, '')), '5#0000') or contains(lower(coalesce(buyer_email, '')), '5#0000') or contains(lower(coalesce(b.buyer_designation, '')), '5#0000') or contains(lower(coalesce(s.company_name, '')), '5#0000') order by contract_number limit 20")
+@query("j1_indexed_search", f"with {DIMS} select contract_number, strftime(contract_date, '%d-%m-%Y') as contract_day, total_value, org_name, b.buyer_designation, s.company_name from (select contract_number, contract_date, total_value, org_name, buyer_email, seller_id from f2c) c left join orgs o using (org_name) left join buyers b using (buyer_email) left join sellers s using (seller_id) where contains(lower(contract_number), '00005/') or contains(lower(coalesce(org_name, '')), '00005/') or contains(lower(coalesce(buyer_email, '')), '00005/') or contains(lower(coalesce(b.buyer_designation, '')), '00005/') or contains(lower(coalesce(s.company_name, '')), '00005/') order by contract_number limit 20")
 def j1_indexed(spark, sf):
     """As j1, over the contracts with their dimensions stored once with an index of trigrams."""
     root, tables = scratch_dir(spark, "contract-search"), _star(spark, sf)
     substring.build(joins.contract_names(tables["contracts"], tables), root, joins.SEARCHED, "contract_number")
-    return joins.shown_contracts(substring.search(spark, root, "5#0000", joins.SEARCHED), 20)
+    return joins.shown_contracts(substring.search(spark, root, "00005/", joins.SEARCHED), 20)
 
 
 @query("j2_pending", f"with {F1} select distinct b_id from f1 where b_id not in (select user_id from events where event_type = 'purchase' and event_id % 50 = 0 and user_id is not null)")
@@ -561,6 +563,25 @@ def s10(spark, sf):
     return sinks.open_table(spark, path, orders.schema, obsolete=("old_column",))
 
 
+@query("s10_widened_table", "select o_orderkey, o_custkey, cast(cast(o_orderdate as date) as timestamp) as o_orderdate, cast(o_orderkey % 1000 as decimal(12,2)) as o_part, cast(null as varchar) as o_comment from orders")
+def s10_widened(spark, sf):
+    """A stored table with narrower types, an extra column and a missing one."""
+    path = scratch_dir(spark, "table")
+    fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("o_custkey"), F.col("o_orderdate").cast("date").alias("o_orderdate"), (F.col("o_orderkey") % 1000).cast("smallint").alias("o_part"), "o_orderstatus").write.parquet(path)
+    return sinks.open_table(spark, path, StructType.fromDDL("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_part decimal(12,2), o_comment string"))
+
+
+@query("s11_as_of", "select u.k as taken, c_custkey, c_name from customer, (values (1), (2)) u(k) where c_custkey % 2 = 0 or u.k = 2")
+def s11_as_of(spark, sf):
+    """Two snapshots, read as of the first one's time and as of now."""
+    root, customers = scratch_dir(spark, "snapshots"), fx.table(spark, sf, "customer").select("c_custkey", "c_name")
+    first = datetime(2024, 1, 2, 3, 4, 5)
+    sinks.snapshot(customers.where("c_custkey % 2 = 0"), root, first)
+    sinks.snapshot(customers, root, datetime(2024, 1, 3))
+    each = [sinks.read_snapshot(spark, root, at).select(F.lit(k).alias("taken"), "c_custkey", "c_name") for k, at in ((1, first), (2, None))]
+    return rows.combine(*each)
+
+
 @query("s11_snapshot", "select c_custkey, c_name from customer")
 def s11(spark, sf):
     made = sinks.snapshot(fx.table(spark, sf, "customer").select("c_custkey", "c_name"), scratch_dir(spark, "snapshots"))
@@ -707,6 +728,31 @@ def x2_fuzzy(spark, sf):
     return extraction.extract_contract_fields(fx.contract_texts(spark, sf), ["Buyer_ContactNo", "Seller_ContactNo"], threshold=0.75)
 
 
+FIELDS = [*CONTRACT_COLUMNS[2:-1], *ORG_COLUMNS, *PAYING_COLUMNS]
+FIELD_SQL = {
+    "Buyer_Designation": "buyer_designation",
+    "Buyer_ContactNo": "buyer_contact",
+    "Buyer_EmailID": "buyer_email || ' Seller Details' || case when seller_id is null then ' Total Order Value (in INR) ' || format('{:,.2f}', cast(total_value as double)) else '' end",
+    "Seller_GeMSellerID": "seller_id",
+    "Seller_CompanyName": "company_name",
+}
+ALL_FIELDS_SQL = f"with {F2C} select contract_number as doc_id, " + ", ".join(f'{FIELD_SQL.get(c, "cast(null as varchar)")} as "{c}"' for c in FIELDS) + " from f2c"
+
+
+@query("x2_all_fields", ALL_FIELDS_SQL)
+def x2_all(spark, sf):
+    return extraction.extract_contract_fields(fx.contract_texts(spark, sf), FIELDS, threshold=None)
+
+
+@query("x2_assigned_fields", ALL_FIELDS_SQL)
+def x2_assigned(spark, sf):
+    """Misspelt labels count as the fields that they are nearest to; the contract's number, near to a contact's, is no field."""
+    text = F.col("text")
+    for right, wrong in (("Designation :", "Desigantion :"), ("Contact No. :", "Contact Nr. :"), ("Company Name :", "Compnay Name :"), ("GeM Seller ID :", "GeM Seler ID :")):
+        text = F.replace(text, F.lit(right), F.lit(wrong))
+    return extraction.extract_contract_fields(fx.contract_texts(spark, sf).withColumn("text", text), FIELDS, threshold=0.75, others=extraction.OTHERS)
+
+
 @query(
     "x3_extract_block",
     f"""with {F2C} select contract_number as doc_id, u.column, u.value from f2c, lateral (values ('Buyer_Designation', buyer_designation), ('Buyer_ContactNo', buyer_contact), ('Buyer_EmailID', buyer_email), ('Buyer_Address', 'leaked street, Ward ' || (seq % 9))) u("column", value)""",

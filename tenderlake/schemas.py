@@ -63,6 +63,9 @@ LABELS = [
     ("product", "hsn code", "HSNCode"),
 ]
 
+# Labels of contract texts, in lower case, that are no field of the dictionary.
+OTHER_LABELS = ["contract no", "contract number", "contract date", "generated date", "total order value"]
+
 
 def labels_dim(spark: SparkSession) -> DataFrame:
     """(grp, label, column, fill_order, norm_label): the dictionary, a fixed number of rows."""

@@ -17,12 +17,20 @@ def build_session(app: str = "tenderlake", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that spark.checkpoint.dir names. Where the session names none, a temporary one on a single machine, and an error on a cluster, whose machines don't share theirs."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir, or else the context, names; where neither does, a temporary one on a single machine, and an error on a cluster, whose machines don't share theirs."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = current.get() if current.isDefined() else None
+    if not folder:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tenderlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        folder = "file://" + tempfile.mkdtemp(prefix="tenderlake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

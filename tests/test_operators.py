@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tenderlake.operators import joins, lines, rows
+from tenderlake.operators import aggregates, joins, lines, rows, windows
 from tenderlake.plans import extraction
 
 
@@ -33,6 +33,54 @@ def test_labels_by_pieces_are_those_by_comparison(spark):
         assert sorted(map(repr, joins.match_labels(asked, dim, threshold=threshold, small=0).distinct().collect())) == whole
 
 
+def test_labels_that_are_no_field(spark):
+    """A label that is nearer to another one than to the dictionary's has no match; a misspelt one has."""
+    asked = spark.createDataFrame([("contractno",), ("contractnos",), ("contactnr",), ("contactno",), ("contcatno",), (None,)], "norm_label string")
+    dim = spark.createDataFrame([("contactno", "contact no", 0), ("emailid", "email id", 1)], "norm_label string, label string, fill_order int")
+    found = lambda **more: {r["norm_label"]: r["matched_label"] for r in joins.match_labels(asked, dim, threshold=0.75, **more).collect()}
+    assert found() == {"contractno": "contact no", "contractnos": "contact no", "contactnr": "contact no", "contactno": "contact no", "contcatno": "contact no", None: None}
+    for small in (10, 0):
+        assert found(others=("contractno",), small=small) == {"contractno": None, "contractnos": None, "contactnr": "contact no", "contactno": "contact no", "contcatno": None, None: None}
+    assert found(others=("contractno",), margin=0.2)["contactnr"] is None
+
+
+def test_a_long_head_is_no_label(spark):
+    docs = spark.createDataFrame([(1, 0, f"{'x' * 90} : y Designation : Clerk"), (1, 1, f"{'x' * 80} : y")], "doc_id long, pos int, line string")
+    got = {(r["pos"], r["n"]): (r["label"], r["value"]) for r in extraction.extract_pairs(docs).collect()}
+    assert got == {(0, 0): (None, f"{'x' * 90} : y"), (0, 1): ("designation", "Clerk"), (1, 0): ("x" * 80, "y")}
+
+
+def test_rates_of_a_long_run_in_parts(spark):
+    """One run over many parts gives the rows of one over one part; ties, gaps and rows without a time among them."""
+    rows_ = spark.range(4000).select(F.when(F.col("id") % 7 == 0, None).otherwise(F.lit("r")).alias("run_id"), F.timestamp_micros((F.col("id") * F.col("id") * 37 % 900_000_000)).cast("timestamp_ntz").alias("ts"), (F.col("id") + 1).alias("pages"))
+    rows_ = rows_.union(spark.createDataFrame([("r", None, 5), ("s", None, 1)], rows_.schema)).union(rows_.limit(20)).repartition(5)
+    whole = windows.rate_eta(rows_, total=5000, part_rows=1 << 30)
+    parts = windows.rate_eta(rows_, total=5000, part_rows=40)
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect())) and whole.count() == rows_.count()
+    cut = windows._parts(rows_, "run_id", 10, 40)
+    assert cut.where("run_id = 'r'").groupBy("_part").count().count() > 50
+
+
+def test_chunks_of_a_hot_key(spark):
+    """No list is longer than the bound, and places go on in order from chunk to chunk, over many ranges."""
+    log = spark.range(5000).select(F.when(F.col("id") % 5 < 4, 1).when(F.col("id") % 50 == 4, None).otherwise(F.col("id")).alias("k"), (F.col("id") * 7919 % 1000).alias("page_num"), F.col("id").alias("pos")).repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = aggregates.occurrence_chunks(log, "k", most=64).collect()
+        twice = aggregates.report_chunks(log, "k", most=64).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(len(r["pages"]) for r in found) == 64
+    whole = {r["k"]: r["pages"] for r in aggregates.occurrences(log, "k").collect()}
+    got = {}
+    for r in sorted(found, key=lambda r: (r["k"] is None, r["k"], r["chunk"])):
+        assert r["n"] == len(whole[r["k"]]) and r["chunk"] * 64 == len(got.setdefault(r["k"], []))
+        got[r["k"]] += r["pages"]
+    assert got == whole
+    assert {r["k"] for r in twice} == {k for k, v in whole.items() if len(v) > 1}
+    assert aggregates.occurrence_chunks(log.limit(0), "k").count() == 0
+
+
 def test_shared_keys_of_no_pages(spark):
     empty = spark.createDataFrame([], "page_num long, b_id long")
     assert rows.shared_keys(empty).count() == 0

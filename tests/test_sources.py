@@ -41,6 +41,21 @@ def test_open_table_and_snapshot(spark, tmp_path):
     assert made.endswith("snapshot_ts=20240102_030405") and spark.read.parquet(made).count() == 2
 
 
+def test_schema_drift(spark, tmp_path):
+    ddl = StructType.fromDDL
+    there = ddl("a int, b long, c decimal(8,2), d date, e string, f float, old int, same string, s short")
+    want = ddl("a long, b int, c decimal(10,2), d timestamp_ntz, e int, f double, new string, same string, s decimal(6,1)")
+    assert sinks.drift(there, want, ("old",)) == {"a": "widened", "b": "retyped", "c": "widened", "d": "widened", "e": "retyped", "f": "widened", "old": "obsolete", "new": "missing", "s": "widened"}
+    assert sinks.drift(there, want)["old"] == "extra" and sinks.drift(want, want) == {}
+    assert sinks.drift(ddl("c decimal(8,4)"), ddl("c decimal(10,2)")) == sinks.drift(ddl("c int"), ddl("c decimal(10,2)")) == {"c": "retyped"}
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "x", 5)], "k int, extra string, n int").write.parquet(path)
+    found = sinks.open_table(spark, path, ddl("k long, n int, more string"))
+    assert found.schema == ddl("k long, n int, more string") and [tuple(r) for r in found.collect()] == [(1, 5, None)]
+    assert sinks.open_table(spark, path, ddl("k string")).count() == 0
+    assert sinks.read_snapshot(spark, str(tmp_path / "none")) is None
+
+
 def test_export(spark, tmp_path):
     contracts = spark.createDataFrame([("C-1", None)], "ContractNo string, Buyer_GSTIN string")
     items = spark.createDataFrame([("C-1", 1, "pen")], "ContractNo string, ItemNo int, ProductName string")
