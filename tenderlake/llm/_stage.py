@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import scratch_dir, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none, a temporary one on a single machine, and an error on a cluster, whose machines don't share theirs."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if not folder:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tenderlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["shared_dir", "staged"]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
