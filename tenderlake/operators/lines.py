@@ -6,8 +6,6 @@ test of the array's size before the plain form, and make the array twice.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +24,9 @@ def continued(text: Column) -> Column:
 
 def blocks(text: Column, marker: str) -> Column:
     """What follows each marker line, that line included, up to the next; a marker line has the marker and a colon."""
-    start = rf"(?md)^(?=[^\n]*{re.escape(marker)})(?=[^\n]*:)"
-    parts = F.split(F.regexp_replace(F.translate(text, BREAK, " "), start, BREAK), BREAK)
+    starts = lambda x: F.contains(x, F.lit(marker)) & F.contains(x, F.lit(":"))
+    marked = F.transform(F.split(F.replace(text, F.lit(BREAK), F.lit(" ")), "\n"), lambda x: F.when(starts(x), F.concat(F.lit(BREAK), x)).otherwise(x))
+    parts = F.split(F.array_join(marked, "\n"), BREAK)
     return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
