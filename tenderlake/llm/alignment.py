@@ -46,8 +46,8 @@ RANGE = 1 << 14
 FAN = 8
 SLICE = 1 << 20
 #: Segments that a worker keeps, and bytes of new ones that it encodes as one text.
-KEPT = 80_000
-AT_ONCE = 1 << 16
+KEPT = 110_000
+AT_ONCE = 1_500
 #: Pairs that are broadcast with their counts: the most frequent ones.
 BROADCAST_PAIRS = 4_000_000
 HELD_PAIRS = 1_000_000
