@@ -65,8 +65,10 @@ sellers as (select seller_id, arg_max(company_name, seq) as company_name from f2
 
 
 def _star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Contracts with the keys of their dimensions only, and the dimensions."""
-    contracts = fx.contracts(spark, sf_dir)
+    """Contracts with the keys of their dimensions only, and the dimensions; written once, for all that is made of them."""
+    path = scratch_dir(spark, "contracts")
+    fx.contracts(spark, sf_dir).write.parquet(path)
+    contracts = spark.read.parquet(path)
     facts = contracts.select("contract_number", "seq", "contract_date", "total_value", "org_name", "buyer_email", "seller_id")
     return {"contracts": facts, **folds.build_dims(contracts)}
 
