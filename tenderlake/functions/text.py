@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: White space that squeezing changes: texts without any are left as they are, at no cost but a look.
+UNEVEN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 GLYPH = r"\(cid:\d+\)"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 DEVANAGARI = r"[ऀ-ॿ]+"
@@ -15,7 +17,7 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return F.trim(F.regexp_replace(c, UNEVEN, " "))
 
 
 def ascii_squeeze(c: Column) -> Column:
@@ -52,7 +54,9 @@ def normal_lines(c: Column) -> Column:
 
 
 def clean_value(c: Column) -> Column:
-    return squeeze(F.regexp_replace(F.regexp_replace(c, DEVANAGARI, " "), GLYPH, " "))
+    """Squeezed, with glyph codes and Devanagari as white space."""
+    bare = F.when(F.contains(c, F.lit("(cid:")), F.regexp_replace(c, GLYPH, " ")).otherwise(c)
+    return F.trim(F.regexp_replace(bare, r"[ऀ-ॿ\x20\x09-\x0D]{2,}|[ऀ-ॿ\x09-\x0D]", " "))
 
 
 def normal_label(c: Column) -> Column:
