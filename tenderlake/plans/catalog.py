@@ -614,13 +614,21 @@ def c3(spark, sf):
 
 @query(
     "c3_rejects",
-    f"with {F2C} select 'contracts' as table_name, contract_number, case when seq % 5 = 0 then 'contract_date' else 'total_value' end as reason from f2c where seq % 5 = 0 or seq % 7 = 0 union all select 'items', contract_number, 'quantity' from f2i where item_no = 2",
+    f"""with {F2C}, told as (
+  select *, case when seq % 5 = 0 then 'soon' else strftime(contract_date, '%d/%m/%Y %H:%M') end as shown_date,
+         case when seq % 7 = 0 then '-' when seq % 3 = 0 then '' else format('{{:,.2f}}', cast(total_value as double)) end as shown_value
+  from f2c)
+select 'contracts' as table_name, contract_number, case when seq % 5 = 0 then 'contract_date' else 'total_value' end as reason,
+       '{{"contract_number":"' || contract_number || '","contract_date":"' || shown_date || '","total_value":"' || shown_value || '"}}' as "row"
+from told where seq % 5 = 0 or seq % 7 = 0
+union all
+select 'items', contract_number, 'quantity', '{{"contract_number":"' || contract_number || '","quantity":"many","price":"' || format('{{:,.2f}}', cast(price as double)) || '"}}' from f2i where item_no = 2""",
 )
 def c3_rejects(spark, sf):
     seq = F.col("seq")
     shown = fx.contracts(spark, sf).select("contract_number", F.when(seq % 5 == 0, "soon").otherwise(F.date_format("contract_date", "dd/MM/yyyy HH:mm")).alias("contract_date"), F.when(seq % 7 == 0, "-").when(seq % 3 == 0, "").otherwise(F.format_number("total_value", 2)).alias("total_value"))
     texts = fx.items(spark, sf).select("contract_number", F.when(F.col("item_no") == 2, "many").otherwise(F.col("quantity").cast("string")).alias("quantity"), F.format_number("price", 2).alias("price"))
-    return cleaning.type_tables(shown, texts)[2].select("table_name", "contract_number", "reason")
+    return cleaning.type_tables(shown, texts)[2]
 
 
 @query("c3_type_items", f"with {F2I} select contract_number, item_no, quantity, price from f2i")

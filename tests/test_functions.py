@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,11 @@ def test_many_windows(spark):
     assert [r["from_day"].isoformat() for r in rows[1:5]] == ["1990-03-31", "1990-06-30", "1990-09-30", "1990-12-30"]
     one_day = dates.date_windows(spark, "2024-01-01", "2024-03-01", "2024-01-01").collect()
     assert [(r["from_day"], r["to_day"]) for r in one_day] == [(datetime.date(2024, 1, 1), datetime.date(2024, 1, 1))]
+
+
+@pytest.mark.parametrize("given", ["", " ", "a", " a ", "a  b", "a\tb", "\t\n a\r\n\x0bb \x0c", "x (cid:12)(cid:3) y", "अब", "a अ b", "aअb", "(cid:1अ2)", "(cid:)", "1 2" + " " * 20_000 + "3", None])
+def test_squeezed_like_python(spark, given):
+    plain = lambda x: x and re.sub(r"[ \t-\r]+", " ", x).strip(" ")
+    assert one(spark, given, text.squeeze) == plain(given)
+    bare = given and re.sub(r"\(cid:[0-9]+\)", " ", re.sub("[ऀ-ॿ]+", " ", given))
+    assert one(spark, given, text.clean_value) == plain(bare)

@@ -112,3 +112,30 @@ def test_item_fields(spark):
     text = "Product Name : pen\nBrand : Unbranded Brand Type : NA\nHSN Code : 9608\n12 pieces 1,810.50 NA 21,726\nTotal Order Value (in INR) 21,726"
     row = extraction.extract_items(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row["item_no"], row["brand"], row["brand_type"], row["hsn_code"], row["quantity"], str(row["unit_price"]), row["tax"], str(row["price"])) == (1, "Unbranded", "NA", "9608", 12, "1810.50", "NA", "21726.00")
+
+
+def test_labels_as_a_tree(spark):
+    lines = [
+        "Brand : Acme Brand Type : Registered Modeel : X:1",
+        "BRAND TYPE: Registered",
+        "Brraand  Typpe - : Registered",
+        "brands : none",
+        "Category Name and Quadrant : Q1 HSN Code:",
+        "यह|Model : M (cid:7) 2",
+        ":",
+        "time 10:30",
+    ]
+    docs = spark.createDataFrame([(1, n, x) for n, x in enumerate(lines)], "doc_id int, pos int, line string")
+    got = {}
+    for r in extraction.extract_pairs(docs).orderBy("pos", "n").collect():
+        got.setdefault(r["pos"], []).append((r["label"], r["value"]))
+    assert got == {
+        0: [("brand", "Acme"), ("brand type", "Registered"), ("model", "X:1")],
+        1: [("brand type", "Registered")],
+        2: [("brand type", "Registered")],
+        3: [("brands", "none")],
+        4: [("category name and quadrant", "Q1"), ("hsn code", "")],
+        5: [("model", "M 2")],
+        6: [("", "")],
+        7: [("time 10", "30")],
+    }
