@@ -43,10 +43,14 @@ def pages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("page_num").agg(body.alias("body")).withColumn("body", F.when(F.col("page_num") % 50 == 0, F.lit('{"error":1}')).otherwise(F.col("body")))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = number_items(table(spark, sf_dir, "lineitem"), "l_orderkey", *ITEM_ORDER)
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with its part, numbered in each order. Parts come first: what is gathered by order after that, and joined with orders by their key, needs no other shuffle of the items."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return numbered.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    return number_items(table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")), "l_orderkey", *ITEM_ORDER)
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(spark, sf_dir).select(
         F.concat(F.lit("C-"), "l_orderkey").alias("contract_number"),
         "item_no",
         F.col("p_name").alias("product_name"),
@@ -60,14 +64,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a contract, with its organisation, buyer and seller (of item 1) in line."""
-    orders = table(spark, sf_dir, "orders").withColumn("contract_number", F.concat(F.lit("C-"), "o_orderkey"))
+    return _contracts(spark, sf_dir, _numbered(spark, sf_dir).where("item_no = 1").select("l_orderkey", "l_suppkey"))
+
+
+def _contracts(spark: SparkSession, sf_dir: str, of_order: DataFrame) -> DataFrame:
+    """contracts, from a row for each order with items (l_orderkey, l_suppkey of item 1), whose further columns are kept."""
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    seller = items(spark, sf_dir).where("item_no = 1").select("contract_number", "l_suppkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(seller, "contract_number", "left").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(of_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     return joined.select(
-        "contract_number",
+        F.concat(F.lit("C-"), "o_orderkey").alias("contract_number"),
         F.col("o_orderkey").alias("seq"),
         F.col("o_orderdate").alias("contract_date"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("total_value"),
@@ -79,6 +87,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("9"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("buyer_contact"),
         F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("seller_id"),
         F.concat("s_name", F.lit("/"), "o_orderstatus").alias("company_name"),
+        *[c for c in of_order.columns if c not in ("l_orderkey", "l_suppkey")],
     )
 
 
@@ -88,16 +97,12 @@ def _amount(c) -> F.Column:
 
 def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): each contract rendered, a field a line but for the brand's type, bilingual labels and thousands separators."""
-    rows = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("item_no", "product_name", "brand", "model", "quantity", "price"))),
-            lambda i: F.concat(F.lit("Product Name : "), i["product_name"], F.lit("\nBrand : "), i["brand"], F.lit(" Brand Type : Registered\nश्रेणी|Category Name & Quadrant : Q"), (i["item_no"] % 4).cast("string"), F.when(i["item_no"] % 2 == 1, F.lit("\nCatalogue Status : OEM verified\nSelling As : Reseller not verified by OEMs\nHSN Code : 9608")).otherwise(F.lit("")), F.lit("\nModel : "), i["model"], F.lit("\n"), i["quantity"].cast("string"), F.lit(" pieces "), _amount(i["price"]), F.lit(" NA "), _amount(i["price"])),
-        ),
-        "\n",
-    )
-    listed = items(spark, sf_dir).groupBy("contract_number").agg(rows.alias("items"))
+    no, price = F.col("item_no"), _amount(F.col("l_extendedprice").cast("decimal(18,2)"))
+    item = F.concat(F.lit("Product Name : "), "p_name", F.lit("\nBrand : "), "p_brand", F.lit(" Brand Type : Registered\nश्रेणी|Category Name & Quadrant : Q"), (no % 4).cast("string"), F.when(no % 2 == 1, F.lit("\nCatalogue Status : OEM verified\nSelling As : Reseller not verified by OEMs\nHSN Code : 9608")).otherwise(F.lit("")), F.lit("\nModel : "), "p_type", F.lit("\n"), F.col("l_quantity").cast("int").cast("string"), F.lit(" pieces "), "price", F.lit(" NA "), "price")
+    each = _numbered(spark, sf_dir).withColumn("price", price).select("l_orderkey", F.when(no == 1, F.col("l_suppkey")).alias("l_suppkey"), F.struct("item_no", item.alias("item")).alias("item"))
+    listed = each.groupBy("l_orderkey").agg(F.max("l_suppkey").alias("l_suppkey"), F.array_join(F.sort_array(F.collect_list("item"))["item"], "\n").alias("items"))
     line = lambda label, value: F.concat(F.lit(f"{label} : "), value)
-    return contracts(spark, sf_dir).join(listed, "contract_number", "left").select(
+    return _contracts(spark, sf_dir, listed).select(
         F.col("contract_number").alias("doc_id"),
         F.concat_ws(
             "\n",
