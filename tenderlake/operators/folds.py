@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import by_key
+
 
 def upsert(log: DataFrame, key: str, seq: str, last_wins: tuple[str, ...]) -> DataFrame:
     """One row a key: columns of last_wins take the value of its last row by seq, others that of its first."""
@@ -64,4 +66,4 @@ def merge_sources(text: DataFrame, tables: DataFrame, positional: DataFrame, tot
 
 def merge_cells(pairs: DataFrame) -> DataFrame:
     """(doc_id, column, value, page_no, table_no, row_no, col_no) -> the last cell's value of each field."""
-    return pairs.groupBy("doc_id", "column").agg(F.max_by("value", F.struct("page_no", "table_no", "row_no", "col_no")).alias("value"))
+    return by_key(pairs, "doc_id").groupBy("doc_id", "column").agg(F.max_by("value", F.struct("page_no", "table_no", "row_no", "col_no")).alias("value"))

@@ -111,3 +111,16 @@ def number_pages(df: DataFrame, *order, size: int = 10) -> DataFrame:
     before = own.groupBy("_part").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
     # a row for each partition
     return own.join(F.broadcast(before), "_part").withColumn("page_num", F.floor((F.col("_before") + F.col("_n")) / size) + 1).drop("_part", "_n", "_id", "_rows", "_before")
+
+
+#: Rows of a task that gathers keys; Spark sorts what a task gathers, in memory as far as it goes.
+ROWS_A_TASK = 500_000
+
+
+def by_key(df: DataFrame, *keys: str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """df, written once, in partitions by the keys whose number follows the rows', so that a task's sort doesn't grow with df."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "rows")
+    df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    return made.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made.count() // rows_a_task)), *keys)

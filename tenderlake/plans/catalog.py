@@ -251,11 +251,7 @@ def m4(spark, sf):
 
 def _cell_fields(cells: DataFrame) -> DataFrame:
     """The last cell's value of each field."""
-    routed = extraction.route_cells(cells).where("grp is not null")
-    place = ("page_no", "table_no", "row_no", "col_no")
-    blocks = routed.withColumn("block_id", F.struct(*place)).withColumnRenamed("cell_text", "text")
-    found = [extraction.extract_block(blocks.where(F.col("grp") == g).select("doc_id", "block_id", "text"), g) for g in ("buyer", "seller")]
-    return folds.merge_cells(found[0].union(found[1]).select("doc_id", "column", "value", *[F.col(f"block_id.{p}").alias(p) for p in place]))
+    return folds.merge_cells(extraction.extract_cells(extraction.route_cells(cells), ("buyer", "seller")))
 
 
 @query("m5_assign_columns", "select user_id as doc_id, count(*) >= 1 as buyer, count(*) >= 2 as paying, count(*) >= 3 as seller from events group by user_id")

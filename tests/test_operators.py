@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tenderlake.operators import aggregates, joins, lines, rows, windows
+from tenderlake.operators import aggregates, folds, joins, lines, rows, windows
 from tenderlake.plans import extraction
 
 
@@ -176,3 +176,24 @@ def test_misspelt_labels_cut_texts_once(spark, monkeypatch):
     assert seen.value == len(rows)
     monkeypatch.setattr(extraction, "MOST_SPELLINGS", 0)
     assert read() == first
+
+
+def test_gathering_tasks_follow_the_rows(spark, monkeypatch):
+    """The tasks that gather a document's cells are as many as the rows need, whatever the session's shuffle partitions."""
+    monkeypatch.setattr(rows.by_key, "__kwdefaults__", {"rows_a_task": 10})
+    cells = spark.range(1000).selectExpr("cast(id % 500 as string) as doc_id", "'c' as column", "cast(id as string) as value", "1 as page_no", "1 as table_no", "cast(id div 500 as int) as row_no", "1 as col_no")
+    merged = folds.merge_cells(cells)
+    assert merged.rdd.getNumPartitions() == 100
+    assert {(r["doc_id"], r["value"]) for r in merged.collect()} == {(str(k), str(k + 500)) for k in range(500)}
+
+
+def test_cells_are_cut_in_one_pass(spark):
+    """Each cell by its group's labels; an unlabelled colon, tabs and a bar need a closer look, with the same result."""
+    texts = {1: ("buyer", "Buyer Details\nDesignation : Head\nEmail ID : a@b.c\nleaked street\nAddress : Ward 1"), 2: ("seller", "Company Name :\tX  Y\nSeller Contact : 99 Note: z\nईमेल|Email ID : s@t.u"), 3: (None, "Address : none")}
+    cells = spark.createDataFrame([("d", 1, 1, k, 1, g, x) for k, (g, x) in texts.items()], "doc_id string, page_no int, table_no int, row_no int, col_no int, grp string, cell_text string")
+    out = extraction.extract_cells(cells, ("buyer", "seller"))
+    assert {(r["row_no"], r["column"], r["value"]) for r in out.collect()} == {
+        (1, "Buyer_Designation", "Head"), (1, "Buyer_EmailID", "a@b.c"), (1, "Buyer_Address", "leaked street, Ward 1"),
+        (2, "Seller_CompanyName", "X Y"), (2, "Seller_ContactNo", "99"), (2, "Seller_EmailID", "s@t.u"),
+    }
+    assert "Union" not in out._jdf.queryExecution().toString()
