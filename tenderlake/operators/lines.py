@@ -15,11 +15,12 @@ from ..functions.text import squeeze
 BREAK = "\x1e"
 
 
-def continued(text: Column) -> Column:
-    """Lines with a colon, squeezed, each with the lines without one that follow it; those before the first colon, and blank lines, go."""
+def continued(text: Column, keep=None) -> Column:
+    """Lines with a colon, squeezed, each with the lines without one that follow it; those before the first colon, and blank lines, go. keep: a test of lines, as they stand."""
+    own = lambda x: F.contains(x, F.lit(":")) if keep is None else F.contains(x, F.lit(":")) & keep(x)
     bare = F.regexp_replace(text, r"\n[ \t]*(?=\n|$)", "")
     joined = F.regexp_replace(bare, r"\n(?=[^:\n]*(?:\n|$))", " ")
-    return F.transform(F.filter(F.split(joined, "\n"), lambda x: F.contains(x, F.lit(":"))), squeeze)
+    return F.transform(F.filter(F.split(joined, "\n"), own), squeeze)
 
 
 def blocks(text: Column, marker: str) -> Column:
