@@ -57,6 +57,15 @@ def merge_sources(text: DataFrame, tables: DataFrame, positional: DataFrame, tot
     joined = own(text, "text")
     for df, tag in ((tables, "table"), (positional, "positional"), (total, "total")):
         joined = joined.join(own(df, tag), "doc_id", "left")
+    return _in_order(joined, columns, fallback)
+
+
+def merge_read(read: DataFrame, tables: DataFrame, columns: list[str], fallback: tuple[str, ...] = ("Seller_ContactNo", "Seller_EmailID")) -> DataFrame:
+    """`merge_sources` where all that texts say is in one row a document, as extraction.read_texts has it: one join."""
+    return _in_order(read.join(tables.select(*[F.col(c).alias(c if c == "doc_id" else f"table_{c}") for c in tables.columns]), "doc_id", "left"), columns, fallback)
+
+
+def _in_order(joined: DataFrame, columns: list[str], fallback: tuple[str, ...]) -> DataFrame:
     out = []
     for c in columns:
         order = ["total", "table", "text", *(["positional"] if c in fallback else [])]

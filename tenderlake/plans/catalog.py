@@ -244,9 +244,7 @@ def m4(spark, sf):
     texts, cells = fx.contract_texts(spark, sf), fx.contract_cells(spark, sf)
     columns = ["Buyer_Designation", "Seller_GeMSellerID", "Seller_CompanyName"]
     table = _cell_fields(cells).groupBy("doc_id").pivot("column", columns).agg(F.first("value"))
-    total = extraction.total_from_text(texts).withColumnRenamed("total", "TotalOrderValueINR")
-    text = extraction.extract_contract_fields(texts, columns, threshold=None)
-    return folds.merge_sources(text, table, extraction.seller_after_marker(texts), total, [*columns, "TotalOrderValueINR"])
+    return folds.merge_read(extraction.read_texts(texts, columns), table, [*columns, "TotalOrderValueINR"])
 
 
 def _cell_fields(cells: DataFrame) -> DataFrame:

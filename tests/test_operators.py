@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tenderlake import schemas
 from tenderlake.operators import aggregates, folds, joins, lines, rows, windows
 from tenderlake.plans import extraction
 
@@ -206,3 +207,21 @@ def test_totals_of_rows_are_gathered_by_as_many_tasks_as_need_be(spark, monkeypa
     totals = extraction.total_from_rows(cells)
     assert totals.rdd.getNumPartitions() == 20
     assert {(r["doc_id"], r["total"]) for r in totals.collect()} == {(str(k), "123450") for k in range(100)}
+
+
+def test_lines_of_other_labels_are_dropped_uncut(spark):
+    """Only where all labels of a line are others, as they are spelt; a field among them keeps the line."""
+    asked = {"Brand : X Brand Type : Registered": True, "श्रेणी|Category Name & Quadrant : Q1": True, "Brand : X": True, "Type : F": False, "Brand : X Type : F": False, "Brannd : X": False, "Brand : X Note : y": False, "Address : 1 Model : m": False}
+    df = spark.createDataFrame([(x,) for x in asked], "line string")
+    only = [x for g, x, _ in schemas.LABELS if g != "product"]
+    assert {r["line"]: r["u"] for r in df.select("line", extraction.unlike(F.col("line"), only).alias("u")).collect()} == asked
+
+
+def test_what_texts_say_is_read_in_one_row(spark):
+    docs = spark.createDataFrame([("d", "Designation : Head\nBrand : X Brand Type : R\nmore\nSeller\nContact No. : 98765\nx@y.in\nTotal Order Value (in INR) 1,234.50"), ("e", None)], "doc_id string, text string")
+    read = extraction.read_texts(docs, ["Buyer_Designation", "Seller_ContactNo"])
+    assert "Join" not in read._jdf.queryExecution().toString()
+    tables = spark.createDataFrame([("d", "Clerk")], "doc_id string, Buyer_Designation string")
+    columns = ["Buyer_Designation", "Seller_ContactNo", "Seller_EmailID", "TotalOrderValueINR"]
+    merged = {r["doc_id"]: tuple(r)[1:] for r in folds.merge_read(read, tables, columns).collect()}
+    assert merged == {"d": ("Clerk", "98765", "x@y.in", "1234.50"), "e": (None, None, None, None)}
