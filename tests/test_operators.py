@@ -225,3 +225,16 @@ def test_what_texts_say_is_read_in_one_row(spark):
     columns = ["Buyer_Designation", "Seller_ContactNo", "Seller_EmailID", "TotalOrderValueINR"]
     merged = {r["doc_id"]: tuple(r)[1:] for r in folds.merge_read(read, tables, columns).collect()}
     assert merged == {"d": ("Clerk", "98765", "x@y.in", "1234.50"), "e": (None, None, None, None)}
+
+
+def test_colons_far_from_all_labels_are_not_compared(spark):
+    """What `_label_at_end` finds a label in fits the pattern that is tried first; plain words don't. Labels in even parts of an uneven line are cut as they stand."""
+    known = extraction._known(("buyer",))
+    texts = ["Emall ID", "Desigantion", "Addres", "Adddress", "ContactNo", "x GST IN", "Contact1", "http", "5-LOW at 10", "x", "", "Ward seven"]
+    flat = F.regexp_replace(F.lower("t"), "[^a-z0-9]+", "")
+    asked = spark.createDataFrame([(x,) for x in texts], "t string").select("t", extraction._label_at_end(F.col("t"), known, 0.75).isNotNull().alias("is"), flat.rlike(extraction._reach(known, 0.75)).alias("near"))
+    got = {r["t"]: (r["is"], r["near"]) for r in asked.collect()}
+    assert all(got[x] == (True, True) for x in texts[:7]) and all(got[x] == (False, False) for x in texts[7:])
+    assert extraction._reach(known, 0.0) is None
+    docs = spark.createDataFrame([(1, 0, "a|b Designation : Clerk  x http: y GSTIN : A-1\nEmail ID : a@b.c\nleak  ed\nAddress : Ward")], "doc_id int, block_id int, text string")
+    assert {(r["column"], r["value"]) for r in extraction.extract_block(docs, "buyer").collect()} == {("Buyer_Designation", "Clerk x http: y"), ("Buyer_GSTIN", "A1"), ("Buyer_EmailID", "a@b.c"), ("Buyer_Address", "leak  ed, Ward")}
