@@ -116,4 +116,4 @@ def or_default(c: Column, default: str) -> Column:
 
 
 def search_tokens(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda t: (t != "") & ~t.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(F.split(F.lower(c), f"[^{LOWER}{DIGITS}_]+"), lambda t: (t != "") & ~t.isin(STOP_WORDS)))
