@@ -36,17 +36,16 @@ def _block(row: Column) -> Column:
     return F.shiftright(row, BLOCK_BITS)
 
 
-def _write_postings(postings: DataFrame, path: str) -> None:
-    """postings (token, row), each once, as blocks (token, low, high, n, rows)."""
+def _write_postings(postings: DataFrame, totals: DataFrame, path: str) -> None:
+    """postings (token, row), each once, as blocks (token, low, high, n, rows). totals (token, total): how many rows a token has, or more. Postings are moved once, straight to their blocks."""
     spark = postings.sparkSession
-    near = postings.groupBy("token", _block(F.col("row")).alias("block")).agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    stage = scratch_dir(spark, "index-blocks")
-    near.write.parquet(stage)
-    near = spark.read.schema(near.schema).parquet(stage)
+    stage = scratch_dir(spark, "index-frequent")
+    # one token for each BLOCK postings at most; written, so that Spark knows its size
+    totals.where(F.col("total") > BLOCK).select("token", F.lit(True).alias("frequent")).write.parquet(stage)
+    frequent = spark.read.schema("token string, frequent boolean").parquet(stage)
     # tokens of few documents have one block in all
-    totals = near.groupBy("token").agg(F.sum(F.size("rows")).alias("total"))
-    of = F.when(F.col("total") <= BLOCK, F.lit(-1)).otherwise(F.col("block"))
-    blocks = near.join(totals, "token").groupBy("token", of.alias("block")).agg(F.array_sort(F.flatten(F.collect_list("rows"))).alias("rows"))
+    block = F.when(F.col("frequent"), _block(F.col("row"))).otherwise(F.lit(-1))
+    blocks = postings.join(frequent, "token", "left").groupBy("token", block.alias("block")).agg(F.array_sort(F.collect_list("row")).alias("rows"))
     shaped = blocks.select("token", F.get("rows", F.lit(0)).alias("low"), F.element_at("rows", -1).alias("high"), F.size("rows").alias("n"), "rows")
     write_ranges(shaped, path, "token", "low", **DELTA)
 
@@ -88,7 +87,8 @@ def append(docs: DataFrame, root: str, key: str = "doc_id", column: str = "text"
     docs.where(F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), search_tokens(F.col(column)).alias("tokens")).write.parquet(stage)
     made = spark.read.parquet(stage)
     write_ranges(made.select("row", "key"), f"{root}/{run}/documents", "row")
-    _write_postings(made.select(F.explode("tokens").alias("token"), "row"), f"{root}/{run}/postings")
+    postings = made.select(F.explode("tokens").alias("token"), "row")
+    _write_postings(postings, postings.groupBy("token").agg(F.count("*").alias("total")), f"{root}/{run}/postings")
     earlier = _documents(spark, root, runs)
     if earlier is None:
         replaced = spark.createDataFrame([], "run string, row long")
@@ -109,8 +109,10 @@ def merge(spark: SparkSession, root: str) -> int:
     live.select("run", F.col("row").alias("old"), "key").repartition("run", "old").withColumn("row", F.monotonically_increasing_id()).write.parquet(stage)
     numbered = spark.read.parquet(stage)
     write_ranges(numbered.select("row", "key"), f"{root}/{run}/documents", "row")
-    blocks = [read_all(spark, f"{root}/{r}/postings").select("token", F.explode("rows").alias("old"), F.lit(r).alias("run")) for r in runs]
-    _write_postings(reduce(DataFrame.unionByName, blocks).join(numbered, ["run", "old"]).select("token", "row"), f"{root}/{run}/postings")
+    blocks = reduce(DataFrame.unionByName, [read_all(spark, f"{root}/{r}/postings").select("token", "n", "rows", F.lit(r).alias("run")) for r in runs])
+    postings = blocks.select("token", F.explode("rows").alias("old"), "run").join(numbered, ["run", "old"]).select("token", "row")
+    # replaced documents are counted too
+    _write_postings(postings, blocks.groupBy("token").agg(F.sum("n").alias("total")), f"{root}/{run}/postings")
     spark.createDataFrame([], "run string, row long").write.parquet(f"{root}/{run}/replaced")
     return _publish(spark, root, base, [run])
 

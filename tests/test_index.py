@@ -171,3 +171,18 @@ def test_tokens_are_cut_by_a_table_of_characters(spark):
     got = spark.createDataFrame([("Ab_1-Zz9,é9 {x}~the\x00q",)], "t string").select(search_tokens(F.col("t")).alias("w"))
     assert got.first()["w"] == ["ab_1", "zz9", "9", "x", "q"]
     assert "a-z" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_moved_straight_to_their_blocks(spark, tmp_path, monkeypatch):
+    """No posting is written between its text and its block; of a merge with replaced documents no block is too long either."""
+    monkeypatch.setattr(index, "BLOCK_BITS", 4)
+    monkeypatch.setattr(index, "BLOCK", 16)
+    named, own = [], index.scratch_dir
+    monkeypatch.setattr(index, "scratch_dir", lambda s, name: named.append(name) or own(s, name))
+    root = f"file://{tmp_path}/i"
+    index.append(_docs(spark, [(i, "common") for i in range(40)]), root)
+    index.append(_docs(spark, [(i, "changed") for i in range(30)]), root)
+    assert index.merge(spark, root) == 3
+    assert named == ["index-tokens", "index-frequent"] * 2 + ["index-rows", "index-frequent"]
+    assert index.blocks_of(spark, root, ["common", "changed"]).agg(F.max("n")).first()[0] <= 16
+    assert _keys(index.search(spark, root, ["common"])) == list(range(30, 40)) and {r["token"]: r["n"] for r in index.token_counts(spark, root).collect()} == {"common": 10, "changed": 30}
