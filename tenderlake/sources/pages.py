@@ -5,7 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.variant import first_or
+from ..functions.variant import fields_of, value_or
+
+FIELDS = [
+    "id",
+    "b_id",
+    "b_bid_number",
+    "b_category_name",
+    "bd_category_name",
+    "b_cat_id",
+    "b_total_quantity",
+    "b_status",
+    "b_type",
+    "b_eval_type",
+    "final_start_date_sort",
+    "final_end_date_sort",
+    "ba_official_details_minName",
+    "ba_official_details_deptName",
+    "department_name",
+]
 
 
 def documents_of(body: str = "body") -> Column:
@@ -38,23 +56,23 @@ def completeness(pages: DataFrame, bids: DataFrame, key: str = "b_id") -> DataFr
 
 def flatten_bids(docs: DataFrame, *beside: str) -> DataFrame:
     """A bid a row; the key is b_id, or the integer of `id` where that is 0 or missing. beside: columns that stay."""
-    d = F.col("doc")
-    key = F.coalesce(F.nullif(first_or(d, "b_id", "long"), F.lit(0)), F.try_variant_get(d, "$.id", "string").try_cast("long"))
-    return docs.select(
+    d = F.col("_fields")
+    key = F.coalesce(F.nullif(value_or(d["b_id"], "long"), F.lit(0)), F.try_variant_get(d["id"], "$", "string").try_cast("long"))
+    return docs.withColumn("_fields", fields_of(F.col("doc"), FIELDS)).select(
         "page_num",
         "pos",
         *beside,
         key.alias("b_id"),
-        first_or(d, "b_bid_number", "string", "").alias("b_bid_number"),
-        first_or(d, "b_category_name", "string", "").alias("b_category_name"),
-        first_or(d, "bd_category_name", "string", "").alias("bd_category_name"),
-        first_or(d, "b_cat_id", "string", "").alias("b_cat_id"),
-        first_or(d, "b_total_quantity", "int", 0).alias("b_total_quantity"),
-        first_or(d, "b_status", "int", 0).alias("b_status"),
-        first_or(d, "b_type", "int", 0).alias("b_type"),
-        first_or(d, "b_eval_type", "int", 0).alias("b_eval_type"),
-        first_or(d, "final_start_date_sort", "timestamp_ntz").alias("final_start_date_sort"),
-        first_or(d, "final_end_date_sort", "timestamp_ntz").alias("final_end_date_sort"),
-        first_or(d, "ba_official_details_minName", "string", "").alias("ministry_name"),
-        F.coalesce(first_or(d, "ba_official_details_deptName", "string"), first_or(d, "department_name", "string", "")).alias("department_name"),
+        value_or(d["b_bid_number"], "string", "").alias("b_bid_number"),
+        value_or(d["b_category_name"], "string", "").alias("b_category_name"),
+        value_or(d["bd_category_name"], "string", "").alias("bd_category_name"),
+        value_or(d["b_cat_id"], "string", "").alias("b_cat_id"),
+        value_or(d["b_total_quantity"], "int", 0).alias("b_total_quantity"),
+        value_or(d["b_status"], "int", 0).alias("b_status"),
+        value_or(d["b_type"], "int", 0).alias("b_type"),
+        value_or(d["b_eval_type"], "int", 0).alias("b_eval_type"),
+        value_or(d["final_start_date_sort"], "timestamp_ntz").alias("final_start_date_sort"),
+        value_or(d["final_end_date_sort"], "timestamp_ntz").alias("final_end_date_sort"),
+        value_or(d["ba_official_details_minName"], "string", "").alias("ministry_name"),
+        F.coalesce(value_or(d["ba_official_details_deptName"], "string"), value_or(d["department_name"], "string", "")).alias("department_name"),
     )

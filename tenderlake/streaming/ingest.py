@@ -73,10 +73,12 @@ def fold_batch(pages: DataFrame, batch_id: int, state_dir: str, buckets: int = B
     if said and said["batch"] >= batch_id:
         return
     landed = f"pages/v={batch_id}-{uuid.uuid4().hex}"
-    docs = documents_of()
-    ok = docs.isNotNull()
     # parsed once, and written: a row for each document, or for a page without any
-    each = pages.select("page_num", ok.alias("ok"), F.when(~ok, F.col("value")).alias("value"), F.lit(batch_id).cast("long").alias("v"), F.posexplode_outer(docs).alias("pos", "doc"))
+    parsed = pages.select("page_num", "value", documents_of().alias("docs"))
+    ok = F.col("docs").isNotNull()
+    # told of the page before its documents are dealt out: beside the explode it would be parsed again for each of them
+    told = parsed.select("page_num", ok.alias("ok"), F.when(~ok, F.col("value")).alias("value"), F.lit(batch_id).cast("long").alias("v"), "docs")
+    each = told.select("page_num", "ok", "value", "v", F.posexplode_outer("docs").alias("pos", "doc"))
     flat = flatten_bids(each, "ok", "value", "v").withColumn("bucket", F.when(F.col("b_id").isNotNull(), bucket_of(F.col("b_id"), buckets)))
     flat.write.parquet(f"{state_dir}/{landed}")
     rows = spark.read.schema(flat.schema).parquet(f"{state_dir}/{landed}").where("b_id is not null")

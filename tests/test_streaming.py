@@ -9,7 +9,7 @@ from tenderlake import fixtures as fx
 from tenderlake.operators.folds import upsert, upsert_batch
 from tenderlake.sources.pages import explode_pages, flatten_bids
 from tenderlake.sources import commits
-from tenderlake.streaming import rates
+from tenderlake.streaming import ingest, rates
 from tenderlake.streaming.ingest import KEEP, LAST_WINS, compact_pages, fold_batch, rate_by_window, read_pages, read_state, stream_upsert
 
 
@@ -114,6 +114,21 @@ def test_a_batch_that_failed_is_folded_once(spark, tmp_path, monkeypatch):
     assert _state(read_state(spark, state)) == [(1, "a", 5), (2, "b", 5)] and read_pages(spark, state).count() == 2
 
 
+def test_a_page_is_parsed_once(spark, tmp_path, monkeypatch):
+    """Not once more for each of its documents, nor for what is told of the page beside them."""
+    plans = []
+
+    def seen(docs, *beside):
+        plans.append(docs.select("page_num", *beside, "pos", "doc")._jdf.queryExecution().optimizedPlan().toString())
+        return flatten_bids(docs, *beside)
+
+    monkeypatch.setattr(ingest, "flatten_bids", seen)
+    fold_batch(_pages(spark, (1, [(k, "a", 1) for k in range(1, 31)]), (2, None), (3, [])), 0, str(tmp_path), buckets=2)
+    assert plans[0].count("parseJson") == 1
+    assert read_state(spark, str(tmp_path)).count() == 30
+    assert sorted(map(tuple, read_pages(spark, str(tmp_path)).collect())) == [(1, True, None, 0), (2, False, "page 2", 0), (3, True, None, 0)]
+
+
 def test_late_events(spark, tmp_path):
     """Late rows land in their own table, closed windows don't change, and the state holds the open ones only."""
     root = str(tmp_path / "rates")
