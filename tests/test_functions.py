@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderlake.functions import dates, text
-from tenderlake.functions.variant import first_or
+from tenderlake.functions.variant import fields_of, first_or, value_or
 
 
 def one(spark, value, expression):
@@ -75,3 +75,10 @@ def test_squeezed_like_python(spark, given):
     assert one(spark, given, text.squeeze) == plain(given)
     bare = given and re.sub(r"\(cid:[0-9]+\)", " ", re.sub("[ऀ-ॿ]+", " ", given))
     assert one(spark, given, text.clean_value) == plain(bare)
+
+
+@pytest.mark.parametrize(("doc", "expected"), [('{"k":[3,4]}', 3), ('{"k":5,"K":6}', 5), ('{"k":"7"}', 7), ('{"k":{"k":8}}', -1), ('{"k":[]}', -1), ('{"k":[[9]]}', None), ('{"k":null}', -1), ("{}", -1), ("[3]", -1), ("null", -1), (None, -1), ('{"k":[null]}', None)])
+def test_fields_cut_in_one_pass(spark, doc, expected):
+    """They read as first_or reads them in their document."""
+    assert one(spark, doc, lambda c: value_or(fields_of(F.parse_json(c), ["absent", "k"])["k"], "int", -1)) == expected
+    assert one(spark, doc, lambda c: first_or(F.parse_json(c), "k", "int", -1)) == expected
