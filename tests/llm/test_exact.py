@@ -62,6 +62,30 @@ def test_keep_one(docs, rows):
     assert sorted(r["doc_id"] for r in jaccard_join.keep_one(twice, 5, 80).collect()) == sorted(kept)
 
 
+def test_shingles_alone_stay(spark):
+    """Of prefixes, only the shingles that two nodes share are dealt out, once for a node that several tasks met."""
+    import numpy as np
+
+    own = np.random.default_rng(0).integers(0, 1 << 62, (2000, 20))
+    own[1::2, :2] = own[::2, :2]
+    rows = [(k, k % 2000, 20, int(own[k % 2000, -1]), own[k % 2000].tolist()) for k in range(4000)]
+    sets = spark.createDataFrame(rows, "row long, sig long, n_shingles long, last long, prefix array<long>").withColumn("row", F.xxhash64("row"))
+    nodes = sets.groupBy("sig").agg(F.min("row").alias("row"), F.count("last").alias("prefixes"), F.lit(20).alias("tokens"))
+    first = spark.sparkContext.broadcast(jaccard_join._bloom.build(nodes.select("row"), 2000))
+    marks = spark.sparkContext.broadcast(jaccard_join.recurring(sets, first, 40_000))
+    dealt = [tuple(r) for r in sets.mapInArrow(jaccard_join._dealt(first, marks), "token long, sig long, n long, last long").collect()]
+    assert {(int(t), k) for k in range(2000) for t in own[k, :2]} <= {(t, sig) for t, sig, _, _ in dealt}
+    assert all((n, last) == (20, own[sig, -1]) for _, sig, n, last in dealt)
+    assert len(dealt) < 6000  # 4,000 and what meets by chance; all prefixes are 80,000
+
+
+def test_jaccard_in_ranges(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RANGE", 4)
+    monkeypatch.setattr(jaccard_join, "MAP_BITS", 16)
+    monkeypatch.setattr(jaccard_join, "SENT", 0)
+    assert got(jaccard_join.jaccard_components(docs, 4, 85)) == sorted(brute.components(rows, 4, 85), key=repr)
+
+
 @pytest.mark.parametrize("room", [200_000, 60])
 def test_decontamination(spark, docs, rows, none, room):
     texts = [t for _, t in rows if t]
