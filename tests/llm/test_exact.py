@@ -86,6 +86,14 @@ def test_jaccard_in_ranges(docs, rows, monkeypatch):
     assert got(jaccard_join.jaccard_components(docs, 4, 85)) == sorted(brute.components(rows, 4, 85), key=repr)
 
 
+def test_keep_one_moves_names(docs, rows, monkeypatch):
+    """Rows are told by names that are broadcast: whole rows meet no sort, unless there are too many names."""
+    kept = jaccard_join.keep_one(docs, 5, 80)
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(jaccard_join, "SENT", 0)
+    assert got(jaccard_join.keep_one(docs.union(docs), 5, 80)) == got(kept)
+
+
 @pytest.mark.parametrize("room", [200_000, 60])
 def test_decontamination(spark, docs, rows, none, room):
     texts = [t for _, t in rows if t]
