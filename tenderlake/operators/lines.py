@@ -6,6 +6,9 @@ test of the array's size before the plain form, and make the array twice.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +20,14 @@ BREAK = "\x1e"
 
 def continued(text: Column, keep=None) -> Column:
     """Lines with a colon, squeezed, each with the lines without one that follow it; those before the first colon, and blank lines, go. keep: a test of lines, as they stand."""
-    own = lambda x: F.contains(x, F.lit(":")) if keep is None else F.contains(x, F.lit(":")) & keep(x)
-    bare = F.regexp_replace(text, r"\n[ \t]*(?=\n|$)", "")
-    joined = F.regexp_replace(bare, r"\n(?=[^:\n]*(?:\n|$))", " ")
-    return F.transform(F.filter(F.split(joined, "\n"), own), squeeze)
+    colon = lambda x: F.contains(x, F.lit(":"))
+    own = colon if keep is None else lambda x: colon(x) & keep(x)
+    # lines are looked at one by one: patterns that look ahead from each line's end cost several times as much
+    joined = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.when(colon(x), F.lit("\n")).otherwise(F.lit(" ")), x)), "")
+    # most texts have no white space that squeezing changes: looked for once a text, byte by byte
+    uneven = lambda j: reduce(or_, [F.contains(j, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return let(joined, lambda j: let(F.filter(F.split(j, "\n"), own), lambda kept: F.when(uneven(j), F.transform(kept, squeeze)).otherwise(F.transform(kept, lambda x: F.trim(x)))))
 
 
 def blocks(text: Column, marker: str) -> Column:

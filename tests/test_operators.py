@@ -1,5 +1,7 @@
 """Operators at more rows than the tables have, and at the edges of their definitions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,6 +242,23 @@ def test_colons_far_from_all_labels_are_not_compared(spark):
     assert {(r["column"], r["value"]) for r in extraction.extract_block(docs, "buyer").collect()} == {("Buyer_Designation", "Clerk x http: y"), ("Buyer_GSTIN", "A1"), ("Buyer_EmailID", "a@b.c"), ("Buyer_Address", "leak  ed, Ward")}
 
 
+def test_continued_odd_texts(spark):
+    """Lines joined one by one are those of plain Python, whatever white space stands among them."""
+    texts = ["", "A:1", "\nA:10", "x\nA:1\n", "A:1\n\n b \n\t\nC: 2\r\nD", "A: 1\r\n\r\nx  y\r\nB:2\r\n", "a\x0bb:1\n\x0c\nc", "\n\n:\n\n", "A :  1 \n  : 2", "no", None]
+
+    def plain(text):
+        out = []
+        for x in text.split("\n"):
+            if ":" in x:
+                out.append(x)
+            elif out:
+                out[-1] += " " + x
+        return [re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ") for x in out]
+
+    found = spark.createDataFrame([(x,) for x in texts], "text string").select(lines.continued(F.col("text")).alias("x"))
+    assert [r["x"] for r in found.collect()] == [None if x is None else plain(x) for x in texts]
+
+
 def test_labels_are_read_once_a_spelling(spark):
     """What stands before a line's only colon tells the label without the rest: the same pairs as of whole lines."""
     told = ["Contract No : C-1", "अनुबंध|Contract No : C-1", "Compnay Name : x  y", "some words Email ID : a@b", "ईमेल|Email ID : a (cid:3)", "Brand : a Brand Type : b", "x" * 90 + " : long", "x" * 90 + " Email ID : long", "Contact No. :", ": none", "12:30", "GSTIN\x1e : a\x1fb", "Type: Office Zone", "Desigantion : d:e", "Category Name & Quadrant : श्रेणी Q1"]
